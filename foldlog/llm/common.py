@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch between the JVM and a Python worker; texts can be long, so batches are short.
 ARROW_ROWS = 512
 #: Bytes of text that a worker gathers before it works on them.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +91,7 @@ class Words:
     A caller keeps something for each number (ids, features), computed by learn() for new words only.
     """
 
-    def __init__(self, learn: Callable[[list], None], forget: Callable[[], None], limit: int = 1_000_000, limit_bytes: int = 64 << 20):
+    def __init__(self, learn: Callable[[list], None], forget: Callable[[], None], limit: int = 400_000, limit_bytes: int = 32 << 20):
         self.learn, self.forget, self.limit, self.limit_bytes = learn, forget, limit, limit_bytes
         self.index: dict = {}
         self.bytes = 0
@@ -149,3 +149,44 @@ def chunks(text: str) -> list[str]:
 
 def spelled(key: str) -> str:
     return key[1:] if key[:1] == " " else " " + key
+
+
+def per_document(docs: DataFrame, keep: list[str], fields: list[tuple[str, pa.DataType]], work: Callable[[pa.Table], list], mask: str | None = None) -> DataFrame:
+    """Columns keep of docs, and those that work gives for a block of its rows (doc_id and text are there, whatever keep says).
+
+    With mask, only the rows where that new column is true stay, and no new columns do.
+    """
+    arrow(docs.sparkSession)
+    needed = list(dict.fromkeys([*keep, "text"]))
+    source = docs.select(*needed)
+    kept = [f for f in source.schema.fields if f.name in keep]
+    kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int"}
+    new = [] if mask else fields
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {kinds[t]}" for n, t in new])
+    names = [f.name for f in kept]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            arrays = [pa.array(a, t) for a, (_, t) in zip(work(block), fields, strict=True)]
+            own = [block.column(n) for n in names]
+            if mask:
+                chosen = pa.Table.from_arrays(own, names).filter(arrays[[n for n, _ in fields].index(mask)])
+                yield from chosen.to_batches(max_chunksize=ARROW_ROWS)
+            else:
+                yield from pa.Table.from_arrays(own + arrays, names + [n for n, _ in fields]).to_batches(max_chunksize=ARROW_ROWS)
+
+    return source.mapInArrow(run, schema)
+
+
+def share(column: str, seed: int) -> Column:
+    """A number from 0 to 1 that depends on an id alone."""
+    return (F.xxhash64(F.col(column), F.lit(seed)) % F.lit(1 << 30) + F.lit(1 << 30)) % F.lit(1 << 30) / F.lit(float(1 << 30))
+
+
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows from at[i] to at[i + 1]; 0 where there are none."""
+    out = np.zeros((len(at) - 1, *values.shape[1:]), np.float64)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.add.reduceat(values, at[some], axis=0)
+    return out

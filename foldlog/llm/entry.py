@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from foldlog.llm import bpe, packing
+from foldlog.llm import bpe, langid, packing, quality, toxicity
 
 QUERIES = {
     "op2_bpe_codec": bpe.query,
+    "op5_language_id": langid.query,
+    "op6_quality_forest": quality.query,
+    "op9_toxicity_nnpu": toxicity.query,
     "op10_best_fit_packing": packing.query,
 }
 
