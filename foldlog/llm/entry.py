@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foldlog.llm import bpe, langid, packing, quality, substrings, toxicity
+from foldlog.llm import bpe, jaccard, langid, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op2_bpe_codec": bpe.query,
     "op5_language_id": langid.query,
     "op6_quality_forest": quality.query,
+    "op7_ngram_jaccard_join": jaccard.query,
     "op8_substring_dedup": substrings.query,
     "op9_toxicity_nnpu": toxicity.query,
     "op10_best_fit_packing": packing.query,
