@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foldlog.llm import bpe, jaccard, langid, packing, quality, substrings, toxicity
+from foldlog.llm import bpe, cws, jaccard, langid, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op2_bpe_codec": bpe.query,
+    "op4_cws_fingerprints": cws.query,
     "op5_language_id": langid.query,
     "op6_quality_forest": quality.query,
     "op7_ngram_jaccard_join": jaccard.query,
