@@ -158,7 +158,7 @@ def per_document(docs: DataFrame, keep: list[str], fields: list[tuple[str, pa.Da
     """
     arrow(docs.sparkSession)
     needed = list(dict.fromkeys([*keep, "text"]))
-    source = docs.select(*needed)
+    source = docs.select(*[F.col(f"`{n}`") for n in needed])
     kept = [f for f in source.schema.fields if f.name in keep]
     kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int"}
     new = [] if mask else fields

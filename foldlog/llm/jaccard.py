@@ -291,13 +291,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (and node, the set) for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id (and text_hash, by which rows of equal doc_id can be told apart) for each row of docs (doc_id, text).
 
     Two rows with the same non-empty set link. A null or empty text has no shingles and is linked with nothing: its
     component is its own doc_id. A null doc_id has a null component and links with nothing; repeated rows link with
     each other; other columns are ignored. An empty table gives no rows. Sets are told apart by 64-bit hashes.
     """
-    rows = stored(sets_of(docs, ["doc_id"]))
+    rows = stored(sets_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"]))
     first = stored(rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = stored(meet(docs.where(F.col("doc_id").isNotNull()), total))
@@ -328,7 +328,22 @@ def join(docs: DataFrame) -> DataFrame:
     of_node = stored(reach.join(least, "component").select("node", "component_id"))
     out = rows.join(of_node, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), "node")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component; of repeated rows one stays.
+
+    Rows of a doc_id count as one document; rows without doc_id all stay.
+    """
+    rows = stored(join(docs).where(F.col("doc_id").isNotNull()))
+    rows = rows.withColumnRenamed("text_hash", "__text_hash")  # a name that docs won't have
+    key = ["doc_id", "__text_hash"]
+    others = rows.where(F.col("component_id") < F.col("doc_id")).select(*key).distinct()
+    several = rows.where(F.col("component_id") == F.col("doc_id")).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    kept = hashed.join(others.union(several), key, "left_anti").unionByName(hashed.join(several, key, "left_semi").dropDuplicates(key))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

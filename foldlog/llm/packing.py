@@ -176,9 +176,12 @@ def pack(docs: DataFrame, spec: str, capacity: int = 2048) -> DataFrame:
     return pieces.join(before, ["part", "length"]).mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def default_spec() -> str:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        spec = f.read()
-    return pack(common.table(spark, sf_dir, "documents"), spec)
+        return f.read()
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(common.table(spark, sf_dir, "documents"), default_spec())

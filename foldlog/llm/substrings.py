@@ -205,5 +205,20 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
     return out.withColumns(new).select("doc_id", "t1", "t2", "n_words", *new)
 
 
+def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with all their columns, where text has lost the words that dedup() removes, and n_chars follows if there is one.
+
+    A text that loses words is what is left of them, joined by single spaces (empty if nothing is); other texts, null
+    ones too, stay as they are.
+    """
+    cuts = stored(dedup(docs, length, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__cut_id"), F.col("t1").alias("__cut_hash"), F.col("cut_text").alias("__cut_text"))).dropDuplicates(["__cut_id", "__cut_hash"])
+    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    out = docs.withColumn("__own_hash", hashed).join(cuts, (docs["doc_id"] == F.col("__cut_id")) & (F.col("__own_hash") == F.col("__cut_hash")), "left")
+    new = {"text": F.coalesce("__cut_text", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__cut_text").isNotNull(), F.char_length("__cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
