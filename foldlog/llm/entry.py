@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foldlog.llm import bpe, cws, jaccard, langid, packing, quality, substrings, toxicity
+from foldlog.llm import bpe, cws, jaccard, langid, packing, quality, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_warc_derivatives": warc.query,
     "op2_bpe_codec": bpe.query,
     "op4_cws_fingerprints": cws.query,
     "op5_language_id": langid.query,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_best_fit_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle()}
