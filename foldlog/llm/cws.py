@@ -94,7 +94,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), hash, and the next row's next_id, next_hash, next_text in descending order of (doc_id, hash); after the last, the first.
+    """range, doc_id, text (null: empty), hash, and the next row's next_id, next_hash, next_text in descending order of (doc_id, hash); after the last, the first.
 
     Rows are dealt to ranges of ids, each of which also gets the first row of the next range as a guest. The driver
     sees the bounds of the ranges (RANGES at most) and their first ids. A null doc_id comes last.
@@ -119,7 +119,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         guests = rows.where(is_first).withColumn("range", F.element_at(to, F.col("range"))).withColumn("guest", F.lit(True))
         rows = rows.unionByName(guests)
     w = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("hash"))
-    return rows.select("guest", "doc_id", "text", "hash", F.lead("doc_id").over(w).alias("next_id"), F.lead("hash").over(w).alias("next_hash"), F.lead("text").over(w).alias("next_text")).where(~F.col("guest")).drop("guest")
+    return rows.select("range", "guest", "doc_id", "text", "hash", F.lead("doc_id").over(w).alias("next_id"), F.lead("hash").over(w).alias("next_hash"), F.lead("text").over(w).alias("next_text")).where(~F.col("guest")).drop("guest")
 
 
 def _hex_parts(digest: str) -> list[Column]:
@@ -137,9 +137,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - half), substring(next_text, 1, half))"))
     rows = rows.withColumn("digest", F.sha2(F.col("edited").cast("binary"), 256)).withColumn("row", F.monotonically_increasing_id())
     carried = ["doc_id", "hash", "next_id", "next_hash", "n_chars", "d0", "d1", "d2", "d3"]
-    rows = rows.select("row", *carried[:5], *_hex_parts("digest"), F.expr(f"explode(array(named_struct('which', 0, 'words', {_words('text')}), named_struct('which', 1, 'words', {_words('edited')}))) as part"))
-    rows = rows.select("row", *carried, F.col("part.which").alias("which"), F.col("part.words").alias("words"))
-    both = stored(signatures(rows, ["row", "which"], carried))
+    rows = rows.select("range", "row", *carried[:5], *_hex_parts("digest"), F.expr(f"explode(array(named_struct('which', 0, 'words', {_words('text')}), named_struct('which', 1, 'words', {_words('edited')}))) as part"))
+    rows = rows.select("range", "row", *carried, F.col("part.which").alias("which"), F.col("part.words").alias("words"))
+    both = stored(signatures(rows, ["range", "row", "which"], carried).drop("range"))  # rows are dealt by range: grouping needs no exchange
     own, edited = both.where("which = 0").drop("which"), both.where("which = 1").select("row", F.col("samples").alias("edited"))
     others = own.select(F.coalesce("doc_id", F.lit(-1)).alias("next_id"), F.col("hash").alias("next_hash"), F.col("samples").alias("next")).dropDuplicates(["next_id", "next_hash"])
     out = own.withColumn("next_id", F.coalesce("next_id", F.lit(-1))).join(edited, "row").join(others, ["next_id", "next_hash"])
