@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foldlog.llm import bpe, cws, jaccard, langid, packing, quality, substrings, toxicity, warc
+from foldlog.llm import attention_lm, bpe, cws, jaccard, langid, packing, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.query,
     "op2_bpe_codec": bpe.query,
+    "op3_attention_lm": attention_lm.query,
     "op4_cws_fingerprints": cws.query,
     "op5_language_id": langid.query,
     "op6_quality_forest": quality.query,
