@@ -5,7 +5,8 @@ is a binary tree over the ids: the root tells ids that begin a word from those t
 two Huffman trees from the ids' frequencies. The probability of an id is the product of the decisions on its path.
 Untrained, the decisions' biases give the ids' frequencies; training adds what context tells. The probability of a word
 is that of its ids and of the word's end after them (the next root's decision), mixed with the word's share among all
-training tokens (MIXED).
+training tokens. The weight of the share is the one of MIXED by which training texts are likeliest, each word counted
+without its own occurrence.
 Texts are scored in windows of 2 * STEP inputs that overlap by half: each window scores its last STEP tokens once, under
 a causal mask that also ends at the text's start, for many windows at a time.
 
@@ -37,13 +38,15 @@ from foldlog.llm.store import stored
 
 WIDTH, STEP = 16, 16
 SAMPLE_TEXTS, SPANS = 2000, 128
-EPOCHS, BATCH, RATE = 3, 128, 0.08
+BATCH, RATE = 128, 0.08
+#: Windows that training visits in all, about; epochs at most.
+VISITS, EPOCHS = 300_000, 8
 #: Windows that are worked on at once.
 AT_ONCE = 1024
 #: Buckets of the hash space for each shuffle partition.
 SPREAD = 4
-#: Weight of the training share of a word against the attention model's probability.
-MIXED = 0.2
+#: Weights of the training share of a word against the attention model's probability, of which training texts choose one.
+MIXED = (0.1, 0.2, 0.35, 0.5, 0.7)
 
 
 # --- output tree ---------------------------------------------------------------------------------------------------
@@ -136,9 +139,10 @@ def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, d: np.ndarray, first: np
     return s, np.matmul(s, v)
 
 
-def train(model: dict, sequences: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> float:
+def train(model: dict, sequences: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray, epochs: int | None = None, seed: int = 4) -> float:
     """Adagrad over windows of sequences; returns the mean loss of the last epoch (natural log, for each token)."""
     rng, tree = np.random.default_rng(seed), model["tree"]
+    epochs = epochs or min(EPOCHS, max(1, round(VISITS / max(len(first), 1))))
     past = {x: np.full_like(model[x], 1e-3) for x in ("e", "q", "k", "v", "u", "d", "n", "b")}
     scale, loss, total = np.float32(1 / math.sqrt(WIDTH)), 0.0, 0
 
@@ -415,8 +419,12 @@ def totals(parts: DataFrame, tasks: int) -> DataFrame:
 
 
 def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: texts meet the counts of their block's words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score; score and fit by weight of MIXED: texts meet the counts of their block's words.
+
+    fit is a training text's score with each word counted once less.
+    """
+    both = [f"{x}_{i}" for x in ("score", "fit") for i in range(len(MIXED))]
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), *((x, pa.float64()) for x in both)])
     below = math.log10(n + v + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -424,22 +432,25 @@ def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int
         places = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(b, "<u4", len(b) // 12, len(b) // 12 * 8) for b in blobs)])
         count = np.zeros(len(places), np.int64)
         count[places] = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(b, "<i8", len(b) // 12) for b in blobs)])
-        logs, known, share = np.log10(count + 1.0), count > 0, MIXED * count / max(n, 1)
+        logs, known = np.log10(count + 1.0), count > 0
+        with np.errstate(divide="ignore"):
+            share, less, of_end = (np.log(x / max(n, 1)) for x in (count, np.maximum(count - 1, 0), np.array([n_texts, max(n_texts - 1, 0)])))
         out = []
         for doc_id, learn, size, blob in zip(*(left.column(c).to_pylist() for c in ("doc_id", "training", "n_tokens", "blob")), strict=True):
             k = size - 1
             place = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * k).reshape(4, k).T).view("<u4").ravel()
             attention = np.frombuffer(blob, "<f2" if len(blob) == 4 * k + 2 * size else "<f4", size, 4 * k).astype(np.float64)
-            with np.errstate(divide="ignore"):
-                of_share = np.log(np.append(share[place], MIXED * n_texts / max(n, 1)))
-            mixed = np.logaddexp(of_share, math.log(1 - MIXED) + attention * math.log(10)) / math.log(10)
+            attention *= math.log(10)
+            found = [np.append(x[place], e) for x, e in zip((share, less) if learn else (share,), of_end, strict=False)]
+            mixed = [float(np.logaddexp(math.log(w) + x, math.log(1 - w) + attention).sum()) / math.log(10) for x in found for w in MIXED]
+            mixed += [0.0] * (len(both) - len(mixed))
             base = float(logs[place].sum()) + math.log10(n_texts + 1) - size * below
-            out.append((doc_id, not learn, size, int(known[place].sum()) + (n_texts > 0), n, base, float(mixed.sum())))
+            out.append((doc_id, not learn, size, int(known[place].sum()) + (n_texts > 0), n, base, *mixed))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
 
     left = rows.where(F.col("bucket").isNull()).select("block", "doc_id", "training", "n_tokens", "blob")
     right = counts.where(F.col("block").isNotNull()).select("block", "bucket", "blob")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, " + ", ".join(f"{x} double" for x in both))
 
 
 def score(docs: DataFrame, training, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -457,7 +468,10 @@ def score(docs: DataFrame, training, ranks: dict[bytes, int], pattern: str) -> D
     counts = stored(totals(rows.where(F.col("bucket").isNotNull()), tasks))
     n, n_texts = rows.where("training").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     v = counts.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0] + (n_texts > 0)
-    return base_scores(rows, counts, n, v, n_texts)
+    scores = stored(base_scores(rows, counts, n, v, n_texts))
+    fits = scores.agg(*[F.sum(f"fit_{i}") for i in range(len(MIXED))]).first()
+    best = max(range(len(MIXED)), key=lambda i: fits[i] or 0.0)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col(f"score_{best}").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
