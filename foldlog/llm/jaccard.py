@@ -1,23 +1,24 @@
 """Operator 7: n-gram Jaccard join by parity sketches.
 
-A document's set is that of its 5-word shingles. Each shingle toggles one bit of a sparse bit sketch, so the Hamming
-distance of two sketches is never more than the symmetric difference of the sets. Pairs with a Jaccard similarity of
-SIMILAR or more differ in at most d shingles, where d follows from the sizes; the sketch of a size band is cut into
-m > d parts, so at least m - d parts of such a pair are equal (pigeonhole). Documents meet by the fingerprints of their
-parts (the XOR of codes of the set bits), and pairs that met are verified on the texts.
+A document's set is that of its 5-word shingles. Each shingle toggles one bit of a sketch, so the Hamming distance of
+two sketches is never more than the symmetric difference of the sets. Pairs with a Jaccard similarity of SIMILAR or
+more differ in at most d shingles, where d follows from the sizes; the (sparse) sketch of a size band is cut into m > d
+parts, so at least m - d parts of such a pair are equal (pigeonhole). Sets meet by fingerprints of their parts, the XOR
+of codes of the set bits. Pairs that met are narrowed by sizes and by the distance of a dense sketch of BITS bits, and
+what is left is verified on the texts.
 
 Nothing is left out for skew:
 
 - Equal sets are one node from the start.
-- Parts without a bit aren't posted. A part that more than CROWD sets share is crowded: instead of all pairs, each set
-  is paired with one. A set that has fewer than m - d empty and crowded parts still meets each partner elsewhere.
-- The others (irregular sets) are joined with each other on the crowded parts, but only where linking what was found so
-  far has left them in different components.
-- Sets with m - d or more empty parts also post the prefix of their tokens in hash order, by which they meet each other.
-
-Links are verified in two steps: first each set with one candidate; then, between components that this leaves, all
-candidates that are still apart. Components come from distributed hooking and pointer jumping. No links, components or
-fingerprints go to the driver.
+- Parts without a bit aren't posted. Sets with m - d or more such parts (two of them could have no other part in
+  common) also post the prefix of their tokens in hash order, by which they meet each other.
+- A part that more than CROWD sets share is crowded: its sets aren't paired by it, but compared by their sketches in
+  chunks of CHUNK. At first each chunk gives the edges of a shortest spanning forest, then, once what they link is known,
+  the pairs within the distance that are still in different components.
+
+Links are verified in steps, so that few pairs of a large group are: the closest candidate of each set; the candidates
+between the components that this leaves; those of the crowded parts. Components come from distributed hooking and
+pointer jumping. No links, components or fingerprints go to the driver.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 80 * union.
 SIMILAR = (80, 100)
 CROWD = 16
-#: Posts of a bucket, about; buckets of a task.
-POSTS, SPREAD = 300_000, 8
+#: Posts of a task, about; bits of a dense sketch; sets of a crowded part that are compared in one piece, and how many of all
+#: sets of a larger one are in each of its chunks, so that chunks are linked.
+POSTS, BITS, CHUNK, PIVOTS = 2_000_000, 2048, 2048, 16
 PREFIX = -1
 
 
@@ -125,13 +127,12 @@ def sets_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     return common.per_document(docs, keep, [("n_shingles", pa.int64()), ("node", pa.int64())], work)
 
 
-def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """For the sets who: (set, group, how many crowded parts make it irregular, keys of its posts)."""
+def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For the sets who: (set, keys of its posts), once for each group of sizes."""
     for i in who:
         own = values[at[i] : at[i + 1]]
         n = len(own)
-        bounds = band_bounds(n)
-        band = len(bounds) - 2
+        band = len(band_bounds(n)) - 2
         for group in {band, max(band - 1, 0)}:
             d, m = cuts_of(group)
             if not d:
@@ -141,15 +142,14 @@ def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tup
             prints = np.zeros(m, np.uint64)
             np.bitwise_xor.at(prints, part.astype(np.int64), mix(bit & np.uint64(0x3FFFFFFF), 7))  # bit: one of 2^30 of its part
             filled = np.flatnonzero(prints)
-            need = (m - d) - (m - len(filled))
-            yield i, group, max(need, 1), mix(prints[filled] + filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), group + 1000)
-            if need <= 0:
+            yield i, mix(prints[filled] + filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), group + 1000)
+            if len(filled) <= d:
                 prefix = np.sort(mix(own, 9))[: n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1]
-                yield i, PREFIX - group - 1, 1, mix(prefix, group + 5000)
+                yield i, mix(prefix, group + 5000)
 
 
 def posts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob) rows: in each, sets (node, size, group, need) and posts (48 bits of a key, number of the set in the blob)."""
+    """(bucket, blob) rows: in each, posts as 48 bits of a key and the node, by bytes."""
     held: list[Hashes] = []
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -158,23 +158,21 @@ def posts(docs: DataFrame, buckets: int) -> DataFrame:
             held.append(Hashes())
         for block in common.blocks(batches):
             values, at = shingles(_words(block), held[0])
-            nodes = set_hash(values, at).view(np.int64)
+            nodes = set_hash(values, at)
             _, first = np.unique(nodes, return_index=True)
             found = list(posts_of(values, at, [i for i in first.tolist() if at[i + 1] > at[i]]))
             if not found:
                 continue
-            head = np.array([(nodes[i], at[i + 1] - at[i], group, need) for i, group, need, _ in found], np.int64)
-            keys = np.concatenate([k for *_, k in found])
-            who = np.repeat(np.arange(len(found)), [len(k) for *_, k in found])
+            keys = np.concatenate([k for _, k in found])
+            node = nodes[np.repeat([i for i, _ in found], [len(k) for _, k in found])]
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            keys, who, bucket = keys[order], who[order], bucket[order]
+            keys, node, bucket = keys[order], node[order], bucket[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             rows = []
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-                local, number = np.unique(who[a:b], return_inverse=True)
                 low = keys[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((int(bucket[a]), b"".join([len(local).to_bytes(4, "little"), head[local].T.astype("<i8").tobytes(), low.T.tobytes(), number.astype("<u4").tobytes()])))
+                rows.append((int(bucket[a]), low.T.tobytes() + node[a:b].astype("<u8").tobytes()))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[i : i + 64]], f.type) for j, f in enumerate(schema)], schema=schema)
 
@@ -183,51 +181,41 @@ def posts(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Sets (rows node, size, group, need) of the posts, and their keys."""
-    n = int.from_bytes(blob[:4], "little")
-    head = np.frombuffer(blob, "<i8", 4 * n, 4).reshape(4, n)
-    count = (len(blob) - 4 - 32 * n) // 10
-    keys = np.zeros((count, 8), np.uint8)
-    keys[:, :6] = np.frombuffer(blob, np.uint8, 6 * count, 4 + 32 * n).reshape(6, count).T
-    return head[:, np.frombuffer(blob, "<u4", count, 4 + 32 * n + 6 * count)], keys.view("<u8").ravel()
+    """Keys and nodes."""
+    n = len(blob) // 14
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(6, n).T
+    return keys.view("<u8").ravel(), np.frombuffer(blob, "<u8", n, 6 * n).view(np.int64)
 
 
 def meetings(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one bucket: pairs (a < b, 0) that met, and (node, group and key mixed, need) of the crowded posts, as (a, b, need) arrays."""
+    """Of one bucket, as arrays (a, b, how many sets share the part): pairs a < b that met (0), and sets a in crowded parts b."""
     parts = [unpack(b) for b in blobs]
-    head, keys = np.concatenate([h for h, _ in parts], axis=1), np.concatenate([k for _, k in parts])
-    order = np.lexsort([head[0], keys])
-    head, keys = head[:, order], keys[order]
-    fresh = np.append(True, (keys[1:] != keys[:-1]) | (head[0, 1:] != head[0, :-1]))  # a set posts from several blocks
-    head, keys = head[:, fresh], keys[fresh]
+    keys, node = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.lexsort([node, keys])
+    keys, node = keys[order], node[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (node[1:] != node[:-1]))  # a set posts from several blocks
+    keys, node = keys[fresh], node[fresh]
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(cuts, len(keys)))
-    node, n = head[0], head[1]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found = [np.zeros((2, 0), np.int64)]
     for k in range(2, CROWD + 1):  # all keys that k sets share, at once
         own = cuts[sizes == k]
         if len(own):
             i, j = np.triu_indices(k, 1)
-            found.append(((own[:, None] + i).ravel(), (own[:, None] + j).ravel()))
-    crowded = np.flatnonzero(sizes > CROWD)
-    member = np.repeat(crowded, sizes[crowded])
-    place = np.arange(len(member)) - np.repeat(common.offsets(sizes[crowded])[:-1], sizes[crowded]) + cuts[member]
-    star = place != cuts[member]
-    found.append((cuts[member][star], place[star]))
-    a, b = (np.concatenate([f[x] for f in found]).astype(np.int64) for x in (0, 1))
-    near = SIMILAR[1] * np.minimum(n[a], n[b]) >= SIMILAR[0] * np.maximum(n[a], n[b])
-    pairs = np.unique(np.stack([node[a[near]], node[b[near]]]), axis=1)  # nodes ascend within a key
+            found.append(np.stack([node[(own[:, None] + i).ravel()], node[(own[:, None] + j).ravel()]]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)  # nodes ascend within a key
     yield pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)
-    if len(place):
-        key = mix(keys[place] + head[2, place].astype(np.uint64), 11).view(np.int64)
-        yield node[place], key, head[3, place]
+    crowded = np.repeat(sizes > CROWD, sizes)
+    if crowded.any():
+        yield node[crowded], mix(keys[crowded], 11).view(np.int64), np.repeat(sizes, sizes)[crowded]
 
 
 def meet(docs: DataFrame, total: int) -> DataFrame:
-    """(a, b, need): pairs with need 0, or a set, a crowded part of it, and how many of those make it irregular."""
+    """(a, b, crowd) rows of meetings(), over all buckets."""
     spark = docs.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (POSTS * SPREAD)))
-    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "need")])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // POSTS))
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "crowd")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
@@ -239,7 +227,112 @@ def meet(docs: DataFrame, total: int) -> DataFrame:
                 for i in range(0, len(columns[0]), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)], pa.int64()) for c in columns], schema=schema)
 
-    return posts(docs, tasks * SPREAD).repartition(tasks, "bucket").mapInArrow(run, "a long, b long, need long")
+    return posts(docs, tasks).repartition(tasks, "bucket").mapInArrow(run, "a long, b long, crowd long")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(node, n, sketch) of texts (node, text): the size of the set, and which of BITS bits an odd number of its shingles toggles."""
+    held: list[Hashes] = []
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held.append(Hashes())
+        for block in common.blocks(batches):
+            values, at = shingles(_words(block), held[0])
+            own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            bit = (mix(values, 21) & np.uint64(BITS - 1)).astype(np.int64)
+            odd = (np.bincount(own * BITS + bit, minlength=(len(at) - 1) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
+            packed = np.packbits(odd, axis=1)
+            yield pa.RecordBatch.from_arrays([block.column("node").combine_chunks(), pa.array(np.diff(at)), pa.array([x.tobytes() for x in packed], pa.binary())], ["node", "n", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, sketch binary")
+
+
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def most_apart(n_a, n_b):
+    """The largest symmetric difference of two sets that link."""
+    return (n_a + n_b) * (SIMILAR[1] - SIMILAR[0]) // (SIMILAR[1] + SIMILAR[0])
+
+
+def narrowed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, apart): those of pairs (a, b) whose sizes and sketches allow a link, with the sketches' distance."""
+    x = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    x = x.join(known.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "apart")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                apart = np.bitwise_count(_bits(b.column("sketch_a")) ^ _bits(b.column("sketch_b"))).sum(axis=1, dtype=np.int64)
+                good = apart <= most_apart(b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(v[good]) for v in (b.column("a").to_numpy(), b.column("b").to_numpy(), apart)], schema=schema)
+
+    return x.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, apart long")
+
+
+def forest(bits: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
+    """Edges (i, j, distance) of a shortest spanning forest over the pairs that sizes and sketches allow to link."""
+    count = len(n)
+    far = np.int64(1 << 40)
+    best, origin, left = np.full(count, far), np.full(count, -1), np.ones(count, bool)
+    out = []
+    for _ in range(count):
+        i = int(np.where(left, best, far + 1).argmin())
+        if best[i] < far:
+            out.append((int(origin[i]), i, int(best[i])))
+        left[i] = False
+        apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+        apart[apart > most_apart(n, n[i])] = far
+        nearer = left & (apart < best)
+        best[nearer], origin[nearer] = apart[nearer], i
+    return out
+
+
+def compared(members: DataFrame, known: DataFrame, across: bool) -> DataFrame:
+    """(a, b, apart) from members (node, key, crowd[, component]) of crowded parts.
+
+    Without across: the edges of a forest in each chunk. With it: the pairs of different components that sizes and
+    sketches allow, where each set outside the part's largest component meets every chunk of the part.
+    """
+    chunks = F.ceil(F.col("crowd") / F.lit(float(CHUNK))).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    rows = members.withColumn("chunks", chunks).withColumn("chunk", chunk)
+    if across:
+        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
+        top = stored(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1"))
+        rows = stored(rows.join(top, "key"))
+        out = rows.where("component <> top")
+        outside = stored(out.groupBy("key").agg(F.count("*").alias("outside")))
+        rows, out = (x.join(outside, "key").withColumn("others", F.ceil(F.col("outside") / F.lit(float(CHUNK))).cast("int")) for x in (rows, out))
+        rows = rows.select("node", "key", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(False).alias("left"))
+        out = out.select("node", "key", "component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int").alias("other"), F.lit(True).alias("left"))
+        rows = rows.unionByName(out)
+    else:
+        pivot = (F.col("chunks") > 1) & ((F.xxhash64("node", F.lit(2)).cast("double") / F.lit(2.0**64) + 0.5) < F.lit(float(PIVOTS)) / F.col("crowd"))
+        places = F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+        rows = rows.select("node", "key", F.lit(None).cast("long").alias("component"), F.explode(places).alias("chunk"), F.lit(0).alias("other"), F.lit(True).alias("left"))
+    rows = rows.join(known, "node").select("key", "chunk", "other", "left", "node", "component", "n", "sketch")
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "apart")])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, n, bits = table.column("node").to_numpy(), table.column("n").to_numpy(), _bits(table.column("sketch"))
+        found = []
+        if across:
+            left, component = table.column("left").to_numpy(zero_copy_only=False).astype(bool), table.column("component").to_numpy()
+            right = np.flatnonzero(~left)
+            for i in np.flatnonzero(left).tolist():
+                apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                good = (apart <= most_apart(n[right], n[i])) & (component[right] != component[i])
+                found += [(min(node[i], x), max(node[i], x), y) for x, y in zip(node[right[good]].tolist(), apart[good].tolist(), strict=True)]
+        else:
+            found = [(min(node[i], node[j]), max(node[i], node[j]), x) for i, j, x in forest(bits, n)]
+        return pa.Table.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in range(3)], schema=schema)
+
+    return rows.groupBy("key", "chunk", "other").applyInArrow(run, "a long, b long, apart long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,14 +345,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         if not held:
             held.append(Hashes())
         for block in common.blocks(batches):
-            lists = [t.lower().split() for c in ("text_a", "text_b") for t in common.raw_texts(block, c)]
-            values, at = shingles(lists, held[0])
+            ids, place = np.unique(np.concatenate([block.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+            own_text = dict(zip(place.tolist(), [t for c in ("text_a", "text_b") for t in common.raw_texts(block, c)], strict=True))
+            values, at = shingles([own_text[i].lower().split() for i in range(len(ids))], held[0])  # each text once
             n = block.num_rows
-            sizes, own = np.diff(at), np.repeat(np.arange(2 * n) % n, np.diff(at))
-            order = np.lexsort([values, own])
-            values, own = values[order], own[order]
-            same = (values[1:] == values[:-1]) & (own[1:] == own[:-1])
-            good = linked(sizes[:n], sizes[n:], np.bincount(own[1:][same], minlength=n))
+            sizes = np.diff(at)
+            shared = [len(np.intersect1d(values[at[i] : at[i + 1]], values[at[j] : at[j + 1]], assume_unique=True)) for i, j in zip(place[:n].tolist(), place[n:].tolist(), strict=True)]
+            good = linked(sizes[place[:n]], sizes[place[n:]], np.array(shared, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(block.column(c).to_numpy()[good]) for c in ("a", "b")], schema=schema)
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -290,6 +382,12 @@ def components(links: DataFrame) -> DataFrame:
         edges = between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets are in different components so far."""
+    of = lambda df, x: df.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return of(of(pairs, "a"), "b").where("ca <> cb").select("a", "b")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (and text_hash, by which rows of equal doc_id can be told apart) for each row of docs (doc_id, text).
 
@@ -301,26 +399,25 @@ def join(docs: DataFrame) -> DataFrame:
     first = stored(rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = stored(meet(docs.where(F.col("doc_id").isNotNull()), total))
-    pairs = stored(met.where("need = 0").select("a", "b").distinct())
-    crowded = met.where("need > 0")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(crowded.select(F.col("a").alias("node"))).distinct()
+    pairs = met.where("crowd = 0").select("a", "b").distinct()
+    crowded = met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key"), "crowd")
+    used = met.select(F.col("a").alias("node")).union(met.where("crowd = 0").select(F.col("b").alias("node"))).distinct()
     wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), F.col("node").alias("own")))
     texts = stored(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id"), ["text", "own"]).where("node = own").select("node", "text").dropDuplicates(["node"]))
+    known = stored(sketches(texts))
 
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = stored(narrowed(pairs, known).union(compared(crowded, known, across=False)).distinct())
+    closest = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair")
+    sides = near.select("*", F.explode(F.array("a", "b")).alias("side"))
+    nearest = stored(sides.groupBy("side").agg(closest).select("pair.*").distinct())
     found = stored(verified(nearest, texts))
-    labels = stored(components(found))
-    label = lambda df, x: df.join(labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-
-    counts = crowded.groupBy("a").agg(F.count("*").alias("n"), F.min("need").alias("need"))  # of a set's groups, the one that makes it irregular first
-    irregular = counts.where("n >= need").select("a")
-    members = label(crowded.join(irregular, "a", "left_semi").select("a", F.col("b").alias("key")), "a")
-    split = stored(members.groupBy("key").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).where("low < high").select("key"))
-    members = stored(members.join(split, "key", "left_semi"))
-    apart = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.ca") < F.col("y.ca"))).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-    rest = label(label(pairs.join(nearest, ["a", "b"], "left_anti"), "a"), "b").where("ca <> cb").select("a", "b").union(apart).distinct()
-    more = stored(verified(rest, texts))
-    labels = components(found.union(more))
+    labels = components(found)
+    rest = stored(between(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels))
+    found = stored(found.union(verified(rest, texts)))
+    labels = components(found)
+    members = crowded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    late = compared(members, known, across=True).select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
+    labels = components(found.union(verified(late, texts)))
 
     reach = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     reach = stored(reach)
