@@ -42,11 +42,15 @@ BATCH, RATE = 128, 0.08
 #: Windows that training visits in all, about; epochs at most.
 VISITS, EPOCHS = 300_000, 8
 #: Windows that are worked on at once.
-AT_ONCE = 1024
+AT_ONCE = 256
+#: Bytes of text in a block, and words that a worker knows at once.
+BLOCK, KNOWN = 4 << 20, 600_000
 #: Buckets of the hash space for each shuffle partition.
 SPREAD = 4
 #: Weights of the training share of a word against the attention model's probability, of which training texts choose one.
-MIXED = (0.1, 0.2, 0.35, 0.5, 0.7)
+MIXED = (0.1, 0.2, 0.35, 0.6)
+#: Every so many training texts of a block take part in the choice.
+FITTED = 8
 
 
 # --- output tree ---------------------------------------------------------------------------------------------------
@@ -234,12 +238,25 @@ class Scorer:
             h[:, :, :WIDTH] += self.u[late]
             live = np.arange(STEP) < m[:, None]
             target = sequence[np.minimum(place[:, STEP:] + 1, len(sequence) - 1)][live]
-            path, at, own = self.tree.paths(target)
-            z = np.einsum("ij,ij->i", self.n[self.tree.node[path]], h[live][own])
-            z *= self.tree.sign[path]
-            np.log1p(np.exp(-np.clip(z, -60, 60)), out=z)
-            out.append(-np.add.reduceat(z, at[:-1]))
-            roots.append(-z[at[1:] - 1])
+            depth = self.tree.length[target]
+            order = np.argsort(-depth, kind="stable")  # so that at each level of the tree the tokens that go on are the first
+            target, depth, h = target[order], depth[order], h[live][order]
+            at = self.tree.start[target] + depth - 1
+            total, top = np.zeros(len(target), np.float32), None
+            for level in range(int(depth[0])):
+                n_on = int(np.searchsorted(-depth, -level))
+                path = at[:n_on] - level
+                z = np.einsum("ij,ij->i", self.n[self.tree.node[path]], h[:n_on])
+                z *= self.tree.sign[path]
+                np.negative(z, out=z)
+                np.log1p(np.exp(np.minimum(z, 60, out=z), out=z), out=z)
+                total[:n_on] -= z
+                if top is None:
+                    top = -z
+            found, root = np.empty_like(total), np.empty_like(total)
+            found[order], root[order] = total, top
+            out.append(found)
+            roots.append(root)
         return np.concatenate(out) if out else np.zeros(0), np.concatenate(roots) if roots else np.zeros(0)
 
     def words(self, ids: np.ndarray, at: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
@@ -267,8 +284,8 @@ class Subwords:
         import tiktoken
 
         self.engine = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.held = common.Growing(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        self.words = common.Words(self._learn, self.held.clear)
+        self.held = common.Growing(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64))
+        self.words = common.Words(self._learn, self.held.clear, KNOWN)
 
     def _learn(self, words: list[bytes]) -> None:
         ids = [self.engine.encode_ordinary(" " + w.decode()) for w in words]
@@ -366,7 +383,7 @@ def scored(docs: DataFrame, model: dict, ranks: dict[bytes, int], pattern: str,
         if not held:
             held.append(Scorer(model))
         subwords, part = _subwords(ranks, pattern), TaskContext.get().partitionId()
-        for number, block in enumerate(common.blocks(batches)):
+        for number, block in enumerate(common.blocks(batches, BLOCK)):
             lists = _words(block)
             ids, at, begin, which, hashes = subwords.of(lists, end)
             found = held[0].words(ids, at, begin, end) / math.log(10)
@@ -421,7 +438,7 @@ def totals(parts: DataFrame, tasks: int) -> DataFrame:
 def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score; score and fit by weight of MIXED: texts meet the counts of their block's words.
 
-    fit is a training text's score with each word counted once less.
+    fit is the score of one training text in FITTED with each word counted once less; of others, 0.
     """
     both = [f"{x}_{i}" for x in ("score", "fit") for i in range(len(MIXED))]
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), *((x, pa.float64()) for x in both)])
@@ -436,12 +453,14 @@ def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int
         with np.errstate(divide="ignore"):
             share, less, of_end = (np.log(x / max(n, 1)) for x in (count, np.maximum(count - 1, 0), np.array([n_texts, max(n_texts - 1, 0)])))
         out = []
+        seen = 0
         for doc_id, learn, size, blob in zip(*(left.column(c).to_pylist() for c in ("doc_id", "training", "n_tokens", "blob")), strict=True):
             k = size - 1
             place = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * k).reshape(4, k).T).view("<u4").ravel()
             attention = np.frombuffer(blob, "<f2" if len(blob) == 4 * k + 2 * size else "<f4", size, 4 * k).astype(np.float64)
             attention *= math.log(10)
-            found = [np.append(x[place], e) for x, e in zip((share, less) if learn else (share,), of_end, strict=False)]
+            found = [np.append(x[place], e) for x, e in zip((share, less) if learn and seen % FITTED == 0 else (share,), of_end, strict=False)]
+            seen += learn
             mixed = [float(np.logaddexp(math.log(w) + x, math.log(1 - w) + attention).sum()) / math.log(10) for x in found for w in MIXED]
             mixed += [0.0] * (len(both) - len(mixed))
             base = float(logs[place].sum()) + math.log10(n_texts + 1) - size * below
