@@ -6,7 +6,7 @@ term, a hash of the term gives r and c from a Gamma(2, 1) distribution and b, un
 with a probability that equals the generalised Jaccard similarity of their weights, so the share of equal samples
 estimates it (standard error at most 1 / (2 * sqrt(SAMPLES))). A fingerprint holds 20 bits of each sample.
 
-Gamma variates come from a table of equally likely values; ties are broken by the term's bits. Terms are exploded and
+Gamma variates come from a table of TABLE equally likely values (plans hold it for each sample, so it is short); ties are broken by the term's bits. Terms are exploded and
 reduced within the task that holds the text: one row for each text is what is shuffled.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from foldlog.llm import common
 from foldlog.llm.store import stored
 
-SAMPLES, SHINGLE, TABLE = 64, 5, 256
+SAMPLES, SHINGLE, TABLE = 64, 5, 128
 #: Rows of a range of ids, about; ranges at most.
 RANGE_ROWS, RANGES = 50_000, 2000
 _MASK = (1 << 20) - 1
@@ -37,7 +37,7 @@ def gamma_table(n: int = TABLE) -> np.ndarray:
 
 
 def _literal(values: np.ndarray) -> Column:
-    return F.expr(f"array({','.join(f'{v!r}D' for v in map(float, values))})")
+    return F.expr(f"array({','.join(f'{v:.6g}D' for v in map(float, values))})")
 
 
 def _words(text: str) -> str:
@@ -103,7 +103,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     ids = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     n = docs.count()
-    count = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, n // RANGE_ROWS))
+    count = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS))
     bounds = ids.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
     place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr("size(filter(array(" + ", ".join(f"{b}L" for b in bounds) + "), b -> b <= doc_id))") if bounds else F.lit(0))
