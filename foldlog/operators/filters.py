@@ -59,9 +59,20 @@ class EventFilter:
 
 
 def union_predicate(filters: Iterable[EventFilter]) -> Column:
-    """What any of the filters selects; nothing if there are none."""
-    found = [f.predicate() for f in filters]
-    return reduce(lambda a, b: a | b, found) if found else F.lit(False)
+    """What any of the filters selects; nothing if there are none.
+
+    What holds for all of them stands before the disjunction too: it reaches the scan even if a part of the
+    disjunction (an id that is computed from another column, say) can't.
+    """
+    filters = list(filters)
+    if not filters:
+        return F.lit(False)
+    out = reduce(lambda a, b: a | b, [f.predicate() for f in filters])
+    if len(filters) > 1:
+        out = F.col("kind").isin(sorted({f.kind for f in filters})) & out
+        if all(f.after is not None for f in filters):
+            out = (F.col("position") > min(f.after for f in filters)) & out
+    return out
 
 
 def scan(log: DataFrame, filters: Iterable[EventFilter]) -> DataFrame:

@@ -14,7 +14,7 @@ from typing import Any
 from foldlog.errors import AggregateAlreadyExists, AggregateNotFound, ConcurrencyConflict, DecodeError, SnapshotError, UnknownKind
 from foldlog.functions.columns import json_key, kebab_case
 from foldlog.operators.filters import EventFilter, Filters
-from foldlog.operators.snapshots import Policy
+from foldlog.operators.snapshots import Policy, never
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog
 
 
@@ -227,6 +227,18 @@ class Repository:
     def consistency_token(self) -> ConsistencyToken | None:
         return self.log.token()
 
+    def subscribe(self, model, policy: Policy = never):
+        """A live read model (foldlog.streaming.live.LiveModel) over the log, caught up; with a policy its state outlives it."""
+        from foldlog.streaming.live import Subscription
+
+        return Subscription(self.log, model, policy).start()
+
+    def react(self, kind: str, filters: Filters, reaction: Callable[[dict], None], **options):
+        """A reactor over the log, caught up; options as of foldlog.streaming.live.Reactor."""
+        from foldlog.streaming.live import Reactor
+
+        return Reactor(self.log, kind, filters, reaction, **options).start()
+
     def _persist(self, kind: AggregateType, aggregate_id: str, found: Loaded | None, events: list[Event], metadata: dict | None, check: bool) -> ConsistencyToken:
         state = found.state if found else None
         if self.snapshots:

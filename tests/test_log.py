@@ -16,11 +16,11 @@ from foldlog.sources.datasource import register
 from foldlog.streaming.live import LiveModel, Reactor, RetryPolicy, Subscription
 from foldlog.testing import Scenario
 
-ADDED, RESET = "value-added", "value-reset"
+ADDED, RESET = "points-added", "points-set"
 
 
 def add(n):
-    return Event(ADDED, {"amount": n})
+    return Event(ADDED, {"points": n})
 
 
 def events_of(log):
@@ -29,7 +29,7 @@ def events_of(log):
 
 COUNTER = AggregateType(
     "Counter",
-    apply={ADDED: lambda s, d: s + d["amount"], RESET: lambda s, d: d["new_value"]},
+    apply={ADDED: lambda s, d: s + d["points"], RESET: lambda s, d: d["to"]},
     init=lambda: 0,
     handle={"add": lambda s, n: [add(n)] if n else [], "limit": lambda s, n: [add(n)] if s + n <= 100 else (_ for _ in ()).throw(ValueError("over the limit"))},
     handle_create={"add": lambda n: [add(n)] if n else []},
@@ -56,7 +56,7 @@ def test_positions_and_metadata(log):
 
 def test_commits_are_checked_first(log):
     with pytest.raises(SerializationError) as e:
-        log.append("counter", "a", [add(1), Event(ADDED, {"amount": object()})])
+        log.append("counter", "a", [add(1), Event(ADDED, {"points": object()})])
     assert e.value.index == 1 and log.latest_checkpoint() is None
     with pytest.raises(ValueError):
         log.append("counter", "a", [])
@@ -87,7 +87,7 @@ def test_on_a_hadoop_path(spark, tmp_path):
     log.append("counter", "a", [add(1)])
     assert not log.files.publish(f"commits/{commit_name(0)}", "x")
     assert log.append("counter", "a", [add(2)]) == 1
-    assert [d["amount"] for *_, d in events_of(log)] == [1, 2]
+    assert [d["points"] for *_, d in events_of(log)] == [1, 2]
 
 
 def _writer(root, n):
@@ -173,11 +173,11 @@ def test_snapshots_of_aggregates(log):
 
 def test_projections(log):
     log.append("counter", "a", [add(10)], {"user": "x"})
-    log.append("counter", "b", [add(20), Event(RESET, {"new_value": 5})])
+    log.append("counter", "b", [add(20), Event(RESET, {"to": 5})])
 
     def handle(state, context, data):
         key = context["aggregate_id"]
-        return state | {key: state.get(key, 0) + data.get("amount", 0), "by": (context["metadata"] or {}).get("user", state.get("by"))}
+        return state | {key: state.get(key, 0) + data.get("points", 0), "by": (context["metadata"] or {}).get("user", state.get("by"))}
 
     everything = ProjectionType("totals", lambda _: {}, lambda _: Filters().event(ADDED, handle))
     repo = Repository(log)
@@ -220,7 +220,7 @@ def test_data_source(spark, log):
 
 
 def totals():
-    return LiveModel("totals", Filters().event(ADDED), ("aggregate_id",), {"total": F.sum(F.get_json_object("data", "$.amount").cast("long")), "n": F.count("*")}, {"total": F.sum, "n": F.sum})
+    return LiveModel("totals", Filters().event(ADDED), ("aggregate_id",), {"total": F.sum(F.get_json_object("data", "$.points").cast("long")), "n": F.count("*")}, {"total": F.sum, "n": F.sum})
 
 
 def state_of(df):
@@ -255,10 +255,10 @@ def test_reactor(log):
     seen, fail = [], [2]
 
     def react(event):
-        if event["data"]["amount"] == 2 and fail[0]:
+        if event["data"]["points"] == 2 and fail[0]:
             fail[0] -= 1
             raise Retry("not yet")
-        seen.append(event["data"]["amount"])
+        seen.append(event["data"]["points"])
 
     reactor = Reactor(log, "copy", Filters().event(ADDED), react, snapshots.every(2), RetryPolicy(1, 5)).start()
     reactor.stop()
