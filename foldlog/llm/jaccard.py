@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from foldlog.llm import common
 from foldlog.llm.store import stored
-from foldlog.llm.substrings import Hashes, windows
+from foldlog.llm.substrings import windows, word_hashes
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 80 * union.
@@ -82,13 +82,13 @@ def cuts_of(band: int) -> tuple[int, int]:
     return d, d + (d * 3 + 19) // 20 + 1
 
 
-def shingles(lists: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each word list, ascending, one list after another; and where each begins."""
-    at = common.offsets([len(x) for x in lists])
-    h = hashes.of(lists)[:, 0]
+def shingles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text (A-Z lower-cased), ascending, one text after another; and where each begins."""
+    h, at = word_hashes([t.lower() for t in raw])
+    h = h[:, 0]
     counts = np.diff(at)
     n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, 0)
-    own = np.repeat(np.arange(len(lists)), n)
+    own = np.repeat(np.arange(len(raw)), n)
     starts = np.repeat(at[:-1], n) + np.arange(n.sum()) - np.repeat(common.offsets(n)[:-1], n)
     values = windows(h, SHINGLE)[starts] if len(starts) else np.zeros(0, np.uint64)
     few = np.flatnonzero((counts > 0) & (counts < SHINGLE))
@@ -98,7 +98,7 @@ def shingles(lists: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.n
     order = np.lexsort([values, own])
     values, own = values[order], own[order]
     first = np.append(True, (values[1:] != values[:-1]) | (own[1:] != own[:-1]))[: len(values)]
-    return values[first], common.offsets(np.bincount(own[first], minlength=len(lists)))
+    return values[first], common.offsets(np.bincount(own[first], minlength=len(raw)))
 
 
 def set_hash(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,18 +110,11 @@ def set_hash(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(out + np.diff(at).astype(np.uint64), 4)
 
 
-def _words(block: pa.Table) -> list[list[bytes]]:
-    return [t.lower().split() for t in common.raw_texts(block)]
-
-
 def sets_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns keep, n_shingles and node (hash of the set; null for an empty set) for each of docs."""
-    held: list[Hashes] = []
 
     def work(block: pa.Table) -> list:
-        if not held:
-            held.append(Hashes())
-        values, at = shingles(_words(block), held[0])
+        values, at = shingles(common.raw_texts(block))
         return [np.diff(at), pa.array(set_hash(values, at).view(np.int64), mask=np.diff(at) == 0)]
 
     return common.per_document(docs, keep, [("n_shingles", pa.int64()), ("node", pa.int64())], work)
@@ -150,14 +143,11 @@ def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tup
 
 def posts(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob) rows: in each, posts as 48 bits of a key and the node, by bytes."""
-    held: list[Hashes] = []
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Hashes())
         for block in common.blocks(batches):
-            values, at = shingles(_words(block), held[0])
+            values, at = shingles(common.raw_texts(block))
             nodes = set_hash(values, at)
             _, first = np.unique(nodes, return_index=True)
             found = list(posts_of(values, at, [i for i in first.tolist() if at[i + 1] > at[i]]))
@@ -232,13 +222,10 @@ def meet(docs: DataFrame, total: int) -> DataFrame:
 
 def sketches(texts: DataFrame) -> DataFrame:
     """(node, n, sketch) of texts (node, text): the size of the set, and which of BITS bits an odd number of its shingles toggles."""
-    held: list[Hashes] = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Hashes())
         for block in common.blocks(batches):
-            values, at = shingles(_words(block), held[0])
+            values, at = shingles(common.raw_texts(block))
             own = np.repeat(np.arange(len(at) - 1), np.diff(at))
             bit = (mix(values, 21) & np.uint64(BITS - 1)).astype(np.int64)
             odd = (np.bincount(own * BITS + bit, minlength=(len(at) - 1) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
@@ -338,16 +325,13 @@ def compared(members: DataFrame, known: DataFrame, across: bool) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose texts (node, text) link."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    held: list[Hashes] = []
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Hashes())
         for block in common.blocks(batches):
             ids, place = np.unique(np.concatenate([block.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
             own_text = dict(zip(place.tolist(), [t for c in ("text_a", "text_b") for t in common.raw_texts(block, c)], strict=True))
-            values, at = shingles([own_text[i].lower().split() for i in range(len(ids))], held[0])  # each text once
+            values, at = shingles([own_text[i] for i in range(len(ids))])  # each text once
             n = block.num_rows
             sizes = np.diff(at)
             shared = [len(np.intersect1d(values[at[i] : at[i + 1]], values[at[j] : at[j + 1]], assume_unique=True)) for i, j in zip(place[:n].tolist(), place[n:].tolist(), strict=True)]

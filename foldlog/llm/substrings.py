@@ -22,7 +22,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,20 +33,40 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class Hashes:
-    """128-bit hashes of words, and of windows of them."""
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+_BYTES = np.random.default_rng(8).integers(0, 1 << 63, (256, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __init__(self):
-        self.held = common.Growing(np.zeros((0, 2), np.uint64))
-        self.words = common.Words(self._learn, self.held.clear)
 
-    def _learn(self, words: list[bytes]) -> None:
-        raw = b"".join(xxhash.xxh3_128_digest(w) for w in words)
-        self.held.extend(np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2))
+def powers(odd: int, n: int) -> np.ndarray:
+    """The first n powers, from two short tables."""
+    size = 4096
+    low = _powers(np.uint64(odd), size)
+    high = _powers(np.uint64(pow(odd, size, 1 << 64)), -(-n // size))
+    return (high[:, None] * low).ravel()[:n]
 
-    def of(self, lists: list[list[bytes]]) -> np.ndarray:
-        which = self.words.numbers(lists)
-        return self.held.arrays[0][which]
+
+def word_hashes(raw: list[bytes], parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes (one column for each of parts) of all words of the texts, and where each text's words begin.
+
+    All bytes of the texts are worked on at once: a word's hash is a difference of prefix sums.
+    """
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.append(0, edge)
+    start, end = edge[0::2], edge[1::2]
+    at = np.searchsorted(start, common.offsets([len(t) + 1 for t in raw]))
+    out = np.empty((len(start), parts), np.uint64)
+    for k in range(parts):
+        odd = int(_ODD[k])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[:, k][data] * powers(odd, len(data)), out=sums[1:])
+        back = powers(pow(odd, -1, 1 << 64), len(data))
+        h = (sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out[:, k] = h ^ (h >> np.uint64(29))
+    return out, at
 
 
 def _powers(odd: np.uint64, n: int) -> np.ndarray:
@@ -57,7 +76,7 @@ def _powers(odd: np.uint64, n: int) -> np.ndarray:
 
 
 def windows(h: np.ndarray, length: int, part: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of length word hashes (one column of Hashes), whatever document it ends in."""
+    """A 64-bit hash of each run of length word hashes (one column of word_hashes()), whatever document it ends in."""
     n = len(h)
     if n < length:
         return np.zeros(0, np.uint64)
@@ -96,26 +115,23 @@ def _levels(length: int) -> list[int]:
 def summaries(docs: DataFrame, length: int) -> DataFrame:
     """A row for each of docs: doc_id, t1, t2 (hash of the text), n_words, kept (hash of all words), and its posted half windows."""
     half = _levels(length)[0]
-    hashes: list[Hashes] = []
     schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("posted", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not hashes:
-            hashes.append(Hashes())
         for block in common.blocks(batches):
-            lists = [t.split() for t in common.raw_texts(block)]
-            at = common.offsets([len(x) for x in lists])
-            h = hashes[0].of(lists)[:, 0]
+            raw = common.raw_texts(block)
+            h, at = word_hashes(raw)
+            h = h[:, 0]
             found = least(windows(h, half), length - half + 1)[whole(at, length)] if len(h) >= length else np.zeros(0, np.uint64)
-            own = np.repeat(np.arange(len(lists)), np.maximum(np.diff(at) - length + 1, 0))
+            own = np.repeat(np.arange(len(raw)), np.maximum(np.diff(at) - length + 1, 0))
             change = np.append(True, (found[1:] != found[:-1]) | (own[1:] != own[:-1]))[: len(found)]
             found, own = found[change], own[change]
             order = np.lexsort([found, own])
             found, own = found[order], own[order]
             first = np.append(True, (found[1:] != found[:-1]) | (own[1:] != own[:-1]))[: len(found)]
             found, own = found[first].view(np.int64), own[first]
-            posted = pa.ListArray.from_arrays(pa.array(common.offsets(np.bincount(own, minlength=len(lists))), pa.int32()), pa.array(found, pa.int64()))
-            digests = [hashlib.sha256(b" ".join(x)).hexdigest() for x in lists]
+            posted = pa.ListArray.from_arrays(pa.array(common.offsets(np.bincount(own, minlength=len(raw))), pa.int32()), pa.array(found, pa.int64()))
+            digests = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in raw]
             yield pa.RecordBatch.from_arrays([*(block.column(n).cast(pa.int64()).combine_chunks() for n in ("doc_id", "t1", "t2")), pa.array(np.diff(at)), pa.array(digests, pa.string()), posted], schema=schema)
 
     common.arrow(docs.sparkSession)
@@ -129,21 +145,17 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def candidates(texts: DataFrame, length: int) -> DataFrame:
     """From texts with the repeated half windows that they posted: each full window (doc_id, t1, place, a, b) that rests on one."""
     half = _levels(length)[0]
-    hashes: list[Hashes] = []
     schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("place", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not hashes:
-            hashes.append(Hashes())
         for block in common.blocks(batches):
-            lists = [t.split() for t in common.raw_texts(block)]
-            at = common.offsets([len(x) for x in lists])
-            h = hashes[0].of(lists)
+            raw = common.raw_texts(block)
+            h, at = word_hashes(raw, 2)
             starts = whole(at, length)
             lowest = least(windows(h[:, 0], half), length - half + 1)[starts].view(np.int64)
             column = block.column("repeated").combine_chunks()
-            own = np.repeat(np.arange(len(lists)), np.maximum(np.diff(at) - length + 1, 0))
-            has = np.repeat(np.arange(len(lists)), np.diff(column.offsets.to_numpy()))
+            own = np.repeat(np.arange(len(raw)), np.maximum(np.diff(at) - length + 1, 0))
+            has = np.repeat(np.arange(len(raw)), np.diff(column.offsets.to_numpy()))
             values, code = np.unique(np.concatenate([column.flatten().to_numpy(), lowest]), return_inverse=True)
             n = len(has)
             good = np.isin(own * len(values) + code[n:], has * len(values) + code[:n])
