@@ -16,8 +16,8 @@ Nothing is left out for skew:
   chunks of CHUNK. At first each chunk gives the edges of a shortest spanning forest, then, once what they link is known,
   the pairs within the distance that are still in different components.
 
-Links are verified in steps, so that few pairs of a large group are: the closest candidate of each set; the candidates
-between the components that this leaves; those of the crowded parts. Components come from distributed hooking and
+Links are verified in two steps, so that few pairs of a large group are: the closest candidate of each set; then all
+candidates between the components that this leaves. Components come from distributed hooking and
 pointer jumping. No links, components or fingerprints go to the driver.
 """
 
@@ -387,7 +387,8 @@ def join(docs: DataFrame) -> DataFrame:
     crowded = met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key"), "crowd")
     used = met.select(F.col("a").alias("node")).union(met.where("crowd = 0").select(F.col("b").alias("node"))).distinct()
     wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), F.col("node").alias("own")))
-    texts = stored(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id"), ["text", "own"]).where("node = own").select("node", "text").dropDuplicates(["node"]))
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already
+    texts = stored(sets_of(own, ["text", "own"]).where("node = own").select("node", "text"))
     known = stored(sketches(texts))
 
     near = stored(narrowed(pairs, known).union(compared(crowded, known, across=False)).distinct())
@@ -396,12 +397,9 @@ def join(docs: DataFrame) -> DataFrame:
     nearest = stored(sides.groupBy("side").agg(closest).select("pair.*").distinct())
     found = stored(verified(nearest, texts))
     labels = components(found)
-    rest = stored(between(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels))
-    found = stored(found.union(verified(rest, texts)))
-    labels = components(found)
     members = crowded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    late = compared(members, known, across=True).select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
-    labels = components(found.union(verified(late, texts)))
+    rest = between(near.select("a", "b"), labels).union(compared(members, known, across=True).select("a", "b")).distinct().join(nearest, ["a", "b"], "left_anti")
+    labels = components(found.union(verified(rest, texts)))
 
     reach = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     reach = stored(reach)
