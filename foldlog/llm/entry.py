@@ -17,4 +17,8 @@ QUERIES = {
     "op10_best_fit_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_derivatives": warc.oracle(),
+    "op7_ngram_jaccard_join": jaccard.ORACLE_SQL,
+    "op8_substring_dedup": substrings.ORACLE_SQL,
+}

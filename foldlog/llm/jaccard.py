@@ -324,7 +324,8 @@ def compared(members: DataFrame, known: DataFrame, across: bool) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose texts (node, text) link."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")  # noqa: E731  the same plan at every size
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +388,7 @@ def join(docs: DataFrame) -> DataFrame:
     crowded = met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key"), "crowd")
     used = met.select(F.col("a").alias("node")).union(met.where("crowd = 0").select(F.col("b").alias("node"))).distinct()
     wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), F.col("node").alias("own")))
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already
     texts = stored(sets_of(own, ["text", "own"]).where("node = own").select("node", "text"))
     known = stored(sketches(texts))
 
@@ -427,3 +428,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: For DuckDB: pairs that share a shingle, and what is reachable by links.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(shingle) AS n_shingles FROM d LEFT JOIN s USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n_shingles + b.n_shingles - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
+SELECT doc_id, any_value(n_shingles)::BIGINT AS n_shingles, min(other) AS component_id FROM r JOIN n USING (doc_id) GROUP BY 1
+"""

@@ -234,3 +234,15 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: For DuckDB: windows as text, all of them grouped.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT key, min(doc_id) AS first FROM h GROUP BY key),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM h JOIN f USING (key) WHERE doc_id > first),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+g AS (SELECT k.doc_id, count(r.j) AS n_removed, string_agg(word, ' ' ORDER BY k.j) FILTER (r.j IS NULL) AS kept FROM k LEFT JOIN r ON k.doc_id = r.doc_id AND k.j = r.j GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
