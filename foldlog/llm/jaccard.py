@@ -16,8 +16,8 @@ Nothing is left out for skew:
   chunks of CHUNK. At first each chunk gives the edges of a shortest spanning forest, then, once what they link is known,
   the pairs within the distance that are still in different components.
 
-Links are verified in two steps, so that few pairs of a large group are: the closest candidate of each set; then all
-candidates between the components that this leaves. Components come from distributed hooking and
+Links are verified in steps, so that few pairs of a large group are: the closest candidate of each set; the candidates
+and edges of the forests between the components that this leaves; what is still apart in crowded parts. Components come from distributed hooking and
 pointer jumping. No links, components or fingerprints go to the driver.
 """
 
@@ -398,9 +398,12 @@ def join(docs: DataFrame) -> DataFrame:
     nearest = stored(sides.groupBy("side").agg(closest).select("pair.*").distinct())
     found = stored(verified(nearest, texts))
     labels = components(found)
+    rest = stored(between(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels))
+    found = stored(found.union(verified(rest, texts)))
+    labels = stored(components(found))
     members = crowded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = between(near.select("a", "b"), labels).union(compared(members, known, across=True).select("a", "b")).distinct().join(nearest, ["a", "b"], "left_anti")
-    labels = components(found.union(verified(rest, texts)))
+    late = compared(members, known, across=True).select("a", "b").distinct().join(nearest.union(rest), ["a", "b"], "left_anti")
+    labels = components(found.union(verified(late, texts)))
 
     reach = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     reach = stored(reach)
