@@ -16,8 +16,9 @@ tokenizer, looked up once for each distinct word of a worker.
 Base scores need the count of every word in all training texts. Blocks of texts send their distinct words (64-bit
 hashes) with counts to buckets of the hash space; buckets add the counts up and send them back to the blocks, which
 meet them with the words and attention scores that each text kept. Frequent words are summed in their block before anything
-is sent, so no bucket and no block is larger for them. The training sample for the attention model is bounded
-(SAMPLE_TEXTS texts, SPANS spans of each); counts, tokens and scores cover everything.
+is sent, so no bucket and no block is larger for them. Counts, tokens, scores and training cover
+everything: the trees come from the subwords of all training texts, and every window of them is learned from, by one
+trainer for each core, whose models are averaged in rounds. Scores depend a little on how texts fall to the trainers.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +38,11 @@ from foldlog.llm import common
 from foldlog.llm.store import stored
 
 WIDTH, STEP = 16, 16
-SAMPLE_TEXTS, SPANS = 2000, 128
 BATCH, RATE = 128, 0.08
-#: Windows that training visits in all, about; epochs at most.
-VISITS, EPOCHS = 300_000, 8
+#: Windows that training visits in all, at least about so many; passes over all texts at most; rounds, after each of which models are averaged, at least.
+VISITS, EPOCHS, ROUNDS = 300_000, 8, 4
+#: Parts of the model of which few rows change at a time, and others; rows that are averaged together.
+SPARSE, DENSE, PIECE = ("e", "n", "b"), ("q", "k", "v", "u", "d"), 256
 #: Windows that are worked on at once.
 AT_ONCE = 256
 #: Bytes of text in a block, and words that a worker knows at once.
@@ -143,28 +145,36 @@ def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, d: np.ndarray, first: np
     return s, np.matmul(s, v)
 
 
-def train(model: dict, sequences: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray, epochs: int | None = None, seed: int = 4) -> float:
-    """Adagrad over windows of sequences; returns the mean loss of the last epoch (natural log, for each token)."""
-    rng, tree = np.random.default_rng(seed), model["tree"]
-    epochs = epochs or min(EPOCHS, max(1, round(VISITS / max(len(first), 1))))
-    past = {x: np.full_like(model[x], 1e-3) for x in ("e", "q", "k", "v", "u", "d", "n", "b")}
-    scale, loss, total = np.float32(1 / math.sqrt(WIDTH)), 0.0, 0
+class Trainer:
+    """Adagrad over the windows of one block after another.
 
-    def dense(x: str, g: np.ndarray) -> None:
-        past[x] += g * g
-        model[x] -= RATE * g / np.sqrt(past[x])
+    visits counts what each row of a sparse part met, and the windows for a dense part: the weights of a mean of several trainers.
+    """
+
+    def __init__(self, model: dict):
+        self.model = {x: model[x].copy() for x in (*SPARSE, *DENSE)}
+        self.past = {x: model["past"][x].copy() for x in self.model}
+        self.tree, self.loss, self.total = model["tree"], 0.0, 0
+        self.visits = {x: np.zeros(len(self.model[x]) if x in SPARSE else 1) for x in self.model}
 
-    def sparse(x: str, rows: np.ndarray, g: np.ndarray) -> None:
+    def _dense(self, x: str, g: np.ndarray) -> None:
+        self.past[x] += g * g
+        self.model[x] -= RATE * g / np.sqrt(self.past[x])
+
+    def _sparse(self, x: str, rows: np.ndarray, g: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         rows, g = rows[order], g[order]
         cuts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         rows, g = rows[cuts], np.add.reduceat(g, cuts, axis=0)
-        past[x][rows] += g * g
-        model[x][rows] -= RATE * g / np.sqrt(past[x][rows])
-
-    for epoch in range(epochs):
-        if epoch == epochs - 1:
-            loss, total = 0.0, 0
+        self.visits[x][rows] += np.diff(np.append(cuts, len(order)))
+        self.past[x][rows] += g * g
+        self.model[x][rows] -= RATE * g / np.sqrt(self.past[x][rows])
+
+    def visit(self, sequences: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> None:
+        """Each window once, in random order."""
+        model, tree, scale = self.model, self.tree, np.float32(1 / math.sqrt(WIDTH))
+        for x in DENSE:
+            self.visits[x] += len(first)
         for chosen in np.array_split(rng.permutation(len(first)), max(1, len(first) // BATCH)):
             f, s0, m = first[chosen], start[chosen], n[chosen]
             place = np.clip(f[:, None] + np.arange(2 * STEP), 0, len(sequences) - 1)
@@ -181,12 +191,12 @@ def train(model: dict, sequences: np.ndarray, first: np.ndarray, start: np.ndarr
             node, sign = tree.node[path], tree.sign[path]
             w = model["n"][node]
             z = sign * (np.einsum("ij,ij->i", w, hidden[own]) + model["b"][node])
-            loss += float(np.logaddexp(0, -z).sum())
-            total += len(target)
+            self.loss += float(np.logaddexp(0, -z).sum())
+            self.total += len(target)
             g = (-sign / (1 + np.exp(z))).astype(np.float32)
             gh = common.sums(g[:, None] * w, at).astype(np.float32)
-            sparse("n", node, g[:, None] * hidden[own])
-            sparse("b", node, g)
+            self._sparse("n", node, g[:, None] * hidden[own])
+            self._sparse("b", node, g)
             back = np.zeros_like(h)
             back[live] = gh
             gx = np.zeros_like(x)
@@ -200,10 +210,9 @@ def train(model: dict, sequences: np.ndarray, first: np.ndarray, start: np.ndarr
             flat = lambda t: t.reshape(-1, WIDTH)
             by_distance = np.bincount(np.maximum(_later, 0).ravel(), (gs.sum(axis=0) * (_later >= 0)).ravel(), 2 * STEP).astype(np.float32)
             steps = {"u": flat(xq).T @ flat(back), "q": flat(xq).T @ flat(gq), "k": flat(x).T @ flat(gk), "v": flat(x).T @ flat(gv), "d": by_distance}
-            sparse("e", ids.ravel(), flat(gx))
+            self._sparse("e", ids.ravel(), flat(gx))
             for name, step in steps.items():
-                dense(name, step)
-    return loss / max(total, 1)
+                self._dense(name, step)
 
 
 class Scorer:
@@ -326,39 +335,124 @@ def _words(block: pa.Table) -> list[list[bytes]]:
     return [t.lower().split() for t in common.raw_texts(block)]
 
 
+def _sequences(batches: Iterable[pa.RecordBatch], ranks: dict[bytes, int], pattern: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each block of texts: their ids, with the end before each text and after the last, and the texts' offsets."""
+    subwords, end = _subwords(ranks, pattern), max(ranks.values()) + 1
+    for block in common.blocks(batches, BLOCK):
+        ids, at, *_ = subwords.of(_words(block), end)
+        yield np.insert(ids, at[:-1], end), at
+
+
+def _subword_counts(docs: DataFrame, shared: Broadcast, v: int) -> tuple[np.ndarray, int]:
+    """How often each id stands in the texts and their ends, and how many windows they have."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(v + 1, np.int64)  # the last are the windows
+        for sequence, at in _sequences(batches, *shared.value):
+            counts[:v] += np.bincount(sequence, minlength=v)
+            counts[v - 1] -= len(at) - 1  # the ends before texts are given, not learned
+            counts[v] += int((-(-np.diff(at) // STEP)).sum())
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["id", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id
+    counts = np.zeros(v + 1, np.int64)
+    counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
+    return counts[:v], int(counts[v])
+
+
+def _pieces(model: dict) -> list[tuple[str, int, int]]:
+    """Parts of the model that are averaged one by one: name, first row and the row after the last."""
+    return [(x, a, min(a + PIECE, len(model[x]))) for x in SPARSE for a in range(0, len(model[x]), PIECE)] + [(x, 0, len(model[x])) for x in DENSE]
+
+
+def _round(docs: DataFrame, model: dict, words: Broadcast, number: int, seed: int) -> dict:
+    """The mean of models that learned from docs (text), one for each core; each row is weighted by what its trainer met of it."""
+    spark = docs.sparkSession
+    shared, pieces = spark.sparkContext.broadcast(model), _pieces(model)
+    shards = max(1, spark.sparkContext.defaultParallelism)
+    own = "piece int, shard int, blob binary"
+    kinds = pa.schema([("piece", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())])
+    flat = lambda x: x.reshape(len(x), -1)
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, shard = Trainer(shared.value), TaskContext.get().partitionId()
+        for i, (sequence, at) in enumerate(_sequences(batches, *words.value)):
+            trainer.visit(sequence, *window_places(at), np.random.default_rng((seed, number, shard, i)))
+        if not trainer.total:
+            return
+        for i, (x, a, b) in enumerate(pieces):
+            met = trainer.visits[x][a:b] if x in SPARSE else np.repeat(trainer.visits[x], b - a)
+            rows = np.flatnonzero(met)
+            both = np.column_stack([flat(trainer.model[x])[a:b][rows], flat(trainer.past[x])[a:b][rows]])
+            blob = rows.astype("<u4").tobytes() + met[rows].astype("<f4").tobytes() + both.astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], schema=kinds)
+        told = np.array([trainer.loss, trainer.total], "<f8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([shard], pa.int32()), pa.array([told], pa.binary())], schema=kinds)
+
+    def mean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by piece and shard; what is held is one piece."""
+        at, total, weight = None, None, None
+
+        def done() -> pa.RecordBatch:
+            rows = np.flatnonzero(weight)
+            blob = rows.astype("<u4").tobytes() + (total[rows] / weight[rows, None]).astype("<f4").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], schema=kinds)
+
+        for batch in batches:
+            for piece, blob in zip(batch.column("piece").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if piece == -1:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], schema=kinds)
+                    continue
+                x, a, b = pieces[piece]
+                width = 2 * flat(shared.value[x]).shape[1]
+                if piece != at:
+                    if at is not None:
+                        yield done()
+                    at, total, weight = piece, np.zeros((b - a, width)), np.zeros(b - a)
+                n = len(blob) // (8 + 4 * width)
+                rows, met = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<f4", n, 4 * n)
+                total[rows] += np.frombuffer(blob, "<f4", n * width, 8 * n).reshape(n, width) * met[:, None].astype(np.float64)
+                weight[rows] += met
+        if at is not None:
+            yield done()
+
+    parts = docs.select("text").coalesce(shards).mapInArrow(learn, own)
+    out = parts.repartition(shards, "piece").sortWithinPartitions("piece", "shard").mapInArrow(mean, own).collect()  # as large as the model
+    model = model | {x: model[x].copy() for x in (*SPARSE, *DENSE)} | {"past": {x: y.copy() for x, y in model["past"].items()}}
+    for piece, _, blob in out:
+        if piece == -1:
+            continue
+        x, a, _ = pieces[piece]
+        k = flat(model[x]).shape[1]
+        n = len(blob) // (4 + 8 * k)
+        rows, new = a + np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<f4", 2 * n * k, 4 * n).reshape(n, 2 * k)
+        model[x][rows] = new[:, :k].reshape(n, *model[x].shape[1:])
+        model["past"][x][rows] = new[:, k:].reshape(n, *model[x].shape[1:])
+    told = np.array([np.frombuffer(blob, "<f8") for piece, _, blob in out if piece == -1]).reshape(-1, 2).sum(axis=0)
+    shared.unpersist()
+    return model | {"loss": float(told[0] / max(told[1], 1)), "visited": model.get("visited", 0) + int(told[1])}
+
+
 def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, seed: int = 3) -> dict:
-    """A model trained on spans of STEP tokens and their contexts, from a bounded sample of docs (doc_id, text)."""
+    """A model trained on all tokens of docs (doc_id, text), with the frequencies of all of them.
+
+    Texts are dealt to rounds by their hash; a pass takes every window of every text once. Small tables are passed over
+    several times (VISITS). visited is the number of tokens that training met in all its passes.
+    """
     spark, end = docs.sparkSession, max(ranks.values()) + 1
-    n = docs.count()
-    sample = docs.where(common.share("doc_id", seed) < min(1.0, SAMPLE_TEXTS / max(n, 1))).select("doc_id", "text")
     common.arrow(spark)
     shared = spark.sparkContext.broadcast((ranks, pattern))
-
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = _subwords(*shared.value)
-        for block in common.blocks(batches):
-            ids, at, *_ = subwords.of(_words(block), end)
-            first, start, n = window_places(at)
-            sequence = np.insert(ids, at[:-1], end)
-            own = np.searchsorted(at[:-1] + np.arange(len(at) - 1), start)
-            number = (first + STEP - start) // STEP
-            total = np.bincount(own, minlength=len(at) - 1)[own]
-            stride = -(-total // SPANS)  # long texts give every stride-th span
-            good = np.flatnonzero(number % stride == 0)
-            rows = [sequence[max(f, s) : f + STEP + m + 1].tolist() for f, s, m in zip(first[good].tolist(), start[good].tolist(), n[good].tolist(), strict=True)]
-            ids_of = block.column("doc_id").to_numpy()[own[good]] if len(good) else []
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of, pa.int64()), pa.array(number[good], pa.int64()), pa.array(n[good], pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "number", "n", "ids"])
-
-    rows = sample.mapInArrow(windows, "doc_id long, number long, n long, ids array<int>").toArrow().sort_by([("doc_id", "ascending"), ("number", "ascending")])
-    lists, n = rows.column("ids").combine_chunks(), rows.column("n").to_numpy()
-    lengths = lists.value_lengths().to_numpy()
-    sequence, at = lists.flatten().to_numpy().astype(np.int64), common.offsets(lengths)
-    counts = np.bincount(sequence, minlength=end + 1) + 0.02
-    model = new_model(counts, begins_word(ranks), seed)
-    if len(n):
-        start = at[:-1]
-        first = start + lengths - 1 - n - STEP
-        model["loss"] = train(model, sequence, first, start, n)
+    counts, windows = _subword_counts(docs, shared, end + 1)
+    model = new_model(counts + 0.02, begins_word(ranks), seed)
+    model["past"] = {x: np.full_like(model[x], 1e-3) for x in (*SPARSE, *DENSE)}
+    if windows:
+        passes = min(EPOCHS, max(1, round(VISITS / windows)))
+        parts = -(-ROUNDS // passes)
+        for i in range(passes * parts):
+            own = docs if parts == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(parts)) == i % parts)
+            model = _round(own, model, shared, i, seed)
+    del model["past"]
     return model
 
 

@@ -168,6 +168,26 @@ def test_language_model_is_a_distribution():
     assert 0.98 < total <= 1.0001
 
 
+def test_language_model_learns_from_all_texts(spark):
+    """Trees have the subword frequencies of all texts, and training meets every token of each pass, of many texts and of a long one."""
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 6)) for _ in range(3000)] + [" ".join(words(rng, 3000))]
+    table, end = ranks(), max(ranks().values()) + 1
+    engine = tiktoken.Encoding("words", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
+    ids = [[x for w in t.split() for x in engine.encode_ordinary(" " + w)] + [end] for t in texts]
+    counts = np.bincount([x for i in ids for x in i], minlength=end + 1)
+    windows = sum(-(-len(i) // attention_lm.STEP) for i in ids)
+    passes = min(attention_lm.EPOCHS, round(attention_lm.VISITS / windows))
+    model = attention_lm.fit(frame(spark, texts), table, P.PATTERN)
+    assert (model["tree"].length == attention_lm.Tree(counts + 0.02, attention_lm.begins_word(table)).length).all()
+    assert model["visited"] == passes * counts.sum()
+    start = attention_lm.new_model(counts + 0.02, attention_lm.begins_word(table))
+    moved = np.abs(model["e"] - start["e"]).max(axis=1) > 0
+    assert moved[counts > 0].all() and not moved[counts == 0].any()
+    entropy = -(counts[counts > 0] / counts.sum() * np.log(counts[counts > 0] / counts.sum())).sum()
+    assert 0 < model["loss"] < entropy
+
+
 def test_windows_score_each_token_once():
     at = np.array([0, 1, 40, 40 + 16, 100])
     first, start, n = attention_lm.window_places(at)
