@@ -6,7 +6,8 @@ term, a hash of the term gives r and c from a Gamma(2, 1) distribution and b, un
 with a probability that equals the generalised Jaccard similarity of their weights, so the share of equal samples
 estimates it (standard error at most 1 / (2 * sqrt(SAMPLES))). A fingerprint holds 20 bits of each sample.
 
-Gamma variates come from a table of TABLE equally likely values (plans hold it for each sample, so it is short); ties are broken by the term's bits. Terms are exploded and
+Gamma variates are -ln(u1 * u2) of uniforms from 32 hash bits each, so that their tails, where the least values of long
+texts lie, are as they should be; ties are broken by the term's bits. Terms are exploded and
 reduced within the task that holds the text: one row for each text is what is shuffled.
 """
 
@@ -19,27 +20,12 @@ from pyspark.sql import functions as F
 from foldlog.llm import common
 from foldlog.llm.store import stored
 
-SAMPLES, SHINGLE, TABLE = 64, 5, 128
+SAMPLES, SHINGLE = 64, 5
 #: Rows of a range of ids, about; ranges at most.
 RANGE_ROWS, RANGES = 50_000, 2000
 _MASK = (1 << 20) - 1
 
 
-def gamma_table(n: int = TABLE) -> np.ndarray:
-    """The Gamma(2, 1) quantiles of (i + 1/2) / n, by bisection of 1 - (1 + x) exp(-x)."""
-    p = (np.arange(n) + 0.5) / n
-    low, high = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        x = (low + high) / 2
-        under = 1 - (1 + x) * np.exp(-x) < p
-        low, high = np.where(under, x, low), np.where(under, high, x)
-    return (low + high) / 2
-
-
-def _literal(values: np.ndarray) -> Column:
-    return F.expr(f"array({','.join(f'{v:.6g}D' for v in map(float, values))})")
-
-
 def _words(text: str) -> str:
     spaces = r"' \t\n\u000b\f\r'"
     trimmed = f"trim(BOTH {spaces} FROM {text})"
@@ -57,26 +43,29 @@ def _terms(df: DataFrame) -> DataFrame:
     return df.withColumn("weights", F.expr("if(sorted IS NULL, NULL, zip_with(runs, concat(slice(runs, 2, size(runs)), array(size(sorted))), (a, b) -> coalesce(b, a + 1) - a))")).drop("all", "alone", "sorted", "runs")
 
 
-def _sample(k: int, r_table: Column, c_table: Column) -> Column:
+def _gamma(x: Column) -> Column:
+    """Gamma(2, 1) from 64 hash bits; greater than 0."""
+    half = lambda bits: (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-32)
+    return -F.log(half(F.shiftrightunsigned(x, 32)) * half(x.bitwiseAND(F.lit((1 << 32) - 1))))
+
+
+def _sample(k: int) -> Column:
     """The packed value of one term: the number to be minimal in the high bits, 20 bits of term and t in the low ones."""
-    salt = int(np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF).astype(np.int64))
-    x = F.xxhash64(F.col("term").bitwiseXOR(F.lit(salt)))
-    r = F.get(r_table, x.bitwiseAND(F.lit(TABLE - 1)).cast("int"))
-    ln_c = F.get(c_table, F.shiftright(x, 12).bitwiseAND(F.lit(TABLE - 1)).cast("int"))
-    b = F.shiftrightunsigned(x, 24).cast("double") * F.lit(2.0**-40)
+    salts = [int(np.uint64(0x9E3779B97F4A7C15 * (3 * k + j + 1) & 0xFFFFFFFFFFFFFFFF).astype(np.int64)) for j in range(3)]
+    x, y, z = (F.xxhash64(F.col("term").bitwiseXOR(F.lit(s))) for s in salts)
+    r, ln_c = _gamma(x), F.log(_gamma(y))
+    b = F.shiftrightunsigned(z, 24).cast("double") * F.lit(2.0**-40)
     t = F.when(F.col("ln_w") == 0.0, F.lit(0.0)).otherwise(F.floor(F.col("ln_w") / r + b).cast("double"))
     value = ((ln_c - r * (t - b + F.lit(1.0)) + F.lit(64.0)) * F.lit(float(1 << 36))).cast("long")
-    mark = (F.col("term") + t.cast("long") * F.lit(7919)).bitwiseAND(F.lit(_MASK))
+    mark = (F.col("term").bitwiseAND(F.lit(_MASK)) + t.cast("long") * F.lit(7919)).bitwiseAND(F.lit(_MASK))
     return F.shiftleft(value, 20).bitwiseOR(mark)
 
 
 def signatures(df: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
     """keys (together a row's identity), whole numbers carried, and samples (array of ints, empty without words), from rows with words."""
-    gamma = gamma_table()
-    r_table, c_table = _literal(gamma), _literal(np.log(gamma))
     rows = _terms(df).select(*keys, *carried, "weights", F.posexplode_outer("terms").alias("at", "term"))
     rows = rows.select(*keys, *carried, "term", F.when(F.col("weights").isNull(), F.lit(0.0)).otherwise(F.log(F.get("weights", F.col("at")).cast("double"))).alias("ln_w"))
-    least = [F.min(_sample(k, r_table, c_table)).alias(f"s{k}") for k in range(SAMPLES)]
+    least = [F.min(_sample(k)).alias(f"s{k}") for k in range(SAMPLES)]
     out = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *least)
     codes = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(_MASK)).cast("int") for k in range(SAMPLES)])
     return out.select(*keys, *carried, F.when(F.col("s0").isNull(), F.array().cast("array<int>")).otherwise(codes).alias("samples"))

@@ -239,6 +239,16 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert np.corrcoef(got, exact)[0, 1] > 0.5
 
 
+def test_collision_rate_of_many_weighted_terms(spark, monkeypatch):
+    """15,000 single terms beside 750 of weight 10, against the 750 alone: a third of the weight is common."""
+    both = "concat(transform(sequence(1, 15000), i -> xxhash64(id, i)), transform(sequence(1, 750), i -> xxhash64(id, -i)))"
+    weights = "concat(array_repeat(1, 15000), array_repeat(10, 750))"
+    parts = [spark.range(8).selectExpr("id", f"{side} AS side", f"slice({both}, {at}, 20000) AS terms", f"slice({weights}, {at}, 20000) AS weights") for side, at in ((0, 1), (1, 15001))]
+    monkeypatch.setattr(cws, "_terms", lambda d: d)
+    by = {(r.id, r.side): np.array(r.samples) for r in cws.signatures(parts[0].union(parts[1]), ["id", "side"], []).collect()}
+    assert abs(np.mean([by[k, 0] == by[k, 1] for k in range(8)]) - 1 / 3) < 0.08
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
