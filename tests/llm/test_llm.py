@@ -435,6 +435,19 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(odd(spark), langid.fit(empty(spark))).collect()} == {"und"}
 
 
+def test_language_knows_every_language(spark):
+    """More languages than 64, and the last ones with the fewest rows."""
+    rng = random.Random(13)
+    letters = [chr(0x4E00 + i) for i in range(210)]
+    rows = [(100 * k + i, " ".join("".join(rng.choices(letters[3 * k : 3 * k + 3], k=3)) for _ in range(20)), f"l{k:02}") for k in range(70) for i in range(30 if k < 64 else 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id % 4 <> 0"))
+    assert len(model["labels"]) == 70
+    out = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    right = collections.Counter(lang for i, _, lang in rows if out[i] == lang)
+    assert all(right[f"l{k}"] == 20 for k in range(64, 70))
+
+
 def test_archive_records(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<html lang=en><title> A\n b</title><p>x &amp;lt; y<br>z<script>var a='<p>';</script><a href=q>l</a>"), (2, None, None), (None, "u", "plain"), (2, None, None)], "page_id long, url string, html string")
     rows = warc.derive(warc.responses(pages)).collect()
