@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch between the JVM and a Python worker; texts can be long, so batches are short.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker, about: texts can be long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 #: Bytes of text that a worker gathers before it works on them.
 BLOCK_BYTES = 8 << 20
 
@@ -22,8 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow(spark: SparkSession) -> None:
-    """Short Arrow batches for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Short Arrow batches for this session, whose settings the plans of the operators take up when they run; shorter ones stay."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = (spark.conf.get(key) or "").rstrip("b")  # bytes are shown with their unit
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def remainder(column: str, n: int) -> Column:
@@ -31,32 +35,27 @@ def remainder(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the folder in spark.checkpoint.dir (a reliable checkpoint, readable by every executor)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if place is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="checkpoints")
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint()
+def _split(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold most bytes each, or one row."""
+    if batch.num_rows == 1 or batch.nbytes <= most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _split(batch.slice(0, half), most)
+        yield from _split(batch.slice(half), most)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Consecutive batches joined until they hold most bytes; memory is bounded by that and one batch."""
+    """The rows in blocks of most bytes at most, unless a single row is larger; memory is bounded by that and one batch."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        if batch.num_rows:
+    for whole in batches:
+        for batch in _split(whole, most) if whole.num_rows else ():
+            if held and size + batch.nbytes > most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
             held.append(batch)
             size += batch.nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -178,9 +177,24 @@ def per_document(docs: DataFrame, keep: list[str], fields: list[tuple[str, pa.Da
     return source.mapInArrow(run, schema)
 
 
-def share(column: str, seed: int) -> Column:
-    """A number from 0 to 1 that depends on an id alone."""
-    return (F.xxhash64(F.col(column), F.lit(seed)) % F.lit(1 << 30) + F.lit(1 << 30)) % F.lit(1 << 30) / F.lit(float(1 << 30))
+def share(seed: int, *columns: str) -> Column:
+    """A number from 0 to 1 that depends on the values of columns alone."""
+    return (F.xxhash64(*columns, F.lit(seed)) % F.lit(1 << 30) + F.lit(1 << 30)) % F.lit(1 << 30) / F.lit(float(1 << 30))
+
+
+def sampled(rows: DataFrame, rate: Column | float, seed: int) -> DataFrame:
+    """About that share of the distinct rows (doc_id, text), with all columns: a row counts by its id and text, and its repeats once.
+
+    So neither rows without id nor repeats of a row make the sample larger than its rate says.
+    """
+    rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.where(share(seed, "doc_id", "text_hash") < rate).dropDuplicates(["doc_id", "text_hash"])
+
+
+def unused(names: list[str], n: int) -> list[str]:
+    """n column names that aren't among names, whatever their case."""
+    taken = {x.lower() for x in names}
+    return [x for i in range(n + len(taken)) if (x := f"own_{i}") not in taken][:n]
 
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from foldlog.llm import common
 
+#: A power of 2.
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 WIDTH = 16
@@ -46,7 +47,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if n in GRAMS:
             good = np.flatnonzero(place[:last] + n <= ends[:last])
             mixed = (code[good] + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
-            found.append((mixed >> np.uint64(64 - 15)).astype(np.int64))
+            found.append((mixed >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64))
             owner.append(own[good])
     buckets, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, seed: int = 5) -> dict:
     if not labels:
         return {"labels": []}
     rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, QUOTA / r["n"]))])
-    sample = known.where(common.share("doc_id", seed) < F.element_at(rates, F.col("lang")))
+    sample = common.sampled(known, F.element_at(rates, F.col("lang")), seed)
     common.arrow(spark)
 
     def features(batches):

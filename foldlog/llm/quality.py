@@ -2,9 +2,10 @@
 
 Rule statistics of each whole text (lengths, symbols, repeated lines and 8-word windows, case, punctuation) are the
 features. Trees split them at random; a text that few splits set apart is anomalous. Each group of related statistics
-(GROUPS) has trees of its own, built from a bounded sample of labelled documents, and a threshold calibrated on them:
-the score that rejects most of those labelled bad while it spares all but SPARE of the good. A group whose scores
-don't tell bad from good rejects nothing.
+(GROUPS) has trees of its own, grown from a bounded sample of labelled documents (SAMPLE rows, APART of them all at
+most). The threshold of a group is calibrated on all other labelled documents, by histograms of their scores: it
+rejects most of those labelled bad while it spares all but SPARE of the good. A group whose scores don't tell bad from
+good rejects nothing.
 
 One pass over the texts computes the statistics, which are small from then on; windows are compared exactly, by
 doubling (pairs, fours, eights), inside a block of the pass.
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.llm import common
+from foldlog.llm.store import drop, stored
 
-#: Labelled rows in the sample, about; trees; rows in a tree; share of good rows that may be rejected.
-SAMPLE, TREES, ROWS, SPARE = 20_000, 100, 256, 0.0005
+#: Labelled rows that trees grow from, about, and the largest share of all labelled rows that may; trees; rows in a tree;
+#: share of good rows that may be rejected; steps of the scores from 0 to 1 in a histogram.
+SAMPLE, APART, TREES, ROWS, SPARE, STEPS = 20_000, 0.3, 100, 256, 0.0005, 10_000
 #: A group rejects only if it finds so many bad rows at least, and so many times the share of the good that it may reject.
 LEAST_BAD, LEAST_TIMES = 5, 20
 WINDOW = 8
@@ -120,10 +123,7 @@ def grow(x: np.ndarray, seed: int = 6) -> list[np.ndarray]:
 
 
 def anomaly(trees: list[np.ndarray], x: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """2 to the power of minus the mean path length by that of a random search: near 1 for anomalous rows.
-
-    A value outside the range that a node's sample had counts as set apart there: the path ends at that node's child.
-    """
+    """2 to the power of minus the mean path length by that of a random search: near 1 for anomalous rows."""
     if not trees:
         return np.zeros(len(x))
     total = np.zeros(len(x))
@@ -140,16 +140,21 @@ def anomaly(trees: list[np.ndarray], x: np.ndarray, rows: int = ROWS) -> np.ndar
     return 2.0 ** (-total / len(trees) / max(float(mean_path(rows)), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray) -> float:
-    """The cut midway between the good rows that are spared and the next bad row above them; infinite if that finds too few."""
-    if not good.any() or good.all():
+def threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut, from counts of good and bad rows by step of their scores; infinite if it finds too few bad ones.
+
+    It lies midway between the step of the last good row that is spared and the next bad row's above it.
+    """
+    n_good, n_bad = int(good.sum()), int(bad.sum())
+    if not n_good or not n_bad:
         return float("inf")
-    g, bad = np.sort(scores[good]), np.sort(scores[~good])
-    least = g[len(g) - 1 - int(len(g) * SPARE)]
-    above = bad[bad > least]
-    if len(above) < LEAST_BAD or len(above) < LEAST_TIMES * SPARE * len(bad):
+    from_top = np.cumsum(good[::-1])[::-1]
+    least = int(np.flatnonzero(from_top > int(n_good * SPARE))[-1])
+    above = np.flatnonzero(bad[least + 1 :])
+    found = int(bad[least + 1 :].sum())
+    if found < LEAST_BAD or found < LEAST_TIMES * SPARE * n_bad:
         return float("inf")
-    return float((least + above[0]) / 2)
+    return (2 * (least + 1) + int(above[0])) / 2 / STEPS
 
 
 def oddness(forest: list[tuple], x: np.ndarray) -> np.ndarray:
@@ -172,21 +177,35 @@ def _matrix(rows) -> np.ndarray:
 
 def fit(stats: DataFrame, labels: DataFrame, seed: int = 6) -> list[tuple]:
     """For each group its columns, trees, rows in a tree and threshold, from measured() rows with doc_id, and labels (doc_id, quality)."""
+    spark = stats.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("rule_quality"))
-    n = marks.count()
+    names = [f"rule_{n}" for n in BASE + MORE]
+    marked = stored(stats.join(marks, "doc_id").select("doc_id", "rule_quality", *names).withColumn("own", common.share(seed, "doc_id", *names)))
+    n = marked.count()
     if not n:
         return []
-    chosen = marks.where(common.share("doc_id", seed) < min(1.0, SAMPLE / n))
-    rows = stats.join(chosen, "doc_id").select("rule_quality", *[f"rule_{n}" for n in BASE + MORE]).collect()  # about SAMPLE rows of numbers
-    rows.sort()
-    m, good = _matrix(rows), np.array([r["rule_quality"] == 1 for r in rows], bool)
-    left = ~_failed(m)
-    x, good = features(m)[left], good[left]
-    forest, size = [], min(ROWS, len(x))
-    for k, columns in enumerate(GROUPS.values()):
-        trees = grow(x[:, columns], seed + k)
-        forest.append((columns, trees, size, threshold(anomaly(trees, x[:, columns], size), good)))
-    return forest
+    rate = min(APART, SAMPLE / n)
+    m = _matrix(sorted(marked.where(F.col("own") < rate).select(*names).distinct().collect()))  # about SAMPLE rows of numbers
+    x = features(m)[~_failed(m)]
+    size = min(ROWS, len(x))
+    forest = [(columns, grow(x[:, columns], seed + k), size, float("inf")) for k, columns in enumerate(GROUPS.values())]
+    shared = spark.sparkContext.broadcast(forest)
+
+    def steps(batches):
+        for b in batches:
+            s = np.column_stack([b.column(c).to_numpy() for c in names]).reshape(-1, len(names))
+            left = ~_failed(s)
+            good, x = (b.column("rule_quality").to_numpy() == 1)[left], features(s[left])
+            for k, (columns, trees, rows, _) in enumerate(shared.value):
+                at, many = np.unique(np.minimum((anomaly(trees, x[:, columns], rows) * STEPS).astype(np.int64), STEPS) * 2 + good, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at // 2), pa.array(at % 2), pa.array(many.astype(np.int64))], ["k", "step", "good", "n"])
+
+    counted = marked.where(F.col("own") >= rate).select("rule_quality", *names).mapInArrow(steps, "k long, step long, good long, n long")
+    counts = np.zeros((len(GROUPS), 2, STEPS + 1), np.int64)
+    for r in counted.groupBy("k", "step", "good").agg(F.sum("n").alias("n")).collect():  # GROUPS x STEPS x 2 rows at most
+        counts[r["k"], r["good"], r["step"]] = r["n"]
+    drop(marked)
+    return [(*g[:3], threshold(counts[k, 1], counts[k, 0])) for k, g in enumerate(forest)]
 
 
 def _failed(s: np.ndarray) -> np.ndarray:
@@ -219,15 +238,16 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (and is never a labelled row), other columns are ignored. Without labels of both kinds the forest rejects nothing.
     An empty table gives no rows.
     """
-    stats = common.checkpointed(measured(docs, ["doc_id"]))
+    stats = stored(measured(docs, ["doc_id"]))
     return judge(stats, fit(stats, labels), ["doc_id"])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that assess() keeps.
 
-    Verdicts come from the statistics of the same pass as the rows: measured() is computed once for the fit (without
-    texts) and once beside the texts.
+    Null and empty texts go; repeated rows all stay or all go; an empty table gives no rows. Texts are measured twice,
+    once for the fit and once for the verdict beside the text: a join of the labels with texts that would save the
+    first would shuffle all of them.
     """
     stats = measured(docs, ["doc_id"])
     model = fit(stats, labels)

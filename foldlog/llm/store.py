@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-_written: list[tuple] = []
+_written: dict[str, object] = {}
 
 
 def folder(spark) -> str:
@@ -24,21 +24,38 @@ def folder(spark) -> str:
     return place
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder, read again; removed when the driver exits."""
+def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, read again; removed when the driver exits, if not before.
+
+    done: results of stored() that only df has read; they are removed once df is written.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(clear)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    drop(*done)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def clear() -> None:
-    """Removes what stored() has written; results that still read it end."""
-    while _written:
-        spark, path = _written.pop()
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that stored() has written; anything else is let be. What still reads them fails."""
+    for table in tables:
+        _remove(table.__dict__.get("stored_at"))
+
+
+def _remove(path: str | None) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
         with contextlib.suppress(Exception):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear() -> None:
+    """Removes all that stored() has written."""
+    for path in list(_written):
+        _remove(path)

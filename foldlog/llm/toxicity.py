@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.llm import common
+from foldlog.llm.store import drop, stored
 
 POSITIVE, UNLABELLED = 4000, 8000
 FEATURES = 2048
@@ -64,9 +65,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 9) -> dict:
     if not n_pos or not n_docs:
         return {"codes": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -5.0}
     prior = min(max(n_pos / n, 1e-4), 0.95)
-    toxic = marks.where((F.col("toxic") == 1) & (common.share("doc_id", seed) < min(1.0, POSITIVE / n_pos))).select("doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id", "left_semi").select("text", F.lit(1).alias("positive"))  # about POSITIVE ids
-    rows = rows.unionByName(docs.where(common.share("doc_id", seed + 1) < min(1.0, UNLABELLED / n_docs)).select("text", F.lit(0).alias("positive")))
+    toxic = F.broadcast(marks.where((F.col("toxic") == 1) & (common.share(seed, "doc_id") < min(1.0, POSITIVE / n_pos))).select("doc_id"))  # about POSITIVE ids
+    found = docs.select("doc_id").join(toxic, "doc_id", "left_semi").count()
+    rows = common.sampled(docs.select("doc_id", "text").join(toxic, "doc_id", "left_semi"), min(1.0, POSITIVE / max(found, 1)), seed).select("text", F.lit(1).alias("positive"))
+    rows = rows.unionByName(common.sampled(docs.select("doc_id", "text"), min(1.0, UNLABELLED / n_docs), seed + 1).select("text", F.lit(0).alias("positive")))
     common.arrow(spark)
 
     def features(batches):
@@ -74,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 9) -> dict:
             found = [sorted(set(codes_of(t.lower()))) for t in common.texts(block)]
             yield pa.RecordBatch.from_arrays([block.column("positive").combine_chunks().cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["positive", "codes"])
 
-    sample = common.checkpointed(rows.mapInArrow(features, "positive int, codes array<long>"))
+    sample = stored(rows.mapInArrow(features, "positive int, codes array<long>"))
     size = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return {"codes": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -5.0}
@@ -85,6 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 9) -> dict:
     chosen = each.where((F.col("p") + F.col("u") >= 5) & (z > CLEAR)).orderBy(F.desc(z), "code").limit(FEATURES).select("code").collect()
     codes = np.array(sorted(r["code"] for r in chosen), np.int64)
     narrowed = sample.select("positive", F.array_intersect("codes", F.array(*[F.lit(int(c)) for c in codes]).cast("array<long>")).alias("codes")).collect()  # as many rows as the sample, FEATURES codes each at most
+    drop(sample)
     x = np.zeros((len(narrowed), len(codes)), np.float32)
     for i, r in enumerate(narrowed):
         x[i, np.searchsorted(codes, r["codes"])] = 1
@@ -147,7 +150,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under 0.5."""
+    """The rows of docs, with all their columns, whose score is under 0.5.
+
+    Null and empty texts are scored by the bias; repeated rows all stay or all go; an empty table gives no rows.
+    """
     scores = _work(docs, model)
     return common.per_document(docs, docs.columns, [("clean", pa.bool_())], lambda block: [scores(block) < 0.5], "clean")
 
