@@ -1,21 +1,26 @@
 """Operator 10: best-fit packing of token sequences.
 
-Bulk-synchronous best fit. All lengths are whole numbers up to the capacity, so documents in order of length, and gaps
-in order of size, are at most capacity runs of equal members each. A sweep matches a run of documents, longest first,
-with the smallest gaps that hold them (successors in the order of gaps); members of the two runs are paired by rank,
-so no gap is claimed twice; the gaps shrink, take their new place in the order, and the next sweep begins. The sweeps
-move whole runs, so they give what best-fit decreasing gives for single documents.
-
-Ranks within a run are distributed: a task numbers its own pieces of each length, and sums of the tasks' counts place
-them among all. The driver sees one count for each length (at most capacity of them) and the plan of the sweeps, whose
-size depends on the capacity alone; that plan is what is broadcast.
+Bulk-synchronous best fit. Pieces come in classes of similar length, longest first; each class is one superstep over
+all gaps that can hold one of its pieces:
+
+1. Pieces and gaps are range-sorted together by size, descending. A gap that surely holds several pieces of the class
+   stands there so many times; as many new sequences as the class could need stand before all other gaps.
+2. Each piece looks for its successor, the smallest gap left that holds it. In the sorted order gaps open and pieces
+   close brackets, and the piece takes the gap of its bracket: so longer pieces choose first and no gap is taken twice.
+   A task matches the brackets within its range. What it can't match has a rank, its bracket's level, which the sums of
+   the ranges before it turn into one among all; pieces and gaps of equal rank then meet by a join over the ranges.
+3. Matched gaps shrink and take their new place in the order of the next superstep; new sequences that no piece took
+   are forgotten.
+
+No piece is left after its superstep, so there are as many supersteps as classes (STEP, LEAST), whatever the data. Ties
+of length are ranked by task and row, so a length that a third of all pieces share is split like any other range. The
+driver sees a count for each class; each superstep's tables are written to the checkpoint folder.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldlog.llm import common
+from foldlog.llm.store import drop, stored
 
 END = 0
 #: Characters of a word from which on the engine's time grows faster than its length.
 LONG_WORD = 2000
+#: Least length of a class by its greatest; the lengths up to this share of the capacity are one class. Rows of a range, about.
+STEP, LEAST, ROWS = 0.8, 1 / 128, 250_000
 
 
 class Tokens:
@@ -80,7 +88,7 @@ _kept: dict[str, Tokens] = {}
 
 
 def pieces_of(docs: DataFrame, spec: str, capacity: int) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, and its task (part) and number in it (nth) among that length."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, and its task (part) and number in it (nth)."""
     spark = docs.sparkSession
     common.arrow(spark)
     shared = spark.sparkContext.broadcast(spec)  # as large as the vocabulary
@@ -91,62 +99,90 @@ def pieces_of(docs: DataFrame, spec: str, capacity: int) -> DataFrame:
         if shared.value not in _kept:
             _kept.clear()
             _kept[shared.value] = Tokens(shared.value)
-        tokens, part, seen = _kept[shared.value], TaskContext.get().partitionId(), [0] * (capacity + 1)
+        tokens, part, seen = _kept[shared.value], TaskContext.get().partitionId(), 0
         for block in common.blocks(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(block.column("doc_id").to_pylist(), map(tokens.encode, common.texts(block)), strict=True):
                 raw, total = ids.astype("<u4").tobytes() + END.to_bytes(4, "little"), len(ids) + 1
                 cuts = [0, *range(total % capacity or capacity, total + 1, capacity)] if total > capacity else [0, total]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), part, seen[b - a]))
-                    seen[b - a] += 1
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b]), part, seen))
+                    seen += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """The sweeps' matches: (length, first rank, first sequence, members in each sequence, offset in it), by rank within a length.
-
-    The pieces of that length from this rank on, until the next match's first rank, go to successive sequences, so many to each.
-    """
-    gaps: list[int] = []  # sizes of gaps, in order
-    runs: dict[int, list[tuple[int, int]]] = {}  # by size: (first sequence, how many)
-    out, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                runs[gap] = []
-                insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-            else:
-                each = capacity // length
-                gap, first, n = capacity, opened, -(-left // each)
-                opened += n
-            each = gap // length
-            full = min(n, left // each)
-            some = min(left - full * each, each - 1) if full < n else 0
-            out.append((length, rank, first, each, capacity - gap))
-            put(gap - each * length, first, full)
-            if some:
-                put(gap - some * length, first + full, 1)
-            put(gap, first + full + bool(some), n - full - bool(some))
-            left -= full * each + some
-            rank += full * each + some
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """Bounds (lo, hi] of the classes of lengths, greatest first."""
+    out, hi = [], capacity
+    while hi:
+        lo = min(hi - 1, int(hi * STEP)) if hi > capacity * LEAST else 0
+        out.append((lo, hi))
+        hi = lo
     return out
 
 
+def brackets(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of gaps (0, which open) and pieces (1, which close) in order: places of matched gaps and of their pieces, the level of each, and how many more open than close."""
+    depth = np.cumsum(np.where(kind == 0, 1, -1))
+    level = depth + kind
+    order = np.argsort(level, kind="stable")
+    k, at = kind[order], level[order]
+    hit = np.flatnonzero((at[1:] == at[:-1]) & (k[:-1] == 0) & (k[1:] == 1))
+    return order[hit], order[hit + 1], level, int(depth[-1]) if len(depth) else 0
+
+
+GAP, PIECE, PAIR, NET = 0, 1, 2, 3
+_NAMES = ("range", "kind", "level", "size", "gap", "sequence_id", "slot", "part", "nth")
+
+
+def _match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range in order: matched pairs, gaps and pieces that aren't, and how many more gaps than pieces it has."""
+    own = [b for b in batches if b.num_rows]
+    if not own:
+        return
+    table, number = pa.Table.from_batches(own), TaskContext.get().partitionId()
+    c = {n: table.column(n).to_numpy() for n in ("kind", "size", "gap", "a", "b")}
+    gaps, pieces, level, net = brackets(c["kind"])
+    alone = np.ones(len(level), bool)
+    alone[gaps] = alone[pieces] = False
+
+    def rows(kind: int, g: np.ndarray | None, p: np.ndarray | None, level: np.ndarray) -> pa.RecordBatch:
+        n, none = len(level), pa.nulls(len(level), pa.int64())
+        of = lambda name, at: none if at is None else pa.array(c[name][at].astype(np.int64))
+        fixed = [pa.array(np.full(n, x, np.int64)) for x in (number, kind)]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(level.astype(np.int64)), of("size", p), of("gap", g), of("a", g), of("b", g), of("a", p), of("b", p)], list(_NAMES))
+
+    open_gaps, open_pieces = (np.flatnonzero(alone & (c["kind"] == k)) for k in (GAP, PIECE))
+    yield rows(PAIR, gaps, pieces, level[gaps])
+    yield rows(GAP, open_gaps, None, level[open_gaps])
+    yield rows(PIECE, None, open_pieces, level[open_pieces])
+    yield rows(NET, None, None, np.array([net]))
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame, n: int, opened: int, hi: int, capacity: int) -> DataFrame:
+    """(part, nth, sequence_id, offset, gap, last) for each of the n pieces (part, nth, length up to hi): gap is what its sequence then
+    has left, last tells its last piece. gaps: (sequence_id, gap) that can hold a piece; opened: the first number for new sequences."""
+    spark = pieces.sparkSession
+    new = spark.range(opened, opened - (-n // (capacity // hi))).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
+    slots = gaps.unionByName(new).select(F.least("gap", F.lit(hi)).cast("long").alias("size"), F.lit(GAP).alias("kind"), "gap", F.col("sequence_id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"gap div {hi}"), F.lit(1)) - 1)).alias("b"))
+    events = slots.unionByName(pieces.select(F.col("length").alias("size"), F.lit(PIECE).alias("kind"), F.lit(0).cast("long").alias("gap"), F.col("part").alias("a"), F.col("nth").alias("b")))
+    order = [F.desc("size"), "kind", F.desc("gap"), "a", "b"]
+    events = events.repartitionByRange(1 + (2 * n + opened) // ROWS, *order).sortWithinPartitions(*order)
+    local = stored(events.mapInArrow(_match, ", ".join(f"{x} long" for x in _NAMES)))
+    before = F.sum("level").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    base = local.where(F.col("kind") == NET).select("range", F.coalesce(before, F.lit(0)).alias("base"))  # a row for each range
+    alone = local.where(F.col("kind") < PAIR).join(F.broadcast(base), "range").withColumn("level", F.col("level") + F.col("base"))
+    same = Window.partitionBy("level").orderBy("range", F.desc("kind"))  # two rows of each range at most
+    found = alone.withColumn("found", F.lag(F.struct("kind", "sequence_id", "slot", "gap")).over(same)).where((F.col("kind") == PIECE) & (F.col("found.kind") == GAP))
+    pairs = local.where(F.col("kind") == PAIR).select("part", "nth", "size", "sequence_id", "slot", "gap").union(found.select("part", "nth", "size", "found.sequence_id", "found.slot", "found.gap"))
+    own = Window.partitionBy("sequence_id").orderBy("slot")
+    taken = F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = pairs.withColumn("taken", taken).withColumn("last", F.lead("slot").over(own).isNull())
+    return stored(placed.select("part", "nth", "sequence_id", (F.lit(capacity) - F.col("gap") + F.col("taken") - F.col("size")).alias("offset"), (F.col("gap") - F.col("taken")).alias("gap"), "last"), local)
+
+
 def pack(docs: DataFrame, spec: str, capacity: int = 2048) -> DataFrame:
     """Packs the documents (doc_id, text) into sequences of capacity tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -155,25 +191,26 @@ def pack(docs: DataFrame, spec: str, capacity: int = 2048) -> DataFrame:
     ignored; ties of length go by task and place in it. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = common.checkpointed(pieces_of(docs, spec, capacity))
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    plan = np.array(sorted(best_fit(totals, capacity)), np.int64).reshape(-1, 5)
-    stride = max([*totals.values(), 0]) + 1
-    shared = spark.sparkContext.broadcast((plan, plan[:, 0] * stride + plan[:, 1], stride))
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")])
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, keys, stride = shared.value
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("nth").to_numpy() + b.column("before").to_numpy()
-            p = plan[np.searchsorted(keys, length * stride + rank, side="right") - 1]
-            i = rank - p[:, 1]
-            own = [b.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(p[:, 2] + i // p[:, 3]), pa.array(p[:, 4] + i % p[:, 3] * length)], schema=schema)
-
-    return pieces.join(before, ["part", "length"]).mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    pieces = stored(pieces_of(docs, spec, capacity))
+    bounds = classes(capacity)
+    number = sum((F.col("length") <= lo).cast("int") for lo, _ in bounds)
+    counts = {r["k"]: r["n"] for r in pieces.groupBy(number.alias("k")).agg(F.count("*").alias("n")).collect()}  # a row for each class
+    gaps = stored(spark.createDataFrame([], "sequence_id long, gap long"))
+    opened, placed = 0, []
+    for k in sorted(counts):
+        lo, hi = bounds[k]
+        own = pieces.where((F.col("length") > lo) & (F.col("length") <= hi))
+        placed.append(superstep(own, gaps.where(F.col("gap") > lo), counts[k], opened, hi, capacity))
+        opened += -(-counts[k] // (capacity // hi))
+        ends = placed[-1].where("last").select("sequence_id", "gap")
+        gaps = stored(gaps.join(ends, "sequence_id", "left_anti").unionByName(ends.where("gap > 0")), gaps)
+    drop(gaps)
+    if not placed:
+        return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    places = placed[0]
+    for x in placed[1:]:
+        places = places.unionByName(x)
+    return pieces.join(places.drop("gap", "last"), ["part", "nth"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def default_spec() -> str:
