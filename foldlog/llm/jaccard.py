@@ -419,12 +419,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows of a doc_id count as one document; rows without doc_id all stay.
     """
-    rows = stored(join(docs).where(F.col("doc_id").isNotNull()))
-    rows = rows.withColumnRenamed("text_hash", "__text_hash")  # a name that docs won't have
-    key = ["doc_id", "__text_hash"]
+    (own,) = common.unused(docs.columns, 1)
+    rows = stored(join(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("text_hash", own))
+    key = ["doc_id", own]
     others = rows.where(F.col("component_id") < F.col("doc_id")).select(*key).distinct()
     several = rows.where(F.col("component_id") == F.col("doc_id")).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
     kept = hashed.join(others.union(several), key, "left_anti").unionByName(hashed.join(several, key, "left_semi").dropDuplicates(key))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 

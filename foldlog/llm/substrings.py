@@ -1,34 +1,40 @@
 """Operator 8: substring dedup by level-wise doubling.
 
-Words covered by a window of LENGTH words that also starts in a document of smaller id are removed. Windows of half
-the length are looked at first; only where they are repeated are windows of twice the length looked at, and so on up
-to LENGTH (50: levels 25 and 50), or until none is left.
+Words covered by a window of LENGTH words that also starts in a document of smaller id are removed. Windows of a short
+length are looked at first; only where they are repeated are windows of twice the length looked at, and so on up to
+LENGTH, or until none is left. For 50 words the levels are 13, 25 and 50 (halves that overlap by a word where a length is odd).
 
 - Copies of a whole text are set aside first: all but the one of smallest id lose every word (if it has a window).
-- First level: of all half-length windows inside a full one, a document posts the one of least hash. Two documents
-  with a full window in common post the same half, so no repeat is lost, though few of the windows are posted.
-- Each next level posts the windows whose halves are repeated, from the candidate documents only. At the last, windows
-  are compared by 128 bits, and the smallest document id of each repeated window decides.
+- The first level is a sieve: of all short windows inside a full one, a document posts the one of least hash. Two
+  documents with a full window in common post the same short one, so no repeat is lost, though few windows are posted.
+- At the second, all windows that halve a full one which passed the sieve are posted, from the candidate texts only.
+- From then on a window is that of its two halves, both of which must be repeated; it is known by both their hashes. No
+  text is read for it: halves of a text meet by their places. At the last level the smallest document id of each
+  repeated window decides. From the second level on, windows are compared by 128 bits.
 
 Postings are aggregated by hash with map-side combining (a smallest and a largest id for each), so a passage in a third
 of all documents makes no large group; what is joined back are plain equi-joins of written tables, whose skewed
-partitions Spark can split. Texts are shuffled once, to meet their candidates.
+partitions Spark can split. Texts are shuffled once, to meet their candidates. Tables of a level go when the next is written.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldlog.llm import common
-from foldlog.llm.store import stored
+from foldlog.llm.store import drop, stored
 
-LENGTH = 50
+#: Words of a window; greatest length of the first level.
+LENGTH, SHORT = 50, 13
+#: Bytes that are hashed at once.
+AT_ONCE = 1 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -45,28 +51,53 @@ def powers(odd: int, n: int) -> np.ndarray:
     return (high[:, None] * low).ravel()[:n]
 
 
-def word_hashes(raw: list[bytes], parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes (one column for each of parts) of all words of the texts, and where each text's words begin.
+@cache
+def _tables(part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers and inverse powers for AT_ONCE bytes."""
+    odd = int(_ODD[part])
+    return powers(odd, AT_ONCE), powers(pow(odd, -1, 1 << 64), AT_ONCE)
 
-    All bytes of the texts are worked on at once: a word's hash is a difference of prefix sums.
-    """
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+
+def _some_hashes(data: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data begin, which ends with a blank, and their hashes: differences of prefix sums."""
     blank = _BLANK[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
         edge = np.append(0, edge)
     start, end = edge[0::2], edge[1::2]
-    at = np.searchsorted(start, common.offsets([len(t) + 1 for t in raw]))
     out = np.empty((len(start), parts), np.uint64)
     for k in range(parts):
-        odd = int(_ODD[k])
+        on, back = _tables(k) if len(data) <= AT_ONCE else (powers(int(_ODD[k]), len(data)), powers(pow(int(_ODD[k]), -1, 1 << 64), len(data)))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[:, k][data] * powers(odd, len(data)), out=sums[1:])
-        back = powers(pow(odd, -1, 1 << 64), len(data))
+        np.cumsum(_BYTES[:, k][data] * on[: len(data)], out=sums[1:])
         h = (sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         out[:, k] = h ^ (h >> np.uint64(29))
-    return out, at
+    return start, out
+
+
+def word_hashes(raw: list[bytes], parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes (one column for each of parts) of all words of the texts, and where each text's words begin.
+
+    Bytes are worked on AT_ONCE at a time, cut at blanks, so that memory beyond the words' doesn't follow the length of
+    texts; only a single word that is longer is taken whole.
+    """
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    starts, hashes, a = [np.zeros(0, np.int64)], [np.zeros((0, parts), np.uint64)], 0
+    while a < len(data):
+        b = min(a + AT_ONCE, len(data))
+        if b < len(data):
+            cut = np.flatnonzero(_BLANK[data[a:b]])
+            while not len(cut):
+                more, b = b, min(b + AT_ONCE, len(data))
+                cut = np.flatnonzero(_BLANK[data[more:b]])[:1] + (more - a)
+            b = a + int(cut[-1]) + 1
+        start, found = _some_hashes(data[a:b], parts)
+        starts.append(start + a)
+        hashes.append(found)
+        a = b
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(start, common.offsets([len(t) + 1 for t in raw]))
 
 
 def _powers(odd: np.uint64, n: int) -> np.ndarray:
@@ -107,22 +138,29 @@ def whole(at: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + length <= ends)
 
 
-def _levels(length: int) -> list[int]:
-    """length and its halves (rounded up) down to the half of the last, smallest first."""
-    return [-(-length // 2), length]
+def levels(length: int) -> list[int]:
+    """length and its halves (rounded up) down to SHORT or less, smallest first; at least two."""
+    out = [length]
+    while out[0] > SHORT or len(out) < 2:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def sieved(h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The full windows' first words, and of each the least hash of the windows of the first level in it."""
+    starts, short = whole(at, length), levels(length)[0]
+    return starts, least(windows(h, short), length - short + 1)[starts] if len(starts) else np.zeros(0, np.uint64)
 
 
 def summaries(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each of docs: doc_id, t1, t2 (hash of the text), n_words, kept (hash of all words), and its posted half windows."""
-    half = _levels(length)[0]
+    """A row for each of docs: doc_id, t1, t2 (hash of the text), n_words, kept (hash of all words), and what it posts to the first level."""
     schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("posted", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
             raw = common.raw_texts(block)
             h, at = word_hashes(raw)
-            h = h[:, 0]
-            found = least(windows(h, half), length - half + 1)[whole(at, length)] if len(h) >= length else np.zeros(0, np.uint64)
+            _, found = sieved(h[:, 0], at, length)
             own = np.repeat(np.arange(len(raw)), np.maximum(np.diff(at) - length + 1, 0))
             change = np.append(True, (found[1:] != found[:-1]) | (own[1:] != own[:-1]))[: len(found)]
             found, own = found[change], own[change]
@@ -142,32 +180,47 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t1"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("t2"))
 
 
-def candidates(texts: DataFrame, length: int) -> DataFrame:
-    """From texts with the repeated half windows that they posted: each full window (doc_id, t1, place, a, b) that rests on one."""
-    half = _levels(length)[0]
+def second(texts: DataFrame, length: int) -> DataFrame:
+    """From texts with the repeated windows of the first level that they posted: the windows (doc_id, t1, place, a, b) of the
+    second level that make up a full window which rests on one."""
+    size = levels(length)[1]
     schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("place", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    tiles = [min(i, length - size) for i in range(0, length, size)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
             raw = common.raw_texts(block)
             h, at = word_hashes(raw, 2)
-            starts = whole(at, length)
-            lowest = least(windows(h[:, 0], half), length - half + 1)[starts].view(np.int64)
+            starts, lowest = sieved(h[:, 0], at, length)
+            lowest = lowest.view(np.int64)
             column = block.column("repeated").combine_chunks()
             own = np.repeat(np.arange(len(raw)), np.maximum(np.diff(at) - length + 1, 0))
             has = np.repeat(np.arange(len(raw)), np.diff(column.offsets.to_numpy()))
             values, code = np.unique(np.concatenate([column.flatten().to_numpy(), lowest]), return_inverse=True)
             n = len(has)
             good = np.isin(own * len(values) + code[n:], has * len(values) + code[:n])
-            starts, own = starts[good], own[good]
-            a, b = (windows(h[:, k], length, k)[starts].view(np.int64) for k in (0, 1))
+            posted = np.zeros(len(h), bool)
+            for tile in tiles:
+                posted[starts[good] + tile] = True
+            posted = np.flatnonzero(posted)
+            own = np.searchsorted(at, posted, side="right") - 1
+            a, b = (windows(h[:, k], size, k)[posted].view(np.int64) for k in (0, 1))
             ids, t1 = (block.column(c).to_numpy()[own] for c in ("doc_id", "t1"))
-            for i in range(0, len(starts), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in (ids, t1, starts - at[own], a, b)], schema=schema)
+            for i in range(0, len(posted), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in (ids, t1, posted - at[own], a, b)], schema=schema)
 
     return texts.select("doc_id", "t1", "text", "repeated").mapInArrow(run, "doc_id long, t1 long, place long, a long, b long")
 
 
+def doubled(found: DataFrame, size: int, double: int) -> DataFrame:
+    """Windows of length double (or one less than twice size) from those of length size in found: where both halves are repeated in other documents."""
+    twice = stored(found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("a", "b"))
+    half = stored(found.join(twice, ["a", "b"], "left_semi").select("doc_id", "t1", "place", "a", "b"), twice)
+    other = F.first(F.struct("a", "b")).over(Window.partitionBy("doc_id", "t1").orderBy("place").rangeBetween(double - size, double - size))  # a document's own
+    both = half.withColumn("other", other).where(F.col("other").isNotNull())
+    return stored(both.select("doc_id", "t1", "place", F.xxhash64("a", "other.a").alias("a"), F.xxhash64("b", "other.b", F.lit(1)).alias("b")), half)
+
+
 def cut(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
     """texts without the words that windows from the given places cover: n_removed, kept_sha256 and, if asked for, the rest of the text."""
     fields = [("doc_id", pa.int64()), ("t1", pa.int64()), ("n_removed", pa.int64()), ("cut_sha256", pa.string())] + [("cut_text", pa.string())] * with_text
@@ -195,16 +248,20 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
     smaller nor greater: its row loses nothing and removes nothing. Other columns are ignored. An empty table gives no
     rows.
     """
-    rows = stored(summaries(docs, length))
-    copies = stored(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
-    rows = stored(rows.join(copies, ["t1", "t2"], "left").withColumn("copied", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length)).drop("first"))
-    posts = rows.where(~F.col("copied") & F.col("doc_id").isNotNull()).select("doc_id", "t1", F.explode("posted").alias("half"))
-    shared = stored(posts.groupBy("half").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("half"))
-    repeated = stored(posts.join(shared, "half", "left_semi")).groupBy("doc_id", "t1").agg(F.collect_set("half").alias("repeated"))  # a document's own
-    texts = stored(_hashed(docs).drop("t2").join(repeated, ["doc_id", "t1"]).dropDuplicates(["doc_id", "t1"]))
-    full = stored(candidates(texts, length))
-    sources = stored(full.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
-    removed = stored(full.join(sources, ["a", "b"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "t1", F.col("place").cast("int").alias("place")))
+    sizes = levels(length)
+    every = stored(summaries(docs, length))
+    copies = stored(every.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
+    rows = stored(every.join(copies, ["t1", "t2"], "left").withColumn("copied", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length)).drop("first"), every, copies)
+    posts = rows.where(~F.col("copied") & F.col("doc_id").isNotNull()).select("doc_id", "t1", F.explode("posted").alias("short"))
+    shared = stored(posts.groupBy("short").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("short"))
+    repeated = stored(posts.join(shared, "short", "left_semi"), shared)
+    texts = stored(_hashed(docs).drop("t2").join(repeated.groupBy("doc_id", "t1").agg(F.collect_set("short").alias("repeated")), ["doc_id", "t1"]).dropDuplicates(["doc_id", "t1"]), repeated)  # a document's own
+    found = stored(second(texts, length))
+    for size, double in zip(sizes[1:-1], sizes[2:], strict=True):
+        found, shorter = doubled(found, size, double), found
+        drop(shorter)
+    sources = stored(found.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
+    removed = stored(found.join(sources, ["a", "b"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "t1", F.col("place").cast("int").alias("place")), found, sources)
     places = removed.groupBy("doc_id", "t1").agg(F.collect_list("place").alias("places"))  # a document's own
     cuts = cut(texts.join(places, ["doc_id", "t1"]), length, with_text)
     out = rows.drop("posted").join(cuts, ["doc_id", "t1"], "left")
@@ -221,14 +278,15 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with all their columns, where text has lost the words that dedup() removes, and n_chars follows if there is one.
 
     A text that loses words is what is left of them, joined by single spaces (empty if nothing is); other texts, null
-    ones too, stay as they are.
+    ones too, stay as they are, and so do rows without doc_id. Repeated rows are treated alike; an empty table gives no rows.
     """
-    cuts = stored(dedup(docs, length, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__cut_id"), F.col("t1").alias("__cut_hash"), F.col("cut_text").alias("__cut_text"))).dropDuplicates(["__cut_id", "__cut_hash"])
-    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    out = docs.withColumn("__own_hash", hashed).join(cuts, (docs["doc_id"] == F.col("__cut_id")) & (F.col("__own_hash") == F.col("__cut_hash")), "left")
-    new = {"text": F.coalesce("__cut_text", "text")}
+    own, cut_id, cut_hash, cut_text = common.unused(docs.columns, 4)
+    cuts = stored(dedup(docs, length, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias(cut_id), F.col("t1").alias(cut_hash), F.col("cut_text").alias(cut_text))).dropDuplicates([cut_id, cut_hash])
+    out = docs.withColumn(own, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    out = out.join(cuts, (F.col("doc_id") == F.col(cut_id)) & (F.col(own) == F.col(cut_hash)), "left")
+    new = {"text": F.coalesce(cut_text, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__cut_text").isNotNull(), F.char_length("__cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(cut_text).isNotNull(), F.char_length(cut_text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
