@@ -1,18 +1,21 @@
 """Operator 4: document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-The terms of a text are its 5-word shingles, weighted by how often they occur. For each of SAMPLES samples and each
-term, a hash of the term gives r and c from a Gamma(2, 1) distribution and b, uniform; with weight w, t = floor(ln w / r
-+ b), and the term of least ln c - r * (t - b + 1) is the sample, together with its t. Two texts have the same sample
-with a probability that equals the generalised Jaccard similarity of their weights, so the share of equal samples
-estimates it (standard error at most 1 / (2 * sqrt(SAMPLES))). A fingerprint holds 20 bits of each sample.
-
-Gamma variates are -ln(u1 * u2) of uniforms from 32 hash bits each, so that their tails, where the least values of long
-texts lie, are as they should be; ties are broken by the term's bits. Terms are exploded and
-reduced within the task that holds the text: one row for each text is what is shuffled.
+The terms of a text are its 5-word shingles, weighted by how often they occur. Consistent weighted sampling draws, for
+each of SAMPLES samples and each term, r and c from a Gamma(2, 1) distribution and a uniform b; with weight w,
+t = floor(ln w / r + b), and the term of least c * exp(-r * (t - b + 1)) is the sample, together with its t. Two texts
+have the same sample with a probability that equals the generalised Jaccard similarity of their weights, so the share
+of equal samples estimates it (standard error at most 1 / (2 * sqrt(SAMPLES))). A fingerprint holds 20 bits of each sample.
+
+The variates come from 128 hash bits of the term. c is -ln(u1 * u2). r and b are drawn together: with e1 = -ln v1 and
+e2 = -ln v2, r = e1 + e2 is Gamma(2, 1), and 1 - b = e1 / r is uniform and independent of it. For weight 1, t is 0 and
+r * (1 - b) is e1, so that the value is c * v1: most terms take one logarithm. Ties are broken by the term's bits.
+Terms are exploded and reduced within the task that holds the text: one row for each text is what is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ from foldlog.llm import common
 from foldlog.llm.store import stored
 
 SAMPLES, SHINGLE = 64, 5
-#: Rows of a range of ids, about; ranges at most.
-RANGE_ROWS, RANGES = 50_000, 2000
+#: Bytes of text in a range of rows, about, counting ROW_BYTES for each row; sampled rows for each bound between ranges.
+RANGE_BYTES, ROW_BYTES, PER_BOUND = 8 << 20, 64, 8
 _MASK = (1 << 20) - 1
 
 
@@ -43,22 +46,25 @@ def _terms(df: DataFrame) -> DataFrame:
     return df.withColumn("weights", F.expr("if(sorted IS NULL, NULL, zip_with(runs, concat(slice(runs, 2, size(runs)), array(size(sorted))), (a, b) -> coalesce(b, a + 1) - a))")).drop("all", "alone", "sorted", "runs")
 
 
-def _gamma(x: Column) -> Column:
-    """Gamma(2, 1) from 64 hash bits; greater than 0."""
-    half = lambda bits: (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-32)
-    return -F.log(half(F.shiftrightunsigned(x, 32)) * half(x.bitwiseAND(F.lit((1 << 32) - 1))))
+def _bits(h: Column, shift: int, n: int) -> Column:
+    """n bits of a hash from shift on, as a number within (0, 2 ** n)."""
+    high = F.shiftrightunsigned(h, shift) if shift else h
+    return (high if shift + n == 64 else high.bitwiseAND(F.lit((1 << n) - 1))).cast("double") + F.lit(0.5)
 
 
 def _sample(k: int) -> Column:
-    """The packed value of one term: the number to be minimal in the high bits, 20 bits of term and t in the low ones."""
-    salts = [int(np.uint64(0x9E3779B97F4A7C15 * (3 * k + j + 1) & 0xFFFFFFFFFFFFFFFF).astype(np.int64)) for j in range(3)]
-    x, y, z = (F.xxhash64(F.col("term").bitwiseXOR(F.lit(s))) for s in salts)
-    r, ln_c = _gamma(x), F.log(_gamma(y))
-    b = F.shiftrightunsigned(z, 24).cast("double") * F.lit(2.0**-40)
-    t = F.when(F.col("ln_w") == 0.0, F.lit(0.0)).otherwise(F.floor(F.col("ln_w") / r + b).cast("double"))
-    value = ((ln_c - r * (t - b + F.lit(1.0)) + F.lit(64.0)) * F.lit(float(1 << 36))).cast("long")
-    mark = (F.col("term").bitwiseAND(F.lit(_MASK)) + t.cast("long") * F.lit(7919)).bitwiseAND(F.lit(_MASK))
-    return F.shiftleft(value, 20).bitwiseOR(mark)
+    """The packed value of one term: the number to be minimal in the high 43 bits, 20 bits of term and t in the low ones."""
+    salts = [int(np.uint64(0x9E3779B97F4A7C15 * (2 * k + j + 1) & 0xFFFFFFFFFFFFFFFF).astype(np.int64)) for j in range(2)]
+    x, y = (F.xxhash64(F.col("term").bitwiseXOR(F.lit(s))) for s in salts)
+    c = F.lit(64 * math.log(2)) - F.log(_bits(x, 32, 32) * _bits(x, 0, 32))
+    v = _bits(y, 24, 40) * F.lit(2.0**-40)
+    e1, e2 = -F.log(v), -F.log(_bits(y, 0, 24) * F.lit(2.0**-24))
+    r = e1 + e2
+    t = F.floor(F.col("ln_w") / r + e2 / r).cast("double")
+    once = F.col("ln_w") == 0.0
+    a = c * F.when(once, v).otherwise(F.exp(-r * t - e1))
+    mark = F.when(once, F.col("term")).otherwise(F.col("term") + t.cast("long") * F.lit(7919)).bitwiseAND(F.lit(_MASK))
+    return F.shiftleft((a / (a + F.lit(1.0)) * F.lit(float(1 << 43))).cast("long"), 20).bitwiseOR(mark)
 
 
 def signatures(df: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
@@ -82,32 +88,53 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(same / F.lit(float(SAMPLES)))
 
 
+def _bounds(sample: DataFrame, parts: int, by: str) -> DataFrame:
+    """For each value of by: the first rows (at) of its parts but the lowest, in ascending order, from a sample of rows at."""
+    n = "size(all)"
+    cuts = f"transform(sequence(1, {parts - 1}), i -> all[cast(i * {n} / {parts} as int)])" if parts > 1 else "slice(all, 1, 0)"
+    return sample.groupBy(by).agg(F.sort_array(F.collect_list("at")).alias("all")).select(by, F.array_distinct(F.expr(cuts)).alias(f"{by}_bounds"))
+
+
+def with_range(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (doc_id, hash, text) with at (what they are ordered by) and their range in that order; and how many ranges there are at most.
+
+    Ranges have about the same bytes of text. Their bounds come from a sample of rows, in two levels of the square root
+    of their number each: a row is compared with few bounds, and the driver sees those of the first level.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("at", F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash"))
+    weighed = rows.select("at", "doc_id", "hash", (F.octet_length("text") + F.lit(ROW_BYTES)).cast("double").alias("weight"))
+    total = weighed.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    side = math.ceil(math.sqrt(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total / RANGE_BYTES)))
+    each = total / (PER_BOUND * side * side)  # bytes for a sampled row; a row of more counts so many times
+    times = F.col("weight") / F.lit(max(each, 1.0))
+    sample = weighed.where(common.share(4, "doc_id", "hash") < times).select("at", F.explode(F.array_repeat(F.lit(0), F.greatest(F.lit(1), times.cast("int")))).alias("top"))
+    sample = stored(sample)
+    few = sample.where(common.share(14, "at") < 1 / side)  # about PER_BOUND * side rows
+    top = _bounds(few, side, "top").first()
+    bounds = [tuple(b) for b in top["top_bounds"]] if top else []
+    literal = F.array(*[F.struct(*[F.lit(x).cast(kind) for x, kind in zip(b, ("boolean", "bigint", "bigint"), strict=True)]) for b in bounds]).cast("array<struct<known:boolean,id:bigint,hash:bigint>>")
+    place = lambda name: F.expr(f"size(filter({name}, b -> b <= at))")
+    with_top = lambda df: df.withColumn("top_bounds", literal).withColumn("top", place("top_bounds")).drop("top_bounds")
+    inner = stored(_bounds(with_top(sample.drop("top")), side, "top").withColumnRenamed("top_bounds", "inner"), sample)  # side rows of side bounds
+    out = with_top(rows).join(F.broadcast(inner), "top", "left").withColumn("range", F.coalesce(F.col("top") * side + place("inner"), F.col("top") * side)).drop("top", "inner")
+    return out, side * side
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """range, doc_id, text (null: empty), hash, and the next row's next_id, next_hash, next_text in descending order of (doc_id, hash); after the last, the first.
 
-    Rows are dealt to ranges of ids, each of which also gets the first row of the next range as a guest. The driver
-    sees the bounds of the ranges (RANGES at most) and their first ids. A null doc_id comes last.
+    Rows are dealt to ranges, each of which also gets the first row of the next range as a guest. A null doc_id comes
+    last. Rows that are equal in id and text follow each other.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    ids = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    n = docs.count()
-    count = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS))
-    bounds = ids.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr("size(filter(array(" + ", ".join(f"{b}L" for b in bounds) + "), b -> b <= doc_id))") if bounds else F.lit(0))
-    ids = ids.withColumn("range", place)
-    firsts = ids.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("first")).orderBy(F.desc("range")).collect()  # a row for each range
-    rows = rows.withColumn("range", place).withColumn("guest", F.lit(False))
-    if firsts:
-        before = {r["range"]: firsts[i - 1]["range"] for i, r in enumerate(firsts)}  # the range of the first row's predecessor
-        firsts_of = F.create_map(*[F.lit(x) for r in firsts for x in (r["range"], r["first"]["hash"])])
-        to = F.create_map(*[F.lit(x) for a, b in before.items() for x in (a, b)])
-        ids_of = F.create_map(*[F.lit(x) for r in firsts for x in (r["range"], -1 if r["first"]["doc_id"] is None else r["first"]["doc_id"])])
-        is_first = (F.coalesce("doc_id", F.lit(-1)) == F.element_at(ids_of, F.col("range"))) & (F.col("hash") == F.element_at(firsts_of, F.col("range")))
-        guests = rows.where(is_first).withColumn("range", F.element_at(to, F.col("range"))).withColumn("guest", F.lit(True))
-        rows = rows.unionByName(guests)
-    w = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("hash"))
+    rows, ranges = with_range(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")))
+    firsts = stored(rows.groupBy("range").agg(F.max("at").alias("at")))  # a row for each range
+    first = firsts.agg(F.max("range")).first()[0]
+    before = F.lead("range", 1).over(Window.orderBy("range"))  # over as many rows as there are ranges
+    guests = rows.drop("range").join(F.broadcast(firsts.select("at", F.coalesce(before, F.lit(None if first is None else firsts.agg(F.min("range")).first()[0])).cast("long").alias("range"))), "at").dropDuplicates(["range"])
+    rows = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    w = Window.partitionBy("range").orderBy("guest", F.desc("at"))
+    rows = rows.withColumn("range", F.col("range").cast("int")).repartitionById(ranges, "range")
     return rows.select("range", "guest", "doc_id", "text", "hash", F.lead("doc_id").over(w).alias("next_id"), F.lead("hash").over(w).alias("next_hash"), F.lead("text").over(w).alias("next_text")).where(~F.col("guest")).drop("guest")
 
 
