@@ -13,12 +13,18 @@ Nothing is left out for skew:
 - Parts without a bit aren't posted. Sets with m - d or more such parts (two of them could have no other part in
   common) also post the prefix of their tokens in hash order, by which they meet each other.
 - A part that more than CROWD sets share is crowded: its sets aren't paired by it, but compared by their sketches in
-  chunks of CHUNK. At first each chunk gives the edges of a shortest spanning forest, then, once what they link is known,
-  the pairs within the distance that are still in different components.
+  chunks of CHUNK, each of which gives the edges of a shortest spanning forest. A task that finds a part crowded among
+  its own texts sends on CROWD + 1 posts of it and spreads the others over all tasks: no task gets a part that many
+  sets share as a whole.
+- Sets of crowded parts also meet by their rarest shingles (a prefix filter): two sets that link have one in common
+  among as many of each as may be missing from the other, and what crowds a part is frequent, so not among them. Only
+  shingles that sets of different components share make pairs; of the few that are crowded too, the sets of different
+  components are compared in chunks.
 
 Links are verified in steps, so that few pairs of a large group are: the closest candidate of each set; the candidates
-and edges of the forests between the components that this leaves; what is still apart in crowded parts. Components come from distributed hooking and
-pointer jumping. No links, components or fingerprints go to the driver.
+and edges of the forests between the components that this leaves; what meets by rare shingles and is still apart. Texts
+are what is moved to verify: hashes of shingles would be several times their compressed size. Components come from
+distributed hooking and pointer jumping. No links, components or fingerprints go to the driver.
 """
 
 from __future__ import annotations
@@ -42,7 +48,8 @@ CROWD = 16
 #: Posts of a task, about; bits of a dense sketch; sets of a crowded part that are compared in one piece, and how many of all
 #: sets of a larger one are in each of its chunks, so that chunks are linked.
 POSTS, BITS, CHUNK, PIVOTS = 2_000_000, 2048, 2048, 16
-PREFIX = -1
+#: Posts that a task gathers before it sends them; counters of the frequencies of shingles, and how many of them are in a row.
+HELD, COUNTERS, COUNTED = 8_000_000, 1 << 18, 1 << 12
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -56,6 +63,11 @@ def largest_partner(n: int) -> int:
     return n * SIMILAR[1] // SIMILAR[0]
 
 
+def prefix_length(n: int) -> int:
+    """Of a set of n tokens in any order that all sets share, as many of the first as two sets that link have one of in common."""
+    return n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1
+
+
 def linked(n_a, n_b, common_part):
     """SIMILAR in whole numbers."""
     return SIMILAR[1] * common_part >= SIMILAR[0] * (n_a + n_b - common_part)
@@ -137,37 +149,65 @@ def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tup
             filled = np.flatnonzero(prints)
             yield i, mix(prints[filled] + filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), group + 1000)
             if len(filled) <= d:
-                prefix = np.sort(mix(own, 9))[: n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1]
+                prefix = np.sort(mix(own, 9))[: prefix_length(n)]
                 yield i, mix(prefix, group + 5000)
 
 
+_POSTED = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _sent(keys: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of posts: (bucket, null, blob) with 48 bits of keys and the nodes, by bytes; (any bucket, key, blob) with the nodes beyond CROWD + 1 of one key."""
+    order = np.lexsort([node, keys])
+    keys, node = keys[order], node[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (node[1:] != node[:-1]))
+    keys, node = keys[fresh], node[fresh]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(first, len(keys)))
+    more = np.arange(len(keys)) - np.repeat(first, sizes) > CROWD
+    rows: list[tuple] = []
+    for a, n in zip(first[sizes > CROWD + 1].tolist(), sizes[sizes > CROWD + 1].tolist(), strict=True):
+        for i in range(a + CROWD + 1, a + n, 1 << 14):
+            own = node[i : min(i + (1 << 14), a + n)]
+            rows.append((int(mix(own[:1].view(np.uint64))[0] % np.uint64(buckets)), int(keys[a] & _LOW), own.astype("<i8").tobytes()))
+    keys, node = keys[~more], node[~more]
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascends with keys
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+        low = keys[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        rows.append((int(bucket[a]), None, low.T.tobytes() + node[a:b].astype("<i8").tobytes()))
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[i : i + 64]], f.type) for j, f in enumerate(_POSTED)], schema=_POSTED)
+
+
 def posts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob) rows: in each, posts as 48 bits of a key and the node, by bytes."""
-    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+    """(bucket, key, blob) rows of _sent(), for all sets of a task's texts (HELD posts at a time)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for block in common.blocks(batches):
             values, at = shingles(common.raw_texts(block))
-            nodes = set_hash(values, at)
+            nodes = set_hash(values, at).view(np.int64)
             _, first = np.unique(nodes, return_index=True)
             found = list(posts_of(values, at, [i for i in first.tolist() if at[i + 1] > at[i]]))
             if not found:
                 continue
-            keys = np.concatenate([k for _, k in found])
-            node = nodes[np.repeat([i for i, _ in found], [len(k) for _, k in found])]
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keys, node, bucket = keys[order], node[order], bucket[order]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-                low = keys[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((int(bucket[a]), low.T.tobytes() + node[a:b].astype("<u8").tobytes()))
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[i : i + 64]], f.type) for j, f in enumerate(schema)], schema=schema)
+            held.append((np.concatenate([k for _, k in found]), nodes[np.repeat([i for i, _ in found], [len(k) for _, k in found])]))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield from _sent(*(np.concatenate([h[i] for h in held]) for i in (0, 1)), buckets)
+                held, size = [], 0
+        if held:
+            yield from _sent(*(np.concatenate([h[i] for h in held]) for i in (0, 1)), buckets)
 
     common.arrow(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("text").mapInArrow(run, "bucket int, key long, blob binary")
+
+
+def crowd_of(keys: np.ndarray) -> np.ndarray:
+    return mix(keys, 11).view(np.int64)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +219,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meetings(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one bucket, as arrays (a, b, how many sets share the part): pairs a < b that met (0), and sets a in crowded parts b."""
+    """Of one bucket, as arrays (a, b, crowd): pairs a < b that met (0), and sets a in crowded parts b (1)."""
     parts = [unpack(b) for b in blobs]
     keys, node = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     order = np.lexsort([node, keys])
@@ -198,7 +238,7 @@ def meetings(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     yield pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)
     crowded = np.repeat(sizes > CROWD, sizes)
     if crowded.any():
-        yield node[crowded], mix(keys[crowded], 11).view(np.int64), np.repeat(sizes, sizes)[crowded]
+        yield node[crowded], crowd_of(keys[crowded]), np.ones(int(crowded.sum()), np.int64)
 
 
 def meet(docs: DataFrame, total: int) -> DataFrame:
@@ -207,19 +247,90 @@ def meet(docs: DataFrame, total: int) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // POSTS))
     schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "crowd")])
 
+    def sent(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)], pa.int64()) for c in columns], schema=schema)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(bucket, []).append(blob)
+            for bucket, key, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key is None:
+                    by.setdefault(bucket, []).append(blob)
+                else:
+                    nodes = np.frombuffer(blob, "<i8")
+                    yield from sent((nodes, np.repeat(crowd_of(np.array([key], np.uint64)), len(nodes)), np.ones(len(nodes), np.int64)))
         for bucket in sorted(by):
             for columns in meetings(by.pop(bucket)):
-                for i in range(0, len(columns[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)], pa.int64()) for c in columns], schema=schema)
+                yield from sent(columns)
 
     return posts(docs, tasks).repartition(tasks, "bucket").mapInArrow(run, "a long, b long, crowd long")
 
 
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """COUNTERS sums: in how many of texts (text) the shingles of each hash class are."""
+    spark = texts.sparkSession
+    kind = "part int, blob binary"
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(COUNTERS, np.int64)
+        for block in common.blocks(batches):
+            out += np.bincount(counter_of(shingles(common.raw_texts(block))[0]), minlength=COUNTERS)
+        yield from told(out.reshape(-1, COUNTED), range(COUNTERS // COUNTED))
+
+    def told(rows: np.ndarray, parts: Iterable[int]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([r.astype("<i8").tobytes() for r in rows], pa.binary())], ["part", "blob"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(blob, "<i8")
+        if sums:
+            yield from told(np.array(list(sums.values())), sums)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = np.zeros((COUNTERS // COUNTED, COUNTED), np.int64)
+    for part, blob in texts.select("text").mapInArrow(count, kind).repartition(min(tasks, len(out)), "part").mapInArrow(add, kind).collect():  # COUNTERS numbers
+        out[part] = np.frombuffer(blob, "<i8")
+    return out.ravel()
+
+
+def counter_of(values: np.ndarray) -> np.ndarray:
+    return (mix(values, 31) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def rare(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(node, key) for the rarest shingles of each of texts (node, text), as many as prefix_length() says."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches):
+            values, at = shingles(common.raw_texts(block))
+            own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            order = np.lexsort([values, shared.value[counter_of(values)], own])
+            few = np.array([prefix_length(n) for n in np.diff(at).tolist()], np.int64)
+            chosen = order[np.repeat(at[:-1], few) + np.arange(few.sum()) - np.repeat(common.offsets(few)[:-1], few)]
+            node, key = block.column("node").to_numpy()[own[chosen]], values[chosen].view(np.int64)
+            for i in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(key[i : i + (1 << 16)])], ["node", "key"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, key long")
+
+
+def late_candidates(crowded: DataFrame, texts: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of crowded parts (node) that meet by a rare shingle, may link by size and sketch, and are in different components so far."""
+    own = stored(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
+    met = rare(own, frequencies(own)).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = stored(met, own)
+    apart = stored(met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("crowd")).where("x < y").select("key", "crowd"))
+    members = stored(met.join(apart, "key"), met, apart)
+    few = members.where(F.col("crowd") <= CROWD)
+    side = lambda x: few.select("key", F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    pairs = side("a").join(side("b"), "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    return stored(narrowed(pairs, known).union(compared(members.where(F.col("crowd") > CROWD), known, across=True)).select("a", "b").distinct(), members)
+
+
 def sketches(texts: DataFrame) -> DataFrame:
     """(node, n, sketch) of texts (node, text): the size of the set, and which of BITS bits an odd number of its shingles toggles."""
 
@@ -282,7 +393,7 @@ def compared(members: DataFrame, known: DataFrame, across: bool) -> DataFrame:
     """(a, b, apart) from members (node, key, crowd[, component]) of crowded parts.
 
     Without across: the edges of a forest in each chunk. With it: the pairs of different components that sizes and
-    sketches allow, where each set outside the part's largest component meets every chunk of the part.
+    sketches allow, where each set outside the key's largest component meets every chunk of the key.
     """
     chunks = F.ceil(F.col("crowd") / F.lit(float(CHUNK))).cast("int")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -385,7 +496,8 @@ def join(docs: DataFrame) -> DataFrame:
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = stored(meet(docs.where(F.col("doc_id").isNotNull()), total))
     pairs = met.where("crowd = 0").select("a", "b").distinct()
-    crowded = met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key"), "crowd")
+    members = stored(met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct())
+    crowded = members.join(members.groupBy("key").agg(F.count("*").alias("crowd")), "key")
     used = met.select(F.col("a").alias("node")).union(met.where("crowd = 0").select(F.col("b").alias("node"))).distinct()
     wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), F.col("node").alias("own")))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already
@@ -401,8 +513,7 @@ def join(docs: DataFrame) -> DataFrame:
     rest = stored(between(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels))
     found = stored(found.union(verified(rest, texts)))
     labels = stored(components(found))
-    members = crowded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    late = compared(members, known, across=True).select("a", "b").distinct().join(nearest.union(rest), ["a", "b"], "left_anti")
+    late = late_candidates(members, texts, labels, known).join(nearest.union(rest), ["a", "b"], "left_anti")
     labels = components(found.union(verified(late, texts)))
 
     reach = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
