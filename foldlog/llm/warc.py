@@ -1,13 +1,18 @@
 """Operator 1: derivative builder for web archive records.
 
-Each response record gives two linked records: metadata (application/warc-fields: status, source headers, digest of the
-source's payload, title, language, number of links) and conversion (the plain text of an HTML payload). Both refer to
-the response's record id, carry its target and have a block digest of their own. All of it is one pass in built-in
-functions without a shuffle; digests are SHA-256, written sha256:<hex>.
+Each response record gives two linked records: metadata (application/warc-fields: status, digests of the source's block
+and payload, title, language, number of links, and every header line of the source's block under a source- prefix, in
+order and with its own spelling) and conversion (the plain text of an HTML payload). Both refer to the response's record
+id, date and target, carry its digests and have a date and a block digest of their own. Character references are decoded
+once: numeric ones, and the HTML names that end with a semicolon. All of it is one pass in built-in functions without a
+shuffle; digests are SHA-256, written sha256:<hex>.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +25,19 @@ TEXT_RULES = [
     (r"(?is)<style\b.*?</style\s*>", ""),
     (r"(?i)</?(?:p|div|br|hr|h[1-6]|li|ul|ol|nav|article|section|header|footer|main|aside|tr|td|th|table|title|head|body|html|blockquote|pre)(?:\s[^>]*)?/?>", "\n"),
     (r"<[a-zA-Z/!][^>]*>", ""),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", '"'),
-    (r"&(?:#39|apos);", "'"),
-    (r"&nbsp;", " "),
-    (r"&amp;", "&"),
-    (r"[ \t\r\f\x0B]+", " "),
+]
+#: After the character references.
+SPACE_RULES = [
+    (r"[ \t\r\f\x0B\x{A0}]+", " "),
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
 ]
+#: What each named reference stands for, from the standard library's table.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+#: A reference at the start of a piece that follows an ampersand, and its digits.
+NAME, DECIMAL, HEX = r"^([a-zA-Z][a-zA-Z0-9]*);", r"^#([0-9]{1,7});", r"^#[xX]([0-9a-fA-F]{1,6});"
+#: When a page was fetched, if the table doesn't say.
+FETCHED = "2026-01-01T00:00:00Z"
 LINK = r"(?i)<a\s[^>]*href"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANG = r"(?i)<html[^>]*\slang=[\"']?([a-zA-Z-]+)"
@@ -48,41 +56,68 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """Response records (page_id, record_id, target_uri, block) from fetched pages (page_id, url, html); a null html is an empty payload."""
+def responses(pages: DataFrame, fetched: str = FETCHED) -> DataFrame:
+    """Response records (page_id, record_id, target_uri, date, block, block_digest) from fetched pages (page_id, url, html); a null html is an empty payload."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    return pages.select("page_id", urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, html).alias("record_id"), url.alias("target_uri"), F.concat(head, html).alias("block"))
+    block = F.concat(head, html)
+    return pages.select("page_id", urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, html).alias("record_id"), url.alias("target_uri"), F.lit(fetched).alias("date"), block.alias("block"), digest(block).alias("block_digest"))
+
+
+def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new.replace("\\", "\\\\").replace("$", "\\$"))
+    return text
+
+
+def decoded(text: Column) -> Column:
+    """text with its character references resolved; what isn't one, or stands for no character, stays as it is."""
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    number = lambda digits: F.when((digits == 0) | (digits > 0x10FFFF) | digits.between(0xD800, 0xDFFF), None).otherwise(F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
+
+    def piece(x: Column) -> Column:
+        name, ten, sixteen = (F.regexp_extract(x, p, 1) for p in (NAME, DECIMAL, HEX))
+        found = F.when(name != "", named[name]).when(ten != "", number(ten.cast("bigint"))).when(sixteen != "", number(F.conv(sixteen, 16, 10).cast("bigint")))
+        return F.when(found.isNotNull(), F.concat(found, F.regexp_replace(x, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), x))
+
+    parts = F.split(text, "&", -1)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
-    for pattern, new in TEXT_RULES:
-        html = F.regexp_replace(html, pattern, new.replace("\\", "\\\\").replace("$", "\\$"))
-    return html
+    return _replaced(decoded(_replaced(html, TEXT_RULES)), SPACE_RULES)
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two records for each response (page_id, record_id, target_uri, block): warc_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, source_digest, block, headers.
+    """Two records for each response (page_id, record_id, target_uri, date, block, block_digest): warc_type, record_id, date, refers_to, target_uri,
+    content_type, content_length, block_digest, source_digest (of the payload), source_block_digest, block, headers.
 
     A block without an empty line has no payload; one without a status or content type has empty ones. Payloads that
     aren't HTML by their content type are converted as they are. Repeated rows each give their two records, with the
-    same ids; a null block counts as empty. Other columns are ignored; an empty table gives no rows.
+    same ids; a null block counts as empty, a missing block digest is computed. Other columns are ignored; an empty
+    table gives no rows.
     """
     block = F.coalesce("block", F.lit(""))
-    head = F.substring_index(block, "\r\n\r\n", 1)
-    rows = records.select("page_id", F.coalesce("record_id", F.lit("")).alias("source"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), block.alias("whole"), head.alias("head"))
+    rows = records.select("page_id", F.coalesce("record_id", F.lit("")).alias("source"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("block_digest", digest(block)).alias("source_block_digest"), block.alias("whole"))
+    rows = rows.withColumn("head", F.substring_index("whole", "\r\n\r\n", 1))
     rows = rows.withColumn("payload", F.expr("substring(whole, char_length(head) + 5)"))
     rows = rows.withColumn("kind", F.regexp_extract("head", CONTENT_TYPE, 1)).withColumn("source_digest", digest(F.col("payload")))
     rows = rows.withColumn("text", F.when(F.lower("kind").contains("html"), plain_text(F.col("payload"))).otherwise(F.col("payload")))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     title = F.trim(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"\s+", " "))
     links = (F.size(F.split("payload", LINK, -1)) - 1).cast("string")
-    meta = F.concat(field("http-status", F.regexp_extract("head", STATUS, 1)), field("source-content-type", F.col("kind")), field("source-payload-digest", F.col("source_digest")), field("title", title), field("language", F.regexp_extract("payload", LANG, 1)), field("links", links))
+    lines = F.split("head", "\r\n", -1)
+    headers = F.array_join(F.transform(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != ""), lambda x: F.concat(F.lit("source-"), x, F.lit("\r\n"))), "")
+    fields = [("http-status", F.regexp_extract("head", STATUS, 1)), ("source-block-digest", F.col("source_block_digest")), ("source-payload-digest", F.col("source_digest")), ("title", title), ("language", F.regexp_extract("payload", LANG, 1)), ("links", links)]
+    meta = F.concat(*[field(n, v) for n, v in fields], headers)
     made = [F.struct(F.lit(t).alias("warc_type"), F.lit(c).alias("content_type"), b.alias("block")) for t, c, b in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", F.col("text")))]
-    rows = rows.select("page_id", "source", "target_uri", "source_digest", F.explode(F.array(*made)).alias("new"))
-    rows = rows.select("page_id", F.col("new.warc_type"), urn(F.col("new.warc_type"), F.col("source"), F.col("source_digest")).alias("record_id"), F.col("source").alias("refers_to"), "target_uri", F.col("new.content_type"), F.octet_length("new.block").cast("long").alias("content_length"), digest(F.col("new.block")).alias("block_digest"), "source_digest", F.col("new.block"))
-    names = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    return rows.withColumn("headers", F.concat(F.lit("WARC/1.1\r\n"), *[field(n, F.col(c).cast("string")) for n, c in names], F.lit("\r\n")))
+    rows = rows.select("page_id", "source", "target_uri", "date", "source_digest", "source_block_digest", F.explode(F.array(*made)).alias("new"))
+    rows = rows.select("page_id", F.col("new.warc_type"), urn(F.col("new.warc_type"), F.col("source"), F.col("source_digest")).alias("record_id"), "date", F.col("source").alias("refers_to"), "target_uri", F.col("new.content_type"), F.octet_length("new.block").cast("long").alias("content_length"), digest(F.col("new.block")).alias("block_digest"), "source_digest", "source_block_digest", F.col("new.block"))
+    return rows.withColumn("headers", F.concat(F.lit("WARC/1.1\r\n"), *[field(n, F.col(c).cast("string")) for n, c in HEADERS], F.lit("\r\n")))
+
+
+#: Header lines of a derived record, and the columns they come from; a derivative has the date of its source, so that a second run gives the same record.
+HEADERS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Block-Digest", "source_block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,23 +133,33 @@ def _quoted(text: str) -> str:
 
 
 def oracle() -> str:
-    text = "payload"
-    for pattern, new in TEXT_RULES:
-        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+    def replaced(text: str, rules: list[tuple[str, str]]) -> str:
+        for pattern, new in rules:
+            text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+        return text
+
+    named = ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in NAMED.items())
+    extract = lambda p: f"regexp_extract(x, {_quoted(p)}, 1)"
+    number = lambda n: f"(CASE WHEN {n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343 THEN NULL ELSE chr({n}::INT) END)"
     crlf = "chr(13) || chr(10)"
     urn_of = lambda x: f"(SELECT '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' FROM (SELECT md5({x}) AS h))"
-    fields = [("http-status", f"regexp_extract(head, {_quoted(STATUS)}, 1)"), ("source-content-type", "kind"), ("source-payload-digest", "source_digest"), ("title", f"trim(regexp_replace(regexp_extract(payload, {_quoted(TITLE)}, 1), '\\s+', ' ', 'g'))"), ("language", f"regexp_extract(payload, {_quoted(LANG)}, 1)"), ("links", f"len(regexp_extract_all(payload, {_quoted(LINK)}))")]
+    found = f"CASE WHEN {extract(NAME)} <> '' THEN t[{extract(NAME)}] WHEN {extract(DECIMAL)} <> '' THEN {number(f'{extract(DECIMAL)}::BIGINT')} WHEN {extract(HEX)} <> '' THEN {number(f"('0x' || {extract(HEX)})::BIGINT")} END"
+    piece = f"CASE WHEN ({found}) IS NOT NULL THEN ({found}) || regexp_replace(x, '^[^;]*;', '') ELSE '&' || x END"
+    fields = [("http-status", f"regexp_extract(head, {_quoted(STATUS)}, 1)"), ("source-block-digest", "source_block_digest"), ("source-payload-digest", "source_digest"), ("title", f"trim(regexp_replace(regexp_extract(payload, {_quoted(TITLE)}, 1), '\\s+', ' ', 'g'))"), ("language", f"regexp_extract(payload, {_quoted(LANG)}, 1)"), ("links", f"len(regexp_extract_all(payload, {_quoted(LINK)}))")]
     meta = " || ".join(f"'{n}: ' || {v} || {crlf}" for n, v in fields)
-    names = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    headers = f"'WARC/1.1' || {crlf} || " + " || ".join(f"'{n}: ' || {c} || {crlf}" for n, c in names) + f" || {crlf}"
+    meta += f" || array_to_string(list_transform(list_filter(string_split(head, {crlf})[2:], lambda x: x <> ''), lambda x: 'source-' || x || {crlf}), '')"
+    headers = f"'WARC/1.1' || {crlf} || " + " || ".join(f"'{n}: ' || {c} || {crlf}" for n, c in HEADERS) + f" || {crlf}"
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 r AS (SELECT page_id, {urn_of("'response|' || coalesce(page_id::VARCHAR, '') || '|' || url || '|' || html")} AS source, url AS target_uri,
   'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(html) AS head, html AS payload FROM p),
-k AS (SELECT *, regexp_extract(head, {_quoted(CONTENT_TYPE)}, 1) AS kind, 'sha256:' || sha256(payload) AS source_digest FROM r),
-n AS (SELECT page_id, source, target_uri, source_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {meta} AS block FROM k
-  UNION ALL SELECT page_id, source, target_uri, source_digest, 'conversion', 'text/plain; charset=utf-8', {text} FROM k),
-d AS (SELECT page_id, warc_type, {urn_of("warc_type || '|' || source || '|' || source_digest")} AS record_id, source AS refers_to, target_uri, content_type, strlen(block)::BIGINT AS content_length,
-  'sha256:' || sha256(block) AS block_digest, source_digest, block FROM n)
+k AS (SELECT *, regexp_extract(head, {_quoted(CONTENT_TYPE)}, 1) AS kind, 'sha256:' || sha256(payload) AS source_digest, 'sha256:' || sha256(head || {crlf} || {crlf} || payload) AS source_block_digest FROM r),
+b AS (SELECT page_id, string_split({replaced("payload", TEXT_RULES)}, '&') AS parts FROM k),
+m AS (SELECT MAP {{{named}}} AS t),
+u AS (SELECT page_id, parts[1] || array_to_string(list_transform(parts[2:], lambda x: {piece}), '') AS text FROM b, m),
+n AS (SELECT page_id, source, target_uri, source_digest, source_block_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {meta} AS block FROM k
+  UNION ALL SELECT page_id, source, target_uri, source_digest, source_block_digest, 'conversion', 'text/plain; charset=utf-8', {replaced("text", SPACE_RULES)} FROM k JOIN u USING (page_id)),
+d AS (SELECT page_id, warc_type, {urn_of("warc_type || '|' || source || '|' || source_digest")} AS record_id, '{FETCHED}' AS date, source AS refers_to, target_uri, content_type, strlen(block)::BIGINT AS content_length,
+  'sha256:' || sha256(block) AS block_digest, source_digest, source_block_digest, block FROM n)
 SELECT *, {headers} AS headers FROM d
 """
