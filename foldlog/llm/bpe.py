@@ -1,12 +1,15 @@
 """Operator 2: byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Texts are cut into words; the distinct words of a block of the corpus stand in one byte sequence, and an inverted
-index leads from each token pair (by the rank of its merge) to the places where it occurs. Merges are replayed in
-rank order over all words at once, and only the two neighbours of a merged place are looked up again. A text's ids
-are then those of its words. Words keep their ids from block to block within a worker, up to a limit.
-
-A block is what one task reads (in steps of common.BLOCK_BYTES): merges never cross words, so blocks need no
-exchange. There is no shuffle, and memory is bounded by a block and the limits of common.Words.
+The corpus is cut into words, and the distinct words are counted by one hash aggregate. They stand in one byte
+sequence, and an inverted index leads from each token pair to the places where it occurs. Merges are replayed in rank
+order over all words at once, and only the two neighbours of a merged place are looked up again. A text's ids are then
+those of its words. The index's key is the rank to which pairs lead: pairs that make the same token merge together, as
+of two that overlap the left one must win. A word that is itself a token is that token, as in the tiktoken library.
+
+What is broadcast to encode the texts are the ids of the most frequent words, FREQUENT of LONGEST characters at most.
+Words beyond them are replayed by the same code where they occur, a block of texts at a time; a worker keeps them from
+block to block, up to a limit. Merges never cross words, so the ids are the same on either way, and no text is shuffled.
+Memory is bounded by a block, the broadcast words and the limits of common.Words.
 """
 
 from __future__ import annotations
@@ -14,15 +17,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldlog.llm import common
+from foldlog.llm.store import drop, stored
 
 NONE = 1 << 40
+#: Words whose ids are broadcast, at most; characters of such a word at most; distinct words that a task counts at once.
+FREQUENT, LONGEST, COUNTED = 200_000, 64, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,15 +69,40 @@ class Merges:
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
     def one(self, word: bytes) -> list[int]:
-        """The plain form: the leftmost pair of lowest rank merges first."""
-        ids = [self.ranks[bytes([b])] for b in word]
-        while len(ids) > 1:
-            found = self.rank_of(np.array(ids[:-1]), np.array(ids[1:]))
-            i = int(found.argmin())
-            if found[i] == NONE:
-                break
-            ids[i : i + 2] = [int(found[i])]
-        return ids
+        """A single word: the leftmost pair of lowest rank merges first."""
+        n = len(word)
+        ids = [int(self.byte_id[b]) for b in word]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self.rank_of(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)).tolist() if n > 1 else []
+        heap = [(r, i) for i, r in enumerate(ranks) if r < NONE]
+        heapq.heapify(heap)
+        ranks.append(NONE)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if ids[i] < 0 or ranks[i] != r:
+                continue
+            gone = after[i]
+            ids[i], ids[gone], after[i] = r, -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for j in (i, before[i]):
+                if j >= 0:
+                    ranks[j] = self._pair(ids[j], ids[after[j]]) if after[j] < n else NONE
+                    if ranks[j] < NONE:
+                        heapq.heappush(heap, (ranks[j], j))
+        return [x for x in ids if x >= 0]
+
+    def _pair(self, a: int, b: int) -> int:
+        at = bisect_left(self.key_list, a * self.width + b)
+        return self.value_list[at] if at < len(self.key_list) and self.key_list[at] == a * self.width + b else NONE
+
+    @cached_property
+    def key_list(self) -> list[int]:
+        return self.keys.tolist()
+
+    @cached_property
+    def value_list(self) -> list[int]:
+        return self.values.tolist()
 
     def replay(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word, by replaying every merge over all words in rank order."""
@@ -144,18 +179,20 @@ class Merges:
 
 
 class Encoder:
-    """Encodes texts by a table of ranks and the pattern that splits them; decodes ids."""
+    """Encodes texts by a table of ranks and the pattern that splits them; decodes ids. known: words (as by common.chunks()) with their ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: list[tuple[str, bytes]] = ()):
         import regex
 
         self.merges = Merges(ranks)
         inside = pattern.replace(r"[^\s", f"[^{common.SPACES}")
         self.split = regex.compile(inside.replace(r"\s", f"[{common.SPACES}]").replace(r"\S", f"[^{common.SPACES}]"))
-        self.held = common.Growing(np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        self.words = common.Words(self._learn, self.held.clear)
+        ids = np.frombuffer(b"".join(x for _, x in known), "<u4").astype(np.uint32)
+        self.held = common.Growing(ids, np.array([len(x) // 4 for _, x in known], np.int64))
+        self.words = common.Words(self._learn, self.held.clear, known=[w for w, _ in known])
 
-    def _learn(self, keys: list[str]) -> None:
+    def ids_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct words keys, one after another, and how many each has."""
         pieces = [self.split.findall(common.spelled(k)) for k in keys]
         distinct = list({p for x in pieces for p in x})
         raw = [p.encode() for p in distinct]
@@ -169,7 +206,10 @@ class Encoder:
         which = np.fromiter((place[p] for x in pieces for p in x), np.int64)
         per_piece = lengths[which]
         per_key = np.diff(common.offsets(per_piece)[common.offsets([len(x) for x in pieces])])
-        self.held.extend(common.ragged(flat, common.offsets(lengths)[:-1][which], per_piece), per_key)
+        return common.ragged(flat, common.offsets(lengths)[:-1][which], per_piece), per_key
+
+    def _learn(self, keys: list[str]) -> None:
+        self.held.extend(*self.ids_of(keys))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (with the end)."""
@@ -188,14 +228,70 @@ class Encoder:
 _kept: dict[object, Encoder] = {}
 
 
-def encoder_of(key: object, ranks: dict[bytes, int], pattern: str) -> Encoder:
+def encoder_of(key: object, ranks: dict[bytes, int], pattern: str, known: list[tuple[str, bytes]] = ()) -> Encoder:
     """One encoder for a worker process, kept between its tasks."""
     if key not in _kept:
         _kept.clear()
-        _kept[key] = Encoder(ranks, pattern)
+        _kept[key] = Encoder(ranks, pattern, known)
     return _kept[key]
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of the distinct words of up to LONGEST characters in docs (text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            rows = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
+            for i in range(0, len(rows), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[i : i + (1 << 14)]], t) for j, t in enumerate((pa.string(), pa.int64()))], ["word", "n"])
+            counts.clear()
+
+        for block in common.blocks(batches):
+            for text in common.texts(block):
+                counts.update(common.chunks(text))
+            if len(counts) > COUNTED:
+                yield from told()
+        yield from told()
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> list[tuple[str, bytes]]:
+    """The most frequent words of docs (FREQUENT at most, all of equal frequency or none) and their ids, replayed in parts of the words."""
+    spark = docs.sparkSession
+    counts = stored(word_counts(docs).where("n > 1"))
+    step = F.floor(F.log2("n") * 64)
+    steps = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 64 for each doubling of a count
+    least, size = None, 0
+    for at, n in steps:
+        if size + n > FREQUENT:
+            break
+        least, size = at, size + n
+    if least is None:
+        drop(counts)
+        return []
+    shared, key = spark.sparkContext.broadcast((ranks, pattern)), _key(ranks, pattern)
+
+    def replay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(key, *shared.value)
+        for block in common.blocks(batches):
+            words = block.column("word").to_pylist()
+            ids, n = encoder.ids_of(words)
+            raw, at = ids.astype("<u4").tobytes(), (4 * common.offsets(n)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["word", "ids"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = counts.where(step >= least).select("word").repartition(min(tasks, 1 + size // 4096), "word").mapInArrow(replay, "word string, ids binary").collect()  # FREQUENT words at most
+    drop(counts)
+    return sorted((r["word"], bytes(r["ids"])) for r in found)
+
+
+def _key(*parts: object) -> str:
+    return hashlib.sha256(repr([sorted(p.items()) if isinstance(p, dict) else p for p in parts]).encode()).hexdigest()
+
+
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_tokens, ids_sha256, decoded_sha256, and the ids if asked for.
 
@@ -204,8 +300,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
     """
     spark = docs.sparkSession
     common.arrow(spark)
-    shared = spark.sparkContext.broadcast((ranks, pattern))  # as large as the vocabulary
-    key = (len(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), pattern)
+    known = frequent(docs, ranks, pattern)
+    shared, key = spark.sparkContext.broadcast((ranks, pattern, known)), _key(ranks, pattern, known)  # as large as the vocabulary and FREQUENT words
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 

@@ -85,19 +85,21 @@ def offsets(lengths: np.ndarray | list[int]) -> np.ndarray:
 
 
 class Words:
-    """Numbers for distinct words, given in order of first sight; forgets all when it has grown beyond its limit.
+    """Numbers for distinct words, given in order of first sight; forgets all but known when it has grown beyond its limit.
 
-    A caller keeps something for each number (ids, features), computed by learn() for new words only.
+    A caller keeps something for each number (ids, features), computed by learn() for new words only; it has that of the
+    words in known from the start, and again after forget().
     """
 
-    def __init__(self, learn: Callable[[list], None], forget: Callable[[], None], limit: int = 400_000, limit_bytes: int = 32 << 20):
-        self.learn, self.forget, self.limit, self.limit_bytes = learn, forget, limit, limit_bytes
-        self.index: dict = {}
+    def __init__(self, learn: Callable[[list], None], forget: Callable[[], None], limit: int = 400_000, limit_bytes: int = 32 << 20, known: list | tuple = ()):
+        self.learn, self.forget, self.limit, self.limit_bytes = learn, forget, limit + len(known), limit_bytes
+        self.known = dict(zip(known, range(len(known)), strict=True))
+        self.index: dict = dict(self.known)
         self.bytes = 0
 
     def numbers(self, lists: list[list]) -> np.ndarray:
         if len(self.index) > self.limit or self.bytes > self.limit_bytes:
-            self.index, self.bytes = {}, 0
+            self.index, self.bytes = dict(self.known), 0
             self.forget()
         seen: set = set()
         for x in lists:
@@ -113,14 +115,14 @@ class Words:
 
 
 class Growing:
-    """Arrays that grow at the end."""
+    """Arrays that grow at the end, and are as they were at first after clear()."""
 
     def __init__(self, *arrays: np.ndarray):
-        self.empty = arrays
+        self.first = arrays
         self.clear()
 
     def clear(self) -> None:
-        self.arrays = [a[:0] for a in self.empty]
+        self.arrays = list(self.first)
 
     def extend(self, *more: np.ndarray) -> None:
         self.arrays = [np.concatenate([a, np.asarray(b, a.dtype)]) for a, b in zip(self.arrays, more, strict=True)]
