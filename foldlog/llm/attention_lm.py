@@ -5,8 +5,8 @@ is a binary tree over the ids: the root tells ids that begin a word from those t
 two Huffman trees from the ids' frequencies. The probability of an id is the product of the decisions on its path.
 Untrained, the decisions' biases give the ids' frequencies; training adds what context tells. The probability of a word
 is that of its ids and of the word's end after them (the next root's decision), mixed with the word's share among all
-training tokens. The weight of the share is the one of MIXED by which training texts are likeliest, each word counted
-without its own occurrence.
+training tokens. The weight of the share is the one of MIXED by which all training texts are likeliest, each word
+counted without its own occurrence; 0 leaves attention alone.
 Texts are scored in windows of 2 * STEP inputs that overlap by half: each window scores its last STEP tokens once, under
 a causal mask that also ends at the text's start, for many windows at a time.
 
@@ -42,17 +42,19 @@ BATCH, RATE = 128, 0.08
 #: Windows that training visits in all, at least about so many; passes over all texts at most; rounds, after each of which models are averaged, at least.
 VISITS, EPOCHS, ROUNDS = 300_000, 8, 4
 #: Parts of the model of which few rows change at a time, and others; rows that are averaged together.
-SPARSE, DENSE, PIECE = ("e", "n", "b"), ("q", "k", "v", "u", "d"), 256
+SPARSE, DENSE, PIECE = ("e", "n"), ("q", "k", "v", "u", "d"), 256
 #: Windows that are worked on at once.
 AT_ONCE = 256
 #: Bytes of text in a block, and words that a worker knows at once.
 BLOCK, KNOWN = 4 << 20, 600_000
 #: Buckets of the hash space for each shuffle partition.
 SPREAD = 4
+#: Tokens for each task that adds up counts, about.
+TOKENS = 8_000_000
 #: Weights of the training share of a word against the attention model's probability, of which training texts choose one.
-MIXED = (0.1, 0.2, 0.35, 0.6)
-#: Every so many training texts of a block take part in the choice.
-FITTED = 8
+MIXED = (0.0, 0.1, 0.2, 0.35, 0.6)
+#: Steps of a stored log10 probability to 1; what 16 bits can't hold is stored apart.
+FINE = 2048
 
 
 # --- output tree ---------------------------------------------------------------------------------------------------
@@ -128,7 +130,8 @@ def new_model(counts: np.ndarray, begins: np.ndarray, seed: int = 3) -> dict:
     rng = np.random.default_rng(seed)
     v, f = len(counts), lambda *shape: rng.normal(0, 0.3 / math.sqrt(WIDTH), shape).astype(np.float32)
     tree = Tree(counts, begins)
-    return {"tree": tree, "e": f(v, WIDTH) * 3, "q": f(WIDTH, WIDTH), "k": f(WIDTH, WIDTH), "v": f(WIDTH, WIDTH), "u": np.eye(WIDTH, dtype=np.float32), "d": np.zeros(2 * STEP, np.float32), "n": np.zeros((v - 1, WIDTH), np.float32), "b": tree.bias.copy()}
+    nodes = np.column_stack([np.zeros((v - 1, WIDTH), np.float32), tree.bias])  # weights and the bias
+    return {"tree": tree, "e": f(v, WIDTH) * 3, "q": f(WIDTH, WIDTH), "k": f(WIDTH, WIDTH), "v": f(WIDTH, WIDTH), "u": np.eye(WIDTH, dtype=np.float32), "d": np.zeros(2 * STEP, np.float32), "n": nodes}
 
 
 _later = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None]  # distance of each input from each query
@@ -162,8 +165,8 @@ class Trainer:
         self.model[x] -= RATE * g / np.sqrt(self.past[x])
 
     def _sparse(self, x: str, rows: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows, g = rows[order], g[order]
+        order = np.argsort(rows.astype(np.uint16) if len(self.model[x]) <= 1 << 16 else rows, kind="stable")  # short numbers are sorted in linear time
+        rows, g = rows[order], np.take(g, order, axis=0)
         cuts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         rows, g = rows[cuts], np.add.reduceat(g, cuts, axis=0)
         self.visits[x][rows] += np.diff(np.append(cuts, len(order)))
@@ -186,17 +189,20 @@ class Trainer:
             h = xq @ model["u"] + out
             live = np.arange(STEP) < m[:, None]
             target = sequences[np.minimum(place[:, STEP:] + 1, len(sequences) - 1)][live]
-            hidden = h[live]
+            hidden = np.ones((len(target), WIDTH + 1), np.float32)
+            hidden[:, :WIDTH] = h[live]
             path, at, own = tree.paths(target)
             node, sign = tree.node[path], tree.sign[path]
-            w = model["n"][node]
-            z = sign * (np.einsum("ij,ij->i", w, hidden[own]) + model["b"][node])
-            self.loss += float(np.logaddexp(0, -z).sum())
+            w, seen = np.take(model["n"], node, axis=0), np.take(hidden, own, axis=0)
+            z = sign * np.einsum("ij,ij->i", w, seen)
+            e = np.exp(-np.abs(z))
+            self.loss += float((np.maximum(-z, 0) + np.log1p(e)).sum())
             self.total += len(target)
-            g = (-sign / (1 + np.exp(z))).astype(np.float32)
-            gh = common.sums(g[:, None] * w, at).astype(np.float32)
-            self._sparse("n", node, g[:, None] * hidden[own])
-            self._sparse("b", node, g)
+            g = -sign * np.where(z >= 0, e, 1) / (1 + e)
+            w *= g[:, None]
+            seen *= g[:, None]
+            gh = np.add.reduceat(w, at[:-1], axis=0)[:, :WIDTH]
+            self._sparse("n", node, seen)
             back = np.zeros_like(h)
             back[live] = gh
             gx = np.zeros_like(x)
@@ -222,7 +228,7 @@ class Scorer:
         self.tree, e = model["tree"], model["e"]
         self.q, self.u = e @ model["q"] * np.float32(1 / math.sqrt(WIDTH)), e @ model["u"]
         self.kv = np.concatenate([e @ model["k"], e @ model["v"]], axis=1)
-        self.n, self.d = np.column_stack([model["n"], model["b"]]).astype(np.float32), model["d"]
+        self.n, self.d = model["n"].astype(np.float32), model["d"]
         self.mask = np.where(_later >= 0, self.d[np.maximum(_later, 0)], np.float32(-1e9)).astype(np.float32)
         self.columns = np.arange(2 * STEP)
 
@@ -453,16 +459,50 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, seed: int = 3) -
             own = docs if parts == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(parts)) == i % parts)
             model = _round(own, model, shared, i, seed)
     del model["past"]
-    return model
+    return model | {"tokens": int(counts.sum())}
 
 
 # --- base counts ---------------------------------------------------------------------------------------------------
 
 
+def packed(place: np.ndarray, found: np.ndarray) -> bytes:
+    """Places of a text's words and the log10 probabilities of its words and end: by bytes, in steps of 1 / FINE, then those below the range whole."""
+    steps = np.rint(found * -FINE)
+    far = np.flatnonzero((steps > 65534) | (steps < 0))
+    steps[far] = 65535
+    planes = lambda x, width: x.view(np.uint8).reshape(-1, width).T.tobytes()
+    return planes(place.astype("<u4"), 4) + planes(steps.astype("<u2"), 2) + far.astype("<u4").tobytes() + found[far].astype("<f4").tobytes()
+
+
+def unpacked(blob: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    own = lambda width, n, at: np.ascontiguousarray(np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n).T).view(f"<u{width}").ravel()
+    place, found = own(4, words, 0), own(2, words + 1, 4 * words) / -float(FINE)
+    at = 6 * words + 2
+    n = (len(blob) - at) // 8
+    found[np.frombuffer(blob, "<u4", n, at)] = np.frombuffer(blob, "<f4", n, at + 4 * n)
+    return place, found
+
+
+def mixtures(share: np.ndarray, attention: np.ndarray) -> list[float]:
+    """Sums of the logarithms of both probabilities' mixtures, by MIXED; attention is given as natural logarithms."""
+    p = np.exp(attention)
+    small = np.flatnonzero(p < 1e-290)  # for these the sum is built from logarithms
+    out = []
+    for w in MIXED:
+        mixed = w * share + (1 - w) * p
+        mixed[small] = 1
+        total = float(np.log(mixed).sum())
+        if len(small):
+            with np.errstate(divide="ignore"):
+                total += float(np.logaddexp(np.log(w * share[small]), math.log1p(-w) + attention[small]).sum())
+        out.append(total)
+    return out
+
+
 def scored(docs: DataFrame, model: dict, ranks: dict[bytes, int], pattern: str, training: str, buckets: int) -> DataFrame:
-    """Rows of two kinds. For each of docs: block, doc_id, training, n_tokens, and blob: for each word its place among the block's
-    (frequent ones first), by bytes, and for each word and the end the log10 probability by attention. For each block and
-    bucket: block, bucket and blob: hashes, training counts and places of words.
+    """Rows of two kinds. For each of docs: block, doc_id, training, n_tokens, and blob: packed() places of its words among the block's
+    (frequent ones first), and log10 probabilities by attention. For each block and bucket: block, bucket and blob: hashes,
+    training counts and places of words.
 
     training names a boolean column of docs.
     """
@@ -481,7 +521,6 @@ def scored(docs: DataFrame, model: dict, ranks: dict[bytes, int], pattern: str,
             lists = _words(block)
             ids, at, begin, which, hashes = subwords.of(lists, end)
             found = held[0].words(ids, at, begin, end) / math.log(10)
-            found = found.astype("<f2" if not len(found) or found.min() > -60_000 else "<f4")  # a word of thousands of ids
             numbers, place, times = np.unique(which, return_inverse=True, return_counts=True)
             lengths = np.array([len(x) for x in lists], np.int64)
             learn = block.column("learn").to_numpy(zero_copy_only=False).astype(bool)
@@ -490,9 +529,8 @@ def scored(docs: DataFrame, model: dict, ranks: dict[bytes, int], pattern: str,
             rank[order] = np.arange(len(order))
             hashes = hashes[numbers[order]]
             trained = np.bincount(place, np.repeat(learn, lengths), len(order))[order].astype("<u4")
-            planes = rank[place].astype("<u4").view(np.uint8).reshape(-1, 4)
             key, size, bound = part << 32 | number, len(lists), common.offsets(lengths).tolist()
-            blobs = [planes[a:b].T.tobytes() + found[a + i : b + i + 1].tobytes() for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True))]
+            blobs = [packed(rank[place[a:b]], found[a + i : b + i + 1]) for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array([key] * size, pa.int64()), pa.nulls(size, pa.int32()), block.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(learn), pa.array(lengths + 1), pa.array(blobs, pa.binary())], schema=schema)
             bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable").astype("<u4")
@@ -532,7 +570,7 @@ def totals(parts: DataFrame, tasks: int) -> DataFrame:
 def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score; score and fit by weight of MIXED: texts meet the counts of their block's words.
 
-    fit is the score of one training text in FITTED with each word counted once less; of others, 0.
+    fit is the score of a training text with each word counted once less; of others, 0.
     """
     both = [f"{x}_{i}" for x in ("score", "fit") for i in range(len(MIXED))]
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), *((x, pa.float64()) for x in both)])
@@ -544,18 +582,14 @@ def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int
         count = np.zeros(len(places), np.int64)
         count[places] = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(b, "<i8", len(b) // 12) for b in blobs)])
         logs, known = np.log10(count + 1.0), count > 0
-        with np.errstate(divide="ignore"):
-            share, less, of_end = (np.log(x / max(n, 1)) for x in (count, np.maximum(count - 1, 0), np.array([n_texts, max(n_texts - 1, 0)])))
+        share, less = (x / max(n, 1) for x in (count, np.maximum(count - 1, 0)))
+        of_end = [n_texts / max(n, 1), max(n_texts - 1, 0) / max(n, 1)]
         out = []
-        seen = 0
         for doc_id, learn, size, blob in zip(*(left.column(c).to_pylist() for c in ("doc_id", "training", "n_tokens", "blob")), strict=True):
-            k = size - 1
-            place = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * k).reshape(4, k).T).view("<u4").ravel()
-            attention = np.frombuffer(blob, "<f2" if len(blob) == 4 * k + 2 * size else "<f4", size, 4 * k).astype(np.float64)
+            place, attention = unpacked(blob, size - 1)
             attention *= math.log(10)
-            found = [np.append(x[place], e) for x, e in zip((share, less) if learn and seen % FITTED == 0 else (share,), of_end, strict=False)]
-            seen += learn
-            mixed = [float(np.logaddexp(math.log(w) + x, math.log(1 - w) + attention).sum()) / math.log(10) for x in found for w in MIXED]
+            found = [np.append(x[place], e) for x, e in zip((share, less) if learn else (share,), of_end, strict=False)]
+            mixed = [y / math.log(10) for x in found for y in mixtures(x, attention)]
             mixed += [0.0] * (len(both) - len(mixed))
             base = float(logs[place].sum()) + math.log10(n_texts + 1) - size * below
             out.append((doc_id, not learn, size, int(known[place].sum()) + (n_texts > 0), n, base, *mixed))
@@ -576,12 +610,12 @@ def score(docs: DataFrame, training, ranks: dict[bytes, int], pattern: str) -> D
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", training.alias("learn"))
     model = fit(docs.where("learn"), ranks, pattern)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model["tokens"] // TOKENS)
     rows = stored(scored(docs, model, ranks, pattern, "learn", tasks * SPREAD))
     counts = stored(totals(rows.where(F.col("bucket").isNotNull()), tasks))
     n, n_texts = rows.where("training").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     v = counts.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0] + (n_texts > 0)
-    scores = stored(base_scores(rows, counts, n, v, n_texts))
+    scores = stored(base_scores(rows, counts, n, v, n_texts), rows, counts)
     fits = scores.agg(*[F.sum(f"fit_{i}") for i in range(len(MIXED))]).first()
     best = max(range(len(MIXED)), key=lambda i: fits[i] or 0.0)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col(f"score_{best}").alias("score"))
