@@ -37,6 +37,14 @@ def retry_delay(index: Column, initial_ms: int, max_ms: int) -> Column:
     return F.least(F.lit(float(initial_ms)) * F.pow(F.lit(2.0), F.least(index, F.lit(62))), F.lit(float(max_ms))).cast("long")
 
 
+def after(columns: list[Column | str], values: list) -> Column:
+    """Whether a tuple of columns comes after a tuple of values, the first that differs deciding."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in columns]
+    names = [f"c{i}" for i in range(len(columns))]
+    own = F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)])
+    return own > F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for v, n in zip(values, names, strict=True)])
+
+
 def causation(kind: Column, aggregate_id: Column) -> Column:
     return F.concat(kind, F.lit("@"), aggregate_id)
 

@@ -75,6 +75,11 @@ def union_predicate(filters: Iterable[EventFilter]) -> Column:
     return out
 
 
+def field_of(column: str, path: str, kind: str = "string") -> Column:
+    """A field of data or metadata, for predicates beside filters: field_of("metadata", "user.id")."""
+    return F.get_json_object(column, f"$.{path}").cast(kind)
+
+
 def scan(log: DataFrame, filters: Iterable[EventFilter]) -> DataFrame:
     return log.where(union_predicate(filters))
 
