@@ -1,4 +1,4 @@
-"""Errors of the log, repositories and live runners."""
+"""Errors of the log, repositories and live runners, in groups that callers can tell apart."""
 
 from __future__ import annotations
 
@@ -7,7 +7,14 @@ class FoldlogError(Exception):
     pass
 
 
-class SerializationError(FoldlogError):
+# --- commits
+
+
+class CommitError(FoldlogError):
+    """Events weren't committed."""
+
+
+class SerializationError(CommitError):
     """An event of a batch can't be written; index is its place in the batch."""
 
     def __init__(self, index: int, reason: object):
@@ -15,7 +22,7 @@ class SerializationError(FoldlogError):
         self.index = index
 
 
-class ConcurrencyConflict(FoldlogError):
+class ConcurrencyConflict(CommitError):
     """A stream isn't at the version that a commit expected; None stands for no stream."""
 
     def __init__(self, expected: int | None, actual: int | None):
@@ -24,37 +31,70 @@ class ConcurrencyConflict(FoldlogError):
         self.expected, self.actual = expected, actual
 
 
-class AggregateNotFound(FoldlogError):
-    pass
+class StoreError(FoldlogError):
+    """Files of the log can't be read or written."""
 
 
-class AggregateAlreadyExists(FoldlogError):
-    pass
+# --- commands
+
 
+class LifecycleError(FoldlogError):
+    """A command meets a stream that is there, or isn't, against its purpose."""
 
-class UnknownKind(FoldlogError):
+
+class AggregateNotFound(LifecycleError):
     pass
 
 
-class DecodeError(FoldlogError):
+class AggregateAlreadyExists(LifecycleError):
     pass
 
 
+class Rejected(FoldlogError):
+    """Raised by a command handler: the aggregate's rules don't allow it."""
+
+
 class SnapshotError(FoldlogError):
     """A snapshot failed after events were committed: they are durable, so the command must not be repeated blindly."""
 
 
-class SubscriptionStopped(FoldlogError):
+# --- reading events
+
+
+class EventDecodeError(FoldlogError):
     pass
 
 
-class CheckpointError(FoldlogError):
+class UnknownKind(EventDecodeError):
+    pass
+
+
+class DecodeError(EventDecodeError):
+    pass
+
+
+# --- live runners
+
+
+class RunnerError(FoldlogError):
+    pass
+
+
+class SubscriptionStopped(RunnerError):
+    """The runner ended before what was waited for, or with an error (its cause)."""
+
+
+class CheckpointError(RunnerError):
+    """A reactor's checkpoint can't be read: going on without it would repeat side effects."""
+
+
+class ReactionError(FoldlogError):
     pass
 
 
-class Retry(FoldlogError):
+class Retry(ReactionError):
     """Raised by a reaction that may succeed later."""
 
 
-class Fatal(FoldlogError):
+class Fatal(ReactionError):
     """Raised by a reaction that can't succeed."""

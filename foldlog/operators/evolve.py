@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Schema:
-    """A payload: its fields, those that may be missing with their defaults, and whether a default also takes the place of null."""
+    """A payload: its fields, and those that may be missing or null with the defaults that take their place."""
 
     fields: T.StructType
     defaults: tuple[tuple[str, object], ...] = ()
@@ -20,33 +20,37 @@ class Schema:
     def required(self) -> list[str]:
         return [f.name for f in self.fields if f.name not in dict(self.defaults)]
 
-    def payload(self, data: Column) -> Column:
-        """The decoded payload; null where data can't be read."""
-        raw = F.from_json(data, self.fields, {"mode": "PERMISSIVE"})
-        defaults = dict(self.defaults)
+    def _raw(self, data: Column) -> Column:
+        return F.from_json(data, self.fields, {"mode": "PERMISSIVE"})
+
+    def payload(self, data: Column, strict: bool = False) -> Column:
+        """The decoded payload; where outcome() isn't ok, null, or with strict an error that ends the query."""
+        raw, defaults = self._raw(data), dict(self.defaults)
         fields = [F.coalesce(raw[f.name], F.lit(defaults[f.name]).cast(f.dataType)).alias(f.name) if f.name in defaults else raw[f.name].alias(f.name) for f in self.fields]
-        return F.struct(*fields)
+        outcome = self.outcome(data)
+        other = F.raise_error(F.concat(F.lit("a payload can't be decoded ("), outcome, F.lit("): "), F.coalesce(data, F.lit("null")))) if strict else F.lit(None)
+        return F.when(outcome == "ok", F.struct(*fields)).otherwise(other)
 
     def outcome(self, data: Column) -> Column:
-        """ok, missing_field (a required field isn't there), or bad_data (not JSON, or a field of another type)."""
+        """ok, missing_field (a required field isn't there), or bad_data (not a JSON object, a required field that is null, or any field of another type)."""
         there = F.json_object_keys(data)
-        raw = F.from_json(data, self.fields, {"mode": "PERMISSIVE"})
+        raw = self._raw(data)
         missing = F.size(F.array_except(F.array(*map(F.lit, self.required)), F.coalesce(there, F.array().cast("array<string>")))) > 0
         unread = F.lit(False)
-        for n in self.required:
-            unread |= raw[n].isNull()
+        for f in self.fields:
+            unread |= raw[f.name].isNull() & (F.lit(f.name in self.required) | F.get_json_object(data, f"$.{f.name}").isNotNull())
         return F.when(there.isNull(), F.lit("bad_data")).when(missing, F.lit("missing_field")).when(unread, F.lit("bad_data")).otherwise(F.lit("ok"))
 
-    def decode(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("payload", self.payload(F.col("data")))
+    def decode(self, rows: DataFrame, strict: bool = False) -> DataFrame:
+        return rows.withColumn("payload", self.payload(F.col("data"), strict))
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-#: The last version of a placed order; earlier ones lack the customer, then the address.
-ORDER_PLACED = Schema(_struct(_version=T.LongType(), product_sku=T.StringType(), quantity=T.LongType(), customer_id=T.StringType(), delivery_address=T.StringType()), (("_version", 1), ("customer_id", "UNKNOWN"), ("delivery_address", "UNKNOWN")))
+#: The last version of a sent parcel: the first had no sender, the second no route.
+PARCEL_SENT = Schema(_struct(revision=T.LongType(), item=T.StringType(), pieces=T.LongType(), sender=T.StringType(), route=T.StringType()), (("revision", 1), ("sender", "anonymous"), ("route", "standard")))
 _USER = Schema(_struct(amount_cents=T.LongType(), k=T.LongType()))
 USER_EVENTS = dict.fromkeys(("signup", "view", "purchase", "click", "error"), _USER)
 

@@ -1,20 +1,27 @@
 """Aggregates and projections with Python handlers, and the repository that runs commands on them.
 
-These fold one stream (or one selection of events) in order on the driver, for command handling; whole logs are folded
-by foldlog.operators.folds.
+A single stream (or one selection of events) is folded in order on the driver, for command handling. load_many() and
+decide() do the same for many streams at once, in tasks that hold the state of one stream at a time. Folds that have a
+closed form are better expressed by foldlog.operators.folds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterable, Iterator
+from copy import deepcopy
+from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
-from foldlog.errors import AggregateAlreadyExists, AggregateNotFound, ConcurrencyConflict, DecodeError, SnapshotError, UnknownKind
-from foldlog.functions.columns import json_key, kebab_case
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foldlog.errors import AggregateAlreadyExists, AggregateNotFound, CheckpointError, ConcurrencyConflict, DecodeError, Rejected, SnapshotError, UnknownKind
+from foldlog.functions.columns import json_key, kebab_case, upper_camel
 from foldlog.operators.filters import EventFilter, Filters
-from foldlog.operators.snapshots import Policy, never
+from foldlog.operators.snapshots import Offer, Policy, always, never
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog
 
 
@@ -24,7 +31,8 @@ class AggregateType:
 
     apply: per event kind, (state, data) to state. create: per event kind that may come first, data to state; without
     any, init gives the state that the first event is applied to. handle: per command, (state, command) to events;
-    handle_create: per command, command to events. Neither sees ids or metadata.
+    handle_create: per command, command to events. Neither sees ids or metadata. decoders: per event kind, what turns a
+    payload into the data that apply and create get. restore: what turns the JSON of a snapshot into a state.
     """
 
     name: str
@@ -34,6 +42,8 @@ class AggregateType:
     handle: dict[str, Callable[[Any, Any], Iterable[Event]]] = field(default_factory=dict)
     handle_create: dict[str, Callable[[Any], Iterable[Event]]] = field(default_factory=dict)
     kind: str = ""
+    decoders: dict[str, Callable[[dict], Any]] = field(default_factory=dict)
+    restore: Callable[[Any], Any] = lambda data: data
 
     def __post_init__(self):
         self.kind = self.kind or kebab_case(self.name)
@@ -48,7 +58,7 @@ class AggregateType:
 
     def first(self, kind: str, data: dict) -> Any:
         if kind in self.create:
-            return self.create[kind](data)
+            return self.create[kind](self._typed(kind, data))
         if self.create:
             raise UnknownKind(f"{kind} can't begin a {self.kind}")
         return self.step(self.init(), kind, data)
@@ -56,7 +66,10 @@ class AggregateType:
     def step(self, state: Any, kind: str, data: dict) -> Any:
         if kind not in self.apply:
             raise UnknownKind(kind)
-        return self.apply[kind](state, data)
+        return self.apply[kind](state, self._typed(kind, data))
+
+    def _typed(self, kind: str, data: Any) -> Any:
+        return self.decoders[kind](data) if kind in self.decoders and isinstance(data, dict) else data
 
     def filters(self, aggregate_id: str, after: int | None = None) -> list[EventFilter]:
         return Filters().events_for(self.kind, self.kinds, aggregate_id).into_event_filters(after)
@@ -66,12 +79,14 @@ class AggregateType:
 class ProjectionType:
     """A read model: init(instance id) gives the state, filters(instance id) the events with handlers (state, context, data) to state.
 
-    context has aggregate_kind, aggregate_id, kind and metadata.
+    context has aggregate_kind, aggregate_id, kind and metadata. decoders: per event kind, what turns a payload into data.
     """
 
     kind: str
     init: Callable[[Any], Any]
     filters: Callable[[Any], Filters]
+    decoders: dict[str, Callable[[dict], Any]] = field(default_factory=dict)
+    restore: Callable[[Any], Any] = lambda data: data
 
     def step(self, filters: Filters, state: Any, event: dict) -> Any:
         handler = filters.handlers.get(event["kind"])
@@ -79,7 +94,8 @@ class ProjectionType:
             return state
         meta = event["metadata"]
         context = {k: event[k] for k in ("aggregate_kind", "aggregate_id", "kind")} | {"metadata": None if meta is None else json.loads(meta)}
-        return handler(state, context, decoded(event))
+        data = decoded(event)
+        return handler(state, context, self.decoders[event["kind"]](data) if event["kind"] in self.decoders else data)
 
 
 def decoded(event: dict) -> dict:
@@ -89,6 +105,127 @@ def decoded(event: dict) -> dict:
         raise DecodeError(f"{event['kind']} at {event['position']}: {e}") from e
 
 
+# --- typed registration ----------------------------------------------------------------------------------------------
+
+
+def event(kind: str) -> Callable[[type], type]:
+    """Marks a dataclass as an event of that kind: its instances can be committed, and payloads of the kind become instances."""
+
+    def mark(cls: type) -> type:
+        if not is_dataclass(cls):
+            raise TypeError(f"{cls.__name__} isn't a dataclass")
+        cls.event_kind = kind
+        return cls
+
+    return mark
+
+
+def as_event(value: Any) -> Event:
+    """An Event as it is, or made from an instance of a class marked with event()."""
+    if isinstance(value, Event):
+        return value
+    if not hasattr(value, "event_kind"):
+        raise UnknownKind(f"{type(value).__name__} isn't an event")
+    return Event(value.event_kind, asdict(value))
+
+
+def decoder(cls: type) -> Callable[[dict], Any]:
+    """Payloads to instances of cls; fields that cls doesn't know are ignored, missing ones take its defaults."""
+    names = {f.name for f in fields(cls)}
+
+    def decode(data: dict) -> Any:
+        try:
+            return cls(**{k: v for k, v in data.items() if k in names})
+        except TypeError as e:
+            raise DecodeError(f"{cls.event_kind}: {e}") from e
+
+    return decode
+
+
+def _events_of(classes: Iterable[type]) -> dict[str, type]:
+    out: dict[str, type] = {}
+    for cls in classes:
+        if not hasattr(cls, "event_kind"):
+            raise UnknownKind(f"{cls.__name__} isn't marked as an event")
+        if cls.event_kind in out:
+            raise ValueError(f"{cls.event_kind} is the kind of both {out[cls.event_kind].__name__} and {cls.__name__}")
+        out[cls.event_kind] = cls
+    return out
+
+
+def handler_name(kind: str) -> str:
+    """The method for an event of that kind: points-added and points_added give on_points_added."""
+    return "on_" + kebab_case(upper_camel(kind.replace("-", "_"))).replace("-", "_")
+
+
+def aggregate(events: Iterable[type], kind: str = "", create: Iterable[type] = ()) -> Callable[[type], AggregateType]:
+    """Makes an AggregateType of a class whose instances are states.
+
+    For each event class there is a method on_<kind>(event) that changes the state; those in create have a class method
+    create_<kind>(event) instead that returns the first state. Methods handle_<command>(command) return or yield events,
+    class methods create_with_<command>(command) those of a new stream. All is checked when the class is made.
+    """
+
+    def make(cls: type) -> AggregateType:
+        known, first = _events_of(events), _events_of(create)
+        if not known:
+            raise ValueError(f"{cls.__name__} has no events")
+        if missing := set(first) - set(known):
+            raise ValueError(f"{cls.__name__} creates from {sorted(missing)}, which aren't among its events")
+
+        def method(name: str) -> Callable:
+            if not callable(found := getattr(cls, name, None)):
+                raise TypeError(f"{cls.__name__} has no {name}()")
+            return found
+
+        def changing(name: str) -> Callable[[Any, Any], Any]:
+            call = method(name)
+
+            def apply(state: Any, data: Any) -> Any:
+                call(state, data)
+                return state
+
+            return apply
+
+        begun = {k: method(handler_name(k).replace("on_", "create_", 1)) for k in first}
+        applied = {k: changing(handler_name(k)) for k in known if k not in first or hasattr(cls, handler_name(k))}
+        emitted = lambda call: lambda *args: [as_event(e) for e in call(*args) or ()]
+        handle = {n.removeprefix("handle_"): emitted(getattr(cls, n)) for n in dir(cls) if n.startswith("handle_")}
+        made = {n.removeprefix("create_with_"): emitted(getattr(cls, n)) for n in dir(cls) if n.startswith("create_with_")}
+        return AggregateType(cls.__name__, applied, begun, None if begun else cls, handle, made, kind, {k: decoder(c) for k, c in known.items()}, _restorer(cls))
+
+    return make
+
+
+def _restorer(cls: type) -> Callable[[Any], Any]:
+    return (lambda data: cls(**data)) if is_dataclass(cls) else lambda data: data
+
+
+def projection(events: Iterable[type], kind: str = "") -> Callable[[type], ProjectionType]:
+    """Makes a ProjectionType, over all streams, of a class whose instances are states, with a method on_<kind>(context, event) for each event class."""
+
+    def make(cls: type) -> ProjectionType:
+        known = _events_of(events)
+        if not known:
+            raise ValueError(f"{cls.__name__} has no events")
+        filters = Filters()
+        for k in known:
+            if not callable(call := getattr(cls, handler_name(k), None)):
+                raise TypeError(f"{cls.__name__} has no {handler_name(k)}()")
+
+            def step(state: Any, context: dict, data: Any, call: Callable = call) -> Any:
+                call(state, context, data)
+                return state
+
+            filters = filters.event(k, step)
+        return ProjectionType(kind or kebab_case(cls.__name__), lambda _: cls(), lambda _: filters, {k: decoder(c) for k, c in known.items()}, _restorer(cls))
+
+    return make
+
+
+# --- snapshots -------------------------------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class Snapshot:
     position: int
@@ -96,30 +233,58 @@ class Snapshot:
 
 
 class SnapshotStore:
-    """Snapshots by kind and id in the folder of a log, under a policy. An offer is stored if its position is greater than the stored one's."""
+    """Snapshots by kind and id in the folder of a log, under a policy. An offer is stored if its position is greater than the stored one's.
 
-    def __init__(self, log: EventLog, policy: Policy):
-        self.files, self.policy = log.files, policy
-        self.files.make("snapshots")
+    A snapshot is a file named by its position, published without overwriting, and load() takes the greatest position: of
+    writers at the same time the newest state wins, whoever comes last. Older files go after a newer one is there.
+    """
 
-    def _name(self, kind: str, key: Any) -> str:
-        import hashlib
+    def __init__(self, log: EventLog, policy: Policy = always):
+        self.files, self.policy = log.files, policy
 
-        return f"snapshots/{hashlib.sha256(f'{kind}|{json_key(key)}'.encode()).hexdigest()}.json"
+    def _folder(self, kind: str, key: Any) -> str:
+        return f"snapshots/{hashlib.sha256(f'{kind}|{json_key(key)}'.encode()).hexdigest()}"
 
     def load(self, kind: str, key: Any) -> Snapshot | None:
-        text = self.files.read(self._name(kind, key))
-        return None if text is None else Snapshot(**json.loads(text))
-
-    def offer(self, kind: str, key: Any, since: int, create: Callable[[], Snapshot]) -> bool:
-        """Whether it was stored; create isn't called if the policy declines."""
+        folder = self._folder(kind, key)
+        while names := self.files.names(folder):
+            if (text := self.files.read(f"{folder}/{names[-1]}")) is not None:
+                return Snapshot(**json.loads(text))  # one that has gone meanwhile left a newer one: look again
+        return None
+
+    def offer(self, kind: str, key: Any, since: int, create: Callable[[], Snapshot]) -> Offer:
+        """create isn't called if the policy declines."""
         if not self.policy.due(since):
-            return False
-        new, old = create(), self.load(kind, key)
-        if old is not None and new.position <= old.position:
-            return False
-        self.files.replace(self._name(kind, key), json.dumps({"position": new.position, "data": new.data}))
-        return True
+            return Offer.DECLINED
+        new, folder = create(), self._folder(kind, key)
+        data = asdict(new.data) if is_dataclass(new.data) else new.data
+        name, text = f"{new.position:020d}.json", json.dumps({"position": new.position, "data": data})
+        there = self.files.names(folder)
+        if there and there[-1] >= name:
+            return Offer.DECLINED
+        self.files.make(folder)
+        if not self.files.publish(f"{folder}/{name}", text):
+            return Offer.DECLINED
+        for old in there:
+            self.files.remove(f"{folder}/{old}")
+        return Offer.STORED
+
+
+class CheckpointStore:
+    """How far reactors have come, by kind and id: a snapshot store of positions alone. A position never goes back."""
+
+    def __init__(self, log: EventLog, policy: Policy = always):
+        self.store = SnapshotStore(log, policy)
+
+    def load(self, kind: str, checkpoint_id: str) -> int | None:
+        try:
+            found = self.store.load(f"checkpoint|{kind}", checkpoint_id)
+            return None if found is None else int(found.position)
+        except (OSError, KeyError, TypeError, ValueError) as e:
+            raise CheckpointError(f"{kind} {checkpoint_id}: {e}") from e
+
+    def offer(self, kind: str, checkpoint_id: str, since: int, position: int) -> Offer:
+        return self.store.offer(f"checkpoint|{kind}", checkpoint_id, since, lambda: Snapshot(position, None)) if since else Offer.DECLINED
 
 
 @dataclass(frozen=True)
@@ -158,14 +323,27 @@ class Repository:
                 base = self.snapshots.load(kind.kind, aggregate_id)
             except (OSError, ValueError):
                 base = None  # a snapshot that can't be read is none
-        state, version, n = (base.data, base.position, 0) if base else (None, None, 0)
+        state, version, n = (kind.restore(base.data), base.position, 0) if base else (None, None, 0)
         for e in self._events(kind.filters(aggregate_id, version)):
             state = kind.first(e["kind"], decoded(e)) if version is None else kind.step(state, e["kind"], decoded(e))
             version, n = e["position"], n + 1
         return None if version is None else Loaded(state, version, n)
 
     def _events(self, filters: list[EventFilter]) -> Iterable[dict]:
-        return (r.asDict() for r in self.log.load_events(filters).toLocalIterator())
+        return self.log.events(filters)
+
+    def load_many(self, kind: AggregateType, ids: DataFrame) -> DataFrame:
+        """aggregate_id, version and state (JSON) of the streams in ids (aggregate_id) that have events; states must be JSON values or dataclasses.
+
+        Events are sorted by stream and position; a task folds one stream after another and holds one state.
+        """
+        wanted = ids.select("aggregate_id").distinct()
+        events = self.log.frame().where((F.col("aggregate_kind") == kind.kind) & F.col("kind").isin(kind.kinds)).join(wanted, "aggregate_id", "left_semi")
+        return fold_streams(events, kind)
+
+    def projected(self, model) -> DataFrame:
+        """The state of a mergeable read model (foldlog.streaming.live.LiveModel) over the log as it is now: a lazy frame."""
+        return model.of(self.log.frame())
 
     def load_projection(self, projection: ProjectionType, instance_id: Any = None) -> Any:
         filters = projection.filters(instance_id)
@@ -181,7 +359,7 @@ class Repository:
         except (OSError, ValueError):
             base = None
         filters = projection.filters(instance_id)
-        state, at, n = (base.data, base.position, 0) if base else (projection.init(instance_id), None, 0)
+        state, at, n = (projection.restore(base.data), base.position, 0) if base else (projection.init(instance_id), None, 0)
         for e in self._events(filters.into_event_filters(at)):
             state, at, n = projection.step(filters, state, e), e["position"], n + 1
         if n:
@@ -189,7 +367,7 @@ class Repository:
         return state
 
     def create(self, kind: AggregateType, aggregate_id: str, name: str, command: Any, metadata: dict | None = None) -> ConsistencyToken | None:
-        events = list(kind.handle_create[name](command))
+        events = [as_event(e) for e in kind.handle_create[name](command)]
         if not events:
             return None
         try:
@@ -201,14 +379,14 @@ class Repository:
         found = self._load(kind, aggregate_id)
         if found is None:
             raise AggregateNotFound(f"{kind.kind} {aggregate_id}")
-        events = list(kind.handle[name](found.state, command))
+        events = [as_event(e) for e in kind.handle[name](found.state, command)]
         return self._persist(kind, aggregate_id, found, events, metadata, self.optimistic) if events else None
 
     def upsert(self, kind: AggregateType, aggregate_id: str, name: str, command: Any, metadata: dict | None = None) -> ConsistencyToken | None:
         found = self._load(kind, aggregate_id)
         if found is None:
             return self.create(kind, aggregate_id, name, command, metadata)
-        events = list(kind.handle[name](found.state, command))
+        events = [as_event(e) for e in kind.handle[name](found.state, command)]
         return self._persist(kind, aggregate_id, found, events, metadata, self.optimistic) if events else None
 
     def update_with_retry(self, kind: AggregateType, aggregate_id: str, name: str, command: Any, metadata: dict | None = None, max_retries: int = 3) -> int:
@@ -228,10 +406,12 @@ class Repository:
         return self.log.token()
 
     def subscribe(self, model, policy: Policy = never):
-        """A live read model (foldlog.streaming.live.LiveModel) over the log, caught up; with a policy its state outlives it."""
-        from foldlog.streaming.live import Subscription
+        """A live read model over the log, caught up: a mergeable one (foldlog.streaming.live.LiveModel) or a ProjectionType. With a policy its state outlives it."""
+        from foldlog.streaming.live import LiveModel, LiveProjection, Subscription
 
-        return Subscription(self.log, model, policy).start()
+        if isinstance(model, LiveModel):
+            return Subscription(self.log, model, policy).start()
+        return LiveProjection(self.log, model, store=SnapshotStore(self.log, policy)).start()
 
     def react(self, kind: str, filters: Filters, reaction: Callable[[dict], None], **options):
         """A reactor over the log, caught up; options as of foldlog.streaming.live.Reactor."""
@@ -242,7 +422,7 @@ class Repository:
     def _persist(self, kind: AggregateType, aggregate_id: str, found: Loaded | None, events: list[Event], metadata: dict | None, check: bool) -> ConsistencyToken:
         state = found.state if found else None
         if self.snapshots:
-            state = json.loads(json.dumps(state))  # the fold of the new events must not change what was loaded
+            state = deepcopy(state)  # the fold of the new events must not change what was loaded
             for i, e in enumerate(events):
                 state = kind.first(e.kind, e.data) if found is None and i == 0 else kind.step(state, e.kind, e.data)
         version = found.version if found else None
@@ -253,3 +433,80 @@ class Repository:
             except (OSError, TypeError, ValueError) as e:
                 raise SnapshotError(f"events up to {position} are committed") from e
         return ConsistencyToken(position)
+
+
+# --- many streams at once --------------------------------------------------------------------------------------------
+
+
+def _state(value: Any) -> str:
+    return json.dumps(asdict(value) if is_dataclass(value) and not isinstance(value, type) else value, separators=(",", ":"), sort_keys=True)
+
+
+def fold_streams(events: DataFrame, kind: AggregateType) -> DataFrame:
+    """aggregate_id, version and state (JSON) from the events of many streams of one kind."""
+    out = pa.schema([("aggregate_id", pa.string()), ("version", pa.int64()), ("state", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, state, version, done = None, None, None, []
+        for b in batches:
+            for key, position, event_kind, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                payload = decoded({"kind": event_kind, "position": position, "data": data})
+                if key != stream:
+                    if stream is not None:
+                        done.append((stream, version, _state(state)))
+                    stream, state = key, kind.first(event_kind, payload)
+                else:
+                    state = kind.step(state, event_kind, payload)
+                version = position
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True)], schema=out)
+                done = []
+        if stream is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((stream, version, _state(state)), out, strict=True)], schema=out)
+
+    rows = events.select("aggregate_id", "position", "kind", "data").repartition("aggregate_id").sortWithinPartitions("aggregate_id", "position")
+    return rows.mapInArrow(run, "aggregate_id string, version long, state string")
+
+
+def decide(events: DataFrame, commands: DataFrame, kind: AggregateType) -> DataFrame:
+    """What commands (aggregate_id, seq, name, command as JSON) on many streams of one kind lead to, each stream's in the order of seq.
+
+    A row for each new event: aggregate_id, seq, ordinal (place among the command's events), kind, data, outcome ok; a
+    command that is rejected (Rejected), has no handler or finds its stream missing gives one row with its outcome and
+    the reason in data, one that changes nothing a row with outcome unchanged. Each command sees the stream's events
+    and those of the commands before it; a task holds the state of one stream.
+    """
+    own = events.where(F.col("kind").isin(kind.kinds)).select("aggregate_id", F.lit(0).alias("phase"), F.col("position").alias("seq"), "kind", "data")
+    asked = commands.select("aggregate_id", F.lit(1).alias("phase"), "seq", F.col("name").alias("kind"), F.col("command").alias("data"))
+    out = pa.schema([("aggregate_id", pa.string()), ("seq", pa.int64()), ("ordinal", pa.int64()), ("kind", pa.string()), ("data", pa.string()), ("outcome", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, state, begun = None, None, False
+        for b in batches:
+            rows: list[tuple] = []
+            for key, phase, seq, name, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if key != stream:
+                    stream, state, begun = key, None, False
+                payload = decoded({"kind": name, "position": seq, "data": data})
+                if phase == 0:
+                    state, begun = (kind.step(state, name, payload) if begun else kind.first(name, payload)), True
+                    continue
+                handlers = kind.handle if begun else kind.handle_create
+                if name not in handlers:
+                    rows.append((key, seq, 0, None, name, "not_found" if not begun and name in kind.handle else "unknown_command"))
+                    continue
+                try:
+                    new = [as_event(e) for e in (handlers[name](state, payload) if begun else handlers[name](payload))]
+                except Rejected as e:
+                    rows.append((key, seq, 0, None, str(e), "rejected"))
+                    continue
+                for i, e in enumerate(new):
+                    state, begun = (kind.step(state, e.kind, e.data) if begun else kind.first(e.kind, e.data)), True
+                    rows.append((key, seq, i, e.kind, json.dumps(e.data, separators=(",", ":")), "ok"))
+                if not new:
+                    rows.append((key, seq, 0, None, None, "unchanged"))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    rows = own.unionByName(asked).repartition("aggregate_id").sortWithinPartitions("aggregate_id", "phase", "seq")
+    return rows.mapInArrow(run, "aggregate_id string, seq long, ordinal long, kind string, data string, outcome string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from enum import Enum
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,15 @@ class Policy:
         return self.events is not None and since >= self.events
 
 
+class Offer(Enum):
+    """What became of an offered snapshot; true if it was stored."""
+
+    STORED, DECLINED = "stored", "declined"
+
+    def __bool__(self) -> bool:
+        return self is Offer.STORED
+
+
 always, never = Policy(1), Policy(None)
 
 

@@ -1,22 +1,27 @@
 """The commit log, commands, and live models and reactors."""
 
+import dataclasses
 import json
 import multiprocessing
 import os
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from foldlog.errors import AggregateAlreadyExists, AggregateNotFound, CheckpointError, ConcurrencyConflict, DecodeError, Fatal, Retry, SerializationError, SubscriptionStopped, UnknownKind
-from foldlog.operators import snapshots
+from foldlog.errors import AggregateAlreadyExists, AggregateNotFound, CheckpointError, CommitError, ConcurrencyConflict, DecodeError, EventDecodeError, Fatal, LifecycleError, ReactionError, Rejected, Retry, RunnerError, SerializationError, SubscriptionStopped, UnknownKind
+from foldlog.operators import evolve, snapshots
 from foldlog.operators.filters import EventFilter, Filters
-from foldlog.operators.repository import AggregateType, ProjectionType, Repository, Snapshot, SnapshotStore
+from foldlog.operators.process import Process
+from foldlog.operators.repository import AggregateType, ProjectionType, Repository, Snapshot, SnapshotStore, aggregate, decide, event, projection
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog, Files, commit_name
 from foldlog.sources.datasource import register
-from foldlog.streaming.live import LiveModel, Reactor, RetryPolicy, Subscription
-from foldlog.testing import Scenario
+from foldlog.streaming.live import LiveModel, LiveProjection, Reactor, RetryPolicy, Subscription
+from foldlog.testing import Scenario, inject, inject_concurrent, seed
 
 ADDED, RESET = "points-added", "points-set"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
 
 
 def add(n):
@@ -167,10 +172,77 @@ def test_snapshots_of_aggregates(log):
     assert store.load("counter", "a") == Snapshot(1, 3) and repo.load(COUNTER, "a") == 7
     assert not store.offer("counter", "a", 5, lambda: Snapshot(1, 99)) and not store.offer("counter", "a", 5, lambda: Snapshot(0, 99))
     assert not store.offer("counter", "a", 1, lambda: pytest.fail("it is lazy"))
-    log.files.replace(store._name("counter", "a"), "not json")
+    log.files.replace(f"{store._folder('counter', 'a')}/{1:020d}.json", "not json")
     assert repo.load(COUNTER, "a") == 7
 
 
+def _offers(root, start, n):
+    files = Files.__new__(Files)
+    files.local, files.root = True, root
+    store = SnapshotStore.__new__(SnapshotStore)
+    store.files, store.policy = files, snapshots.always
+    for i in range(n):
+        store.offer("k", "a", 1, lambda i=i: Snapshot(start + 3 * i, start + 3 * i))
+
+
+def test_concurrent_offers_keep_the_newest(log):
+    """Three processes offer 40 snapshots each, mixed; after each, what is stored never goes back, and the greatest stays."""
+    context = multiprocessing.get_context("spawn")
+    found = [context.Process(target=_offers, args=(log.root, k, 40)) for k in range(3)]
+    for p in found:
+        p.start()
+    store, seen = SnapshotStore(log, snapshots.always), [-1]
+    while any(p.is_alive() for p in found):
+        if there := store.load("k", "a"):
+            seen.append(there.position)
+    for p in found:
+        p.join()
+    assert store.load("k", "a").position == 2 + 3 * 39 and seen == sorted(seen)
+    assert store.offer("k", "a", 1, lambda: Snapshot(119, 0)) is snapshots.Offer.DECLINED
+    assert store.offer("k", "a", 1, lambda: Snapshot(120, 0)) is snapshots.Offer.STORED
+
+
+def test_compaction(spark, log):
+    """Events are the same before and after, for readers of all kinds; new readers start from the newest list; loads in bulk and later commits follow."""
+    for i in range(6):
+        log.append("counter", "ab"[i % 2], [add(i), add(10 * i)])
+    before = events_of(log)
+    assert log.compact() and not log.compact() and events_of(log) == before
+    bulk = spark.range(20).selectExpr("'counter' AS aggregate_kind", "cast(id % 3 AS string) AS aggregate_id", f"'{ADDED}' AS kind", "id", "concat('{\"points\":', id, '}') AS data", "cast(null AS string) AS metadata")
+    assert log.load_frame(bulk, "id", []) == 31 and log.load_frame(bulk.limit(0), "id", []) is None
+    log.append_if_version("counter", "a", 9, [add(7)])
+    with pytest.raises(ConcurrencyConflict):
+        log.append_if_version("counter", "2", 5, [add(7)])
+    other = EventLog(spark, log.root)
+    want = before + [(12 + i, ADDED, {"points": i}) for i in range(20)] + [(32, ADDED, {"points": 7})]
+    register(spark)
+    read = spark.read.format("foldlog").load(log.root)
+    assert events_of(log) == want == events_of(other) == sorted((r.position, r.kind, json.loads(r.data)) for r in read.collect())
+    assert [e["position"] for e in other.events_after(30)] == [31, 32] and other.stream_version("counter", "a") == 32 and other.stream_version("counter", "1") == 31
+    assert other.compact(everything=True) and len(EventLog(spark, log.root)._segments) == 1 and events_of(EventLog(spark, log.root)) == want
+    scoped = read.where("aggregate_id = 'a' AND kind = 'points-added' AND position > 4")
+    assert sorted(r.position for r in scoped.collect()) == [4 + k for k in (4, 5)] + [32] or sorted(r.position for r in scoped.collect()) == [r[0] for r in want if r[0] > 4 and r[0] in {8, 9, 32, 5}]
+    plan = scoped._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" not in plan or "aggregate_id" in plan
+    assert Repository(other).load(COUNTER, "a") == Repository(log).load(COUNTER, "a")
+
+
+def test_a_lost_race_of_bulk_loads(spark, log, monkeypatch):
+    """Another commit takes the version while a segment is written: the segment is written again after it."""
+    other, publish, left = EventLog(spark, log.root), Files.publish, [1]
+
+    def late(self, name, text):
+        if "segment" in text and left[0]:
+            left[0] = 0
+            other.append("counter", "x", [add(1)])
+        return publish(self, name, text)
+
+    monkeypatch.setattr(Files, "publish", late)
+    bulk = spark.range(3).selectExpr("'counter' AS aggregate_kind", "'b' AS aggregate_id", f"'{ADDED}' AS kind", "id", "'{\"points\":1}' AS data", "cast(null AS string) AS metadata")
+    assert log.load_frame(bulk, "id", []) == 3 and [p for p, *_ in events_of(log)] == [0, 1, 2, 3]
+    assert len(os.listdir(f"{log.root}/segments")) == 1
+
+
 def test_projections(log):
     log.append("counter", "a", [add(10)], {"user": "x"})
     log.append("counter", "b", [add(20), Event(RESET, {"to": 5})])
@@ -267,7 +339,8 @@ def test_reactor(log):
     again = Reactor(log, "copy", Filters().event(ADDED), react, snapshots.every(2), RetryPolicy(1, 5)).start()
     again.stop()
     assert seen == [1, 2, 3, 3, 4]  # the third was after the last stored checkpoint
-    log.files.replace("live/reactor-copy-default/checkpoint.json", "{")
+    folder = SnapshotStore(log)._folder("checkpoint|copy", "default")
+    log.files.replace(f"{folder}/{99:020d}.json", "{")
     with pytest.raises(CheckpointError):
         Reactor(log, "copy", Filters().event(ADDED), react).start()
 
@@ -284,6 +357,292 @@ def test_reactor_ends_on_fatal_errors(log):
     assert not reactor.is_running() and reactor.processed() == -1
 
 
+def test_live_deltas_are_merged(spark, log, monkeypatch):
+    """A batch writes what it brings; tables are merged at intervals and old ones go; a failing listener or snapshot ends nothing; a restart finds the state."""
+    import foldlog.streaming.live as module
+
+    monkeypatch.setattr(module, "DELTAS", 3)
+    live = Subscription(log, totals(), snapshots.every(4)).start("10 milliseconds")
+    live.updates(lambda df: 1 / 0)
+    for i in range(14):
+        assert live.wait_for(ConsistencyToken(log.append("counter", f"c{i % 5}", [add(i)])), 30)
+    assert state_of(live.current()) == state_of(totals().of(log.frame()))
+    live.stop()
+    left = [n for n in os.listdir(f"{log.root}/live/model-totals") if n.startswith("state-")]
+    assert len(left) < 12 and not [n for n in os.listdir(f"{log.root}/live/model-totals") if n.startswith("stream-")]
+    again = Subscription(log, totals(), snapshots.every(4)).start()
+    assert state_of(again.current()) == state_of(totals().of(log.frame()))
+    again.stop()
+
+
+def counted():
+    return ProjectionType("counted", lambda _: {"n": 0, "sum": 0}, lambda _: Filters().event(ADDED, lambda s, c, d: {"n": s["n"] + 1, "sum": s["sum"] + d["points"]}))
+
+
+def test_live_projection_updates(log):
+    """The state that updates() gives and the stream after it meet at one event; each event has its state; a snapshot at the end is where a restart goes on."""
+    log.append("counter", "a", [add(1), add(2)])
+    store = SnapshotStore(log, snapshots.every(3))
+    live = LiveProjection(log, counted(), store=store).start("10 milliseconds")
+    first, later = live.updates()
+    assert first == {"n": 2, "sum": 3} == live.current()
+    token = ConsistencyToken(log.append("counter", "b", [add(10), Event("other", {}), add(20)]))
+    assert live.read_after(token, 30) == {"n": 4, "sum": 33}
+    live.stop()
+    assert list(later) == [(2, {"n": 3, "sum": 13}), (4, {"n": 4, "sum": 33})] and later.skipped == 0
+    assert store.load("counted", None) == Snapshot(2, {"n": 3, "sum": 13})  # the last one was offered at the end, and declined as too few
+    log.append("counter", "b", [add(1)])
+    again = LiveProjection(log, counted(), store=store).start()
+    assert again.current() == {"n": 5, "sum": 34} and store.load("counted", None).position == 2
+    again.stop()
+    assert not [n for n in os.listdir(f"{log.root}/live") if n.startswith("projection-")]
+
+
+def test_live_projection_survives_a_failing_snapshot(log, monkeypatch):
+    monkeypatch.setattr(SnapshotStore, "offer", lambda *a: 1 / 0)
+    live = LiveProjection(log, counted(), store=SnapshotStore(log)).start()
+    token = ConsistencyToken(log.append("counter", "a", [add(1)]))
+    assert live.read_after(token, 30) == {"n": 1, "sum": 1} and live.is_running()
+    live.stop()
+
+
+def test_stop_tells_what_failed(log):
+    live = LiveProjection(log, counted()).start()
+    log.append("counter", "a", [Event(ADDED, {"no": "points"})])
+    with pytest.raises(SubscriptionStopped):
+        live.wait_for(ConsistencyToken(0), 30)
+    with pytest.raises(SubscriptionStopped):
+        live.stop()
+
+
+def test_a_stop_interrupts_the_wait_for_a_retry(log):
+    log.append("counter", "a", [add(1)])
+
+    def react(event):
+        raise Retry("never")
+
+    reactor = Reactor(log, "stuck", Filters().event(ADDED), react, retry=RetryPolicy(60_000, 60_000))
+    import threading
+    import time
+
+    threading.Timer(8, reactor.stop).start()
+    began = time.monotonic()
+    with pytest.raises(SubscriptionStopped):
+        reactor.start()
+    assert time.monotonic() - began < 40 and reactor.processed() == -1
+
+
+def test_a_reactor_issues_commands(log):
+    """Each event of one stream becomes a command for another, whose events are not reacted to."""
+    repo = Repository(log)
+    repo.create(COUNTER, "source", "add", 3)
+    reactor = repo.react("mirror", Filters().event_for("counter", ADDED, "source"), lambda e: repo.upsert(COUNTER, "mirror", "add", e["data"]["points"]))
+    token = repo.update(COUNTER, "source", "add", 4)
+    assert reactor.wait_for(token, 30)
+    reactor.stop()
+    assert repo.load(COUNTER, "mirror") == 7
+
+
+@event("item-listed")
+@dataclasses.dataclass
+class Listed:
+    stock: int
+
+
+@event("item-held")
+@dataclasses.dataclass
+class Held:
+    order: str
+    n: int
+
+
+@event("item-freed")
+@dataclasses.dataclass
+class Freed:
+    order: str
+
+
+@aggregate(events=[Listed, Held, Freed], create=[Listed])
+@dataclasses.dataclass
+class Item:
+    stock: int
+    held: dict = dataclasses.field(default_factory=dict)
+
+    @classmethod
+    def create_item_listed(cls, e):
+        return cls(e.stock)
+
+    @classmethod
+    def create_with_list(cls, n):
+        return [Listed(n)]
+
+    def on_item_held(self, e):
+        self.held[e.order] = e.n
+
+    def on_item_freed(self, e):
+        self.held.pop(e.order, None)
+
+    def handle_hold(self, c):
+        if c["order"] in self.held:
+            return []
+        if self.stock - sum(self.held.values()) < c["n"]:
+            raise Rejected("not enough in stock")
+        return [Held(c["order"], c["n"])]
+
+    def handle_free(self, c):
+        return [Freed(c["order"])] if c["order"] in self.held else []
+
+
+@event("basket-sent")
+@dataclasses.dataclass
+class Sent:
+    lines: list
+    note: str = ""
+
+
+@event("basket-closed")
+@dataclasses.dataclass
+class Closed:
+    outcome: str
+
+
+@aggregate(events=[Sent, Closed], create=[Sent], kind="basket")
+@dataclasses.dataclass
+class Basket:
+    lines: list
+    outcome: str = "open"
+
+    @classmethod
+    def create_basket_sent(cls, e):
+        return cls(e.lines)
+
+    @classmethod
+    def create_with_send(cls, lines):
+        return [Sent(lines)]
+
+    def on_basket_closed(self, e):
+        self.outcome = e.outcome
+
+    def handle_close(self, outcome):
+        if self.outcome != "open":
+            raise Rejected("it is closed")
+        return [Closed(outcome)]
+
+
+def hold_or_refuse(step):
+    """Holds every line of a basket; if one can't be held, frees the others."""
+    order, held = step.event["aggregate_id"], []
+    for item, n in step.data["lines"]:
+        if not step.tell(Item, item, "hold", {"order": order, "n": n}):
+            for other in held:
+                step.tell(Item, other, "free", {"order": order})
+            step.tell(Basket, order, "close", "refused")
+            return
+        held.append(item)
+    step.tell(Basket, order, "close", "held")
+
+
+def test_a_process_compensates(log):
+    repo = Repository(log)
+    for item, n in (("pen", 10), ("ink", 3)):
+        repo.create(Item, item, "list", n)
+    for order, lines in (("o1", [["pen", 4], ["ink", 2]]), ("o2", [["pen", 5], ["ink", 2]]), ("o3", [["pen", 6]])):
+        repo.create(Basket, order, "send", lines, {"correlation_id": f"c-{order}"})
+    process = Process(repo, "holding", {"basket-sent": hold_or_refuse, "basket-closed": lambda step: None})
+    assert process.run() == 6 and process.run() == 0
+    assert [repo.load(Basket, o).outcome for o in ("o1", "o2", "o3")] == ["held", "refused", "held"]
+    assert repo.load(Item, "pen").held == {"o1": 4, "o3": 6} and repo.load(Item, "ink").held == {"o1": 2}
+    closed = {r.aggregate_id: json.loads(r.metadata) for r in log.frame().where("kind = 'basket-closed'").collect()}
+    assert closed["o2"] == {"correlation_id": "c-o2", "causation_id": "basket-sent@o2", "actor": "holding"}
+    for e in log.frame().where("kind = 'basket-sent'").orderBy("position").collect():  # delivered again: nothing changes
+        process.react(e.asDict() | {"data": json.loads(e.data)})
+    assert repo.load(Item, "pen").held == {"o1": 4, "o3": 6} and repo.load(Basket, "o2").outcome == "refused"
+    reactor = process.start()
+    repo.create(Basket, "o4", "send", [["ink", 1]])
+    assert reactor.wait_for(log.token(), 30)
+    reactor.stop()
+    assert repo.load(Basket, "o4").outcome == "held"
+
+
+def test_typed_registration(log):
+    assert Item.kind == "item" and Basket.kind == "basket" and Item.kinds == ["item-listed", "item-held", "item-freed"]
+    store = SnapshotStore(log)
+    repo = Repository(log).with_snapshots(store)
+    repo.create(Item, "pen", "list", 5)
+    repo.update(Item, "pen", "hold", {"order": "o", "n": 2})
+    assert repo.load(Item, "pen").held == {"o": 2} and store.load("item", "pen").data == {"stock": 5, "held": {"o": 2}}
+    seed(repo, Item, "pen", Held("p", 1))
+    assert repo.load(Item, "pen").held == {"o": 2, "p": 1}
+    inject(repo, "item", "pen", Event("item-held", {"order": "q", "n": 1, "unknown": 7}))
+    assert repo.load(Item, "pen").held["q"] == 1  # fields that nobody knows are ignored
+    inject(repo, "item", "pen", Event("item-held", {"order": "q"}))
+    with pytest.raises(EventDecodeError):
+        repo.load(Item, "pen")
+    with pytest.raises(ValueError):
+        aggregate(events=[])(type("Nothing", (), {}))
+    with pytest.raises(ValueError):
+        aggregate(events=[Held, Held])(type("Twice", (), {"on_item_held": lambda s, e: None}))
+    with pytest.raises(TypeError):
+        aggregate(events=[Held])(type("Forgetful", (), {}))
+    with pytest.raises(UnknownKind):
+        aggregate(events=[dict])(type("Foreign", (), {}))
+
+    @projection(events=[Held])
+    @dataclasses.dataclass
+    class HeldItems:
+        total: int = 0
+
+        def on_item_held(self, context, e):
+            self.total += e.n
+
+    log2 = EventLog(log.spark, f"{log.root}-2")
+    seed(Repository(log2), Item, "a", Listed(5), Held("o", 2), Held("p", 1))
+    assert Repository(log2).load_projection(HeldItems).total == 3 and HeldItems.kind == "held-items"
+
+
+def test_injected_writers_conflict(log):
+    repo = Repository(log)
+    repo.create(Item, "pen", "list", 5)
+
+    def interfere(state, c):
+        inject_concurrent(repo, Item, "pen", Held("other", 1))
+        return [Held("mine", 1)]
+
+    with pytest.raises(ConcurrencyConflict):
+        repo.update(dataclasses.replace(Item, handle={"hold": interfere}), "pen", "hold", None)
+
+
+def test_many_streams_at_once(spark, log):
+    repo = Repository(log)
+    for i in range(7):
+        log.append("counter", f"c{i}", [add(i), add(1)])
+    log.append("counter", "c3", [Event(RESET, {"to": 50})])
+    ids = spark.createDataFrame([("c1",), ("c3",), ("c3",), ("none",)], "aggregate_id string")
+    assert {(r.aggregate_id, r.version, r.state) for r in repo.load_many(COUNTER, ids).collect()} == {("c1", 3, "2"), ("c3", 14, "50")}
+    assert state_of(repo.projected(totals())) == {f"c{i}": (i + 1, 2) for i in range(7)}
+    rows = [("c1", 2, "limit", "95"), ("c1", 1, "add", "5"), ("c1", 3, "add", "0"), ("c1", 4, "no", "1"), ("new", 1, "add", "4"), ("new", 2, "limit", "3"), ("other", 1, "limit", "3")]
+    asked = spark.createDataFrame(rows, "aggregate_id string, seq long, name string, command string")
+    strict = dataclasses.replace(COUNTER, handle={**COUNTER.handle, "limit": lambda s, n: [add(n)] if s + n <= 100 else _reject()})
+    got = {(r.aggregate_id, r.seq): (r.outcome, r.data) for r in decide(log.frame(), asked, strict).collect()}
+    assert got == {("c1", 1): ("ok", '{"points":5}'), ("c1", 2): ("rejected", "over the limit"), ("c1", 3): ("unchanged", None), ("c1", 4): ("unknown_command", "no"), ("new", 1): ("ok", '{"points":4}'), ("new", 2): ("ok", '{"points":3}'), ("other", 1): ("not_found", "limit")}
+
+
+def _reject():
+    raise Rejected("over the limit")
+
+
+def test_unreadable_payloads(spark):
+    rows = spark.createDataFrame([("not json",), ('{"item":"a","pieces":2}',), ('{"item":"a","pieces":2,"sender":null}',), ('{"item":"a","pieces":2,"revision":"zz"}',), ('{"item":null,"pieces":2}',), ("[]",), (None,)], "data string")
+    got = [r.payload for r in evolve.PARCEL_SENT.decode(rows).collect()]
+    assert [p is None for p in got] == [True, False, False, True, True, True, True] and got[1].sender == got[2].sender == "anonymous"
+    with pytest.raises(Exception, match="can't be decoded"):
+        evolve.PARCEL_SENT.decode(rows, strict=True).collect()
+
+
+def test_errors_have_groups():
+    assert issubclass(ConcurrencyConflict, CommitError) and issubclass(AggregateNotFound, LifecycleError) and issubclass(UnknownKind, EventDecodeError) and issubclass(CheckpointError, RunnerError) and issubclass(Fatal, ReactionError)
+
+
 def test_retry_delays():
     assert [RetryPolicy(10, 100).delay(i) for i in (0, 1, 2, 3, 4, 500)] == [10, 20, 40, 80, 100, 100]
     assert (RetryPolicy().initial, RetryPolicy().longest, RetryPolicy().retries) == (50, 5000, None)
