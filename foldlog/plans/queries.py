@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldlog.functions import columns as C
 from foldlog.functions.ranking import dense_positions
 from foldlog.operators import commands, evolve, folds, snapshots
-from foldlog.operators.filters import EventFilter, Filters, scan
+from foldlog.operators.filters import EventFilter, Filters, field_of, scan
 from foldlog.sources import envelope as E
 
 QUERIES: dict[str, tuple] = {}
@@ -84,6 +84,21 @@ def scan_after_mixed(spark, sf_dir):
     return scan(log(spark, sf_dir), f).select(*PLAIN)
 
 
+@query(f"{LOG} SELECT {ENVELOPE} FROM e WHERE kind = 'purchase' AND k > 50 AND at_millis % 2 = 0")
+def scan_payload_metadata(spark, sf_dir):
+    """Conditions on a field of the payload and one of the metadata, beside a filter."""
+    rows = log_envelope(spark, sf_dir).where(Filters().event("purchase").predicate())
+    rows = rows.where((field_of("data", "k", "long") > 50) & (field_of("metadata", "at_millis", "long") % 2 == 0))
+    return rows.select("aggregate_id", "kind", "position", field_of("data", "amount_cents", "long").alias("c"), field_of("data", "k", "long").alias("k"))
+
+
+@query(f"""{LOG}, n AS (SELECT position, at_millis // 86400000 AS day FROM e), x AS (SELECT min(day) + 3 AS day, max(position) // 2 AS position FROM n) SELECT position, day FROM n WHERE day > (SELECT day FROM x) OR (day = (SELECT day FROM x) AND position > (SELECT position FROM x))""")
+def scan_after_pair(spark, sf_dir):
+    """Events after a checkpoint of two parts, a day and a position, the day deciding first."""
+    rows = log(spark, sf_dir).select("position", C.epoch_day(F.col("at_millis")).alias("day"))
+    return rows.where(C.after(["day", "position"], [rows.agg(F.min("day") + 3).scalar(), rows.agg(F.floor(F.max("position") / 2)).scalar()]))
+
+
 @query(f"{LOG} SELECT {ENVELOPE} FROM e WHERE false")
 def scan_empty_filters(spark, sf_dir):
     return log(spark, sf_dir).where(Filters().predicate()).select(*PLAIN)
@@ -272,28 +287,48 @@ def proj_reservation_effects(spark, sf_dir):
     return rows.groupBy("aggregate_id").agg(*counts)
 
 
+@query(f"""{LOG}, q AS (SELECT *, CASE kind WHEN 'purchase' THEN 'add' WHEN 'click' THEN 'remove' WHEN 'error' THEN 'consume' END AS op FROM e WHERE kind IN ('purchase', 'click', 'error')),
+w AS (SELECT position, lag(op) OVER (PARTITION BY aggregate_id, k ORDER BY position) AS before FROM q),
+c AS (SELECT e.*, CASE WHEN kind IN ('signup', 'view') THEN c WHEN kind = 'error' AND before = 'add' THEN -c ELSE 0 END AS change FROM e LEFT JOIN w USING (position)),
+s AS (SELECT *, sum(change) OVER ({RUN}) AS total FROM c), b AS (SELECT *, total - least(min(total) OVER ({RUN}), 0) AS on_hand FROM s) SELECT aggregate_id, CAST(arg_max(on_hand, position) AS BIGINT) AS on_hand FROM b GROUP BY 1""")
+def proj_on_hand_effective(spark, sf_dir):
+    """Stock that signup and view raise, and that a commit (error) lowers only if the operation before it on the same element k is a reservation."""
+    op = F.when(is_("purchase"), F.lit("add")).when(is_("click"), F.lit("remove")).when(is_("error"), F.lit("consume"))
+    rows = log(spark, sf_dir).withColumn("op", op)
+    marked = Window.partitionBy("aggregate_id", "k").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("found", F.coalesce(F.last("op", ignorenulls=True).over(marked) == "add", F.lit(False)))
+    change = F.when(F.col("kind").isin("signup", "view"), F.col("c")).when(is_("error") & F.col("found"), -F.col("c")).otherwise(F.lit(0))
+    return folds.final(folds.clamped(rows, change, "aggregate_id", name="on_hand"), ["on_hand"], "aggregate_id")
+
+
 @query(f"""{COMMERCE}, r AS (SELECT customer_id, CAST(sum(price_cents) AS BIGINT) AS refunded FROM l JOIN o USING (order_key) WHERE flag = 'R' GROUP BY 1),
-a AS (SELECT customer_id, count(*) AS n_orders, arg_max(order_key, order_key) AS last_order, CAST(sum(total_cents) AS BIGINT) AS authorised, CAST(coalesce(sum(total_cents) FILTER (status = 'F'), 0) AS BIGINT) AS captured FROM o GROUP BY 1)
-SELECT customer_id, n_orders, last_order, authorised, captured, coalesce(refunded, 0) AS refunded, greatest(captured - coalesce(refunded, 0), 0) AS lifetime, greatest(authorised - captured, 0) AS outstanding FROM a LEFT JOIN r USING (customer_id)""")
+a AS (SELECT customer_id, count(*) AS n_orders, string_agg(order_key, ',' ORDER BY order_key) AS orders, max(order_key) AS last_order, CAST(sum(total_cents) AS BIGINT) AS authorised, CAST(coalesce(sum(total_cents) FILTER (status = 'F'), 0) AS BIGINT) AS captured FROM o GROUP BY 1)
+SELECT customer_id, n_orders, orders, last_order, authorised, captured, coalesce(refunded, 0) AS refunded, greatest(captured - coalesce(refunded, 0), 0) AS lifetime, greatest(authorised - captured, 0) AS outstanding FROM a LEFT JOIN r USING (customer_id)""")
 def proj_customer_account(spark, sf_dir):
-    """Events of several streams meet by the customer in their payload; lines find theirs by their order."""
+    """Events of several streams meet by the customer in their payload; lines find theirs by their order. The customer's orders are listed in log order."""
     rows = E.order_log(spark, sf_dir)
     per_order = rows.groupBy("order_key").agg(F.max("customer_id").alias("customer_id"), F.max("total_cents").alias("total_cents"), F.max("status").alias("status"), folds.total_when(F.col("flag") == "R", "price_cents").alias("refunded"))
-    per = per_order.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("*").alias("n_orders"), F.max("order_key").alias("last_order"), F.sum("total_cents").alias("authorised"), folds.total_when(F.col("status") == "F", "total_cents").alias("captured"), F.sum("refunded").alias("refunded"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("order_key")), lambda x: x.cast("string")), ",").alias("orders")  # a customer's own
+    per = per_order.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("*").alias("n_orders"), listed, F.max("order_key").alias("last_order"), F.sum("total_cents").alias("authorised"), folds.total_when(F.col("status") == "F", "total_cents").alias("captured"), F.sum("refunded").alias("refunded"))
     return per.withColumn("lifetime", C.saturating_sub("captured", "refunded")).withColumn("outstanding", C.saturating_sub("authorised", "captured"))
 
 
 @query(f"""{COMMERCE}, op AS (SELECT order_key, part_key, arg_max(flag, version) AS last FROM v WHERE flag IN ('N', 'R') GROUP BY 1, 2),
-m AS (SELECT order_key, count(*) AS n_members FROM op WHERE last = 'N' GROUP BY 1), s AS (SELECT order_key, arg_max(line_status, version) AS last_line_status FROM v GROUP BY 1)
-SELECT order_key, status, last_line_status, coalesce(n_members, 0) AS n_members FROM o LEFT JOIN s USING (order_key) LEFT JOIN m USING (order_key)""")
+m AS (SELECT order_key, count(*) AS n_members, string_agg(part_key, ',' ORDER BY part_key) AS members FROM op WHERE last = 'N' GROUP BY 1), s AS (SELECT order_key, arg_max(line_status, version) AS last_line_status FROM v GROUP BY 1)
+SELECT order_key, status, last_line_status, coalesce(n_members, 0) AS n_members, coalesce(members, '') AS members FROM o LEFT JOIN s USING (order_key) LEFT JOIN m USING (order_key)""")
 def proj_fulfilment_status(spark, sf_dir):
-    """Order status, last line status, and how many products are in the order's set: flag N adds, R removes."""
-    lines = versioned_lines(spark, sf_dir).withColumnRenamed("version", "position")
+    """Order status, last line status, and the products in the order's set (flag N adds, R removes), from orders and lines as one log.
+
+    All rows of an order meet once: windows and aggregates share their partitioning. The order's number is read from its stream's key.
+    """
+    rows = E.order_log(spark, sf_dir).withColumn("stream", C.storage_key("order:", "order_key"))
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("stream").orderBy(*E.LINE_ORDER)))
     op = F.when(F.col("flag") == "N", F.lit("add")).when(F.col("flag") == "R", F.lit("remove"))
-    inside = folds.members(lines, "part_key", op, "order_key").groupBy("order_key").agg(F.count("*").alias("n_members"))
-    last = lines.groupBy("order_key").agg(F.max_by("line_status", "position").alias("last_line_status"))
-    orders = E.order_log(spark, sf_dir).where("phase = 0").select("order_key", "status")
-    return orders.join(last, "order_key", "left").join(inside, "order_key", "left").select("order_key", "status", "last_line_status", F.coalesce("n_members", F.lit(0)).alias("n_members"))
+    rows = rows.withColumn("op", op).withColumn("is_last", F.lead("op").over(Window.partitionBy("stream", "part_key", F.col("op").isNotNull()).orderBy("position")).isNull())
+    inside = F.when((F.col("op") == "add") & F.col("is_last"), F.col("part_key"))
+    out = rows.groupBy("stream").agg(F.max("status").alias("status"), F.max_by("line_status", F.when(F.col("phase") == 1, F.col("position"))).alias("last_line_status"), F.sort_array(F.collect_list(inside)).alias("inside"), F.max("phase").alias("phase"), F.min("phase").alias("first"))
+    number = F.regexp_extract("stream", "^order:([0-9]+)$", 1).cast("long").alias("order_key")
+    return out.where("first = 0").select(number, "status", "last_line_status", F.size("inside").cast("long").alias("n_members"), F.array_join(F.transform("inside", lambda x: x.cast("string")), ",").alias("members"))
 
 
 @query("SELECT l_orderkey AS order_key, CAST(sum(CAST(l_quantity AS BIGINT) * CAST(round(p_retailprice * 100) AS BIGINT)) AS BIGINT) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
@@ -330,17 +365,20 @@ def snapshot_points(spark, sf_dir):
 STATE = "SELECT aggregate_id, max(position) AS position, CAST(sum(c) AS BIGINT) AS total FROM e WHERE kind = 'purchase' AND position <= {} GROUP BY 1"
 
 
-@query(f"""{LOG}, old AS ({STATE.format(3000)}), new AS (SELECT * FROM ({STATE.format(5000)}) WHERE CAST(aggregate_id AS BIGINT) % 3 = 0 UNION ALL SELECT * FROM ({STATE.format(2000)}) WHERE CAST(aggregate_id AS BIGINT) % 3 = 1
-UNION ALL SELECT * FROM ({STATE.format(3000)}) WHERE CAST(aggregate_id AS BIGINT) % 3 = 2)
+@query(f"""{LOG}, x AS (SELECT max(position) AS head FROM e), old AS ({STATE.format('(SELECT head * 3 // 5 FROM x)')}), new AS (SELECT * FROM ({STATE.format('(SELECT head FROM x)')}) WHERE CAST(aggregate_id AS BIGINT) % 3 = 0
+UNION ALL SELECT * FROM ({STATE.format('(SELECT head * 2 // 5 FROM x)')}) WHERE CAST(aggregate_id AS BIGINT) % 3 = 1 UNION ALL SELECT * FROM ({STATE.format('(SELECT head * 3 // 5 FROM x)')}) WHERE CAST(aggregate_id AS BIGINT) % 3 = 2)
 SELECT coalesce(n.aggregate_id, o.aggregate_id) AS aggregate_id, CASE WHEN o.position IS NULL OR n.position > o.position THEN n.position ELSE o.position END AS position, CASE WHEN o.position IS NULL OR n.position > o.position THEN n.total ELSE o.total END AS total,
 CASE WHEN n.position IS NULL THEN 'none' WHEN o.position IS NULL OR n.position > o.position THEN 'stored' ELSE 'declined' END AS offer FROM old o FULL JOIN new n ON o.aggregate_id = n.aggregate_id""")
 def snapshot_offer_merge(spark, sf_dir):
-    """Offers that are newer, older, and equal: only a greater position replaces."""
-    bought = log(spark, sf_dir).where(is_("purchase"))
-    state = lambda t: bought.where(F.col("position") <= t).groupBy("aggregate_id").agg(F.max("position").alias("position"), F.sum("c").alias("total"))
-    third = F.col("aggregate_id").cast("long") % 3
-    new = state(5000).where(third == 0).union(state(2000).where(third == 1)).union(state(3000).where(third == 2))
-    return snapshots.merge(state(3000), new, ["aggregate_id"], ["total"])
+    """Snapshots taken after three fifths of the log; offers from its head, from two fifths, and equal ones: only a greater position replaces."""
+    rows = log(spark, sf_dir)
+    head, third = rows.agg(F.max("position")).scalar(), F.col("aggregate_id").cast("long") % 3
+    part = lambda fifths: F.col("position") <= F.floor(head * fifths / 5)
+    totals = lambda when, name: (F.max(F.when(when, F.col("position"))).alias(f"{name}_position"), F.sum(F.when(when, F.col("c"))).alias(f"{name}_total"))
+    offered = F.when(third == 0, F.lit(True)).when(third == 1, part(2)).otherwise(part(3))
+    per = rows.where(is_("purchase")).groupBy("aggregate_id").agg(*totals(part(3), "old"), *totals(offered, "new"))
+    state = lambda name: per.where(F.col(f"{name}_position").isNotNull()).select("aggregate_id", F.col(f"{name}_position").alias("position"), F.col(f"{name}_total").alias("total"))
+    return snapshots.merge(state("old"), state("new"), ["aggregate_id"], ["total"])
 
 
 @query(f"{LOG} SELECT aggregate_id, CAST(sum(c) AS BIGINT) AS total, count(*) AS n, max(position) AS version FROM e WHERE kind = 'purchase' GROUP BY 1")
@@ -356,7 +394,8 @@ def snapshot_plus_tail(spark, sf_dir):
 def checkpoint_redelivery(spark, sf_dir):
     """With a checkpoint every 8 events, what a restart after the last event delivers again."""
     bought = log(spark, sf_dir).where(is_("purchase")).select("position")
-    return bought.orderBy(F.desc("position")).limit(bought.count() % 8)  # fewer than 8 rows
+    late = bought.orderBy(F.desc("position")).limit(8).withColumn("n", F.row_number().over(Window.orderBy(F.desc("position"))))  # fewer than 8 are left
+    return late.where(F.col("n") <= bought.agg(F.count("*")).scalar() % 8).select("position")
 
 
 # --- commits and commands ------------------------------------------------------------------------------------------
@@ -394,12 +433,16 @@ def reserve_decisions(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     rows = i.select(F.col("l_partkey").alias("part_key"), F.col("l_orderkey").alias("order_key"), F.col("l_quantity").cast("long").alias("quantity"), *order[1:])
 
-    def decide(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["part_key", "request", "order_key", "quantity", "available", "outcome"]
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by product; a product's state lives until the next product."""
         part, n, available, held = None, 0, 200, set()
         for b in batches:
-            out = []
-            for p, o, q in zip(b["part_key"].tolist(), b["order_key"].tolist(), b["quantity"].tolist(), strict=True):
+            if not b.num_rows:
+                continue
+            out: list[tuple] = []
+            for p, o, q in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if p != part:
                     part, n, available, held = p, 0, 200, set()
                 n += 1
@@ -407,11 +450,12 @@ def reserve_decisions(spark, sf_dir):
                 if outcome == "reserved":
                     available -= q
                     held.add(o)
-                out.append((p, n, o, q, available, outcome))
-            yield pd.DataFrame(out, columns=["part_key", "request", "order_key", "quantity", "available", "outcome"])
+                out.append((n, available, outcome))
+            request, left, outcomes = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(request, pa.int64()), b.column(1), b.column(2), pa.array(left, pa.int64()), pa.array(outcomes)], names)
 
     rows = rows.repartition("part_key").sortWithinPartitions("part_key", "order_key", *order[1:])
-    return rows.select("part_key", "order_key", "quantity").mapInPandas(decide, "part_key long, request long, order_key long, quantity long, available long, outcome string")
+    return rows.select("part_key", "order_key", "quantity").mapInArrow(decide, "part_key long, request long, order_key long, quantity long, available long, outcome string")
 
 
 @query("SELECT i AS retry, CAST(least(50 * power(2, i), 5000) AS BIGINT) AS delay_ms FROM range(12) t(i)")
@@ -423,24 +467,27 @@ def retry_delays(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT event_id, CAST(user_id AS VARCHAR) AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT event_id, k % 3 + 1 AS version, 'sku-' || k AS product_sku, k AS quantity, CASE WHEN k % 3 >= 1 THEN id ELSE 'UNKNOWN' END AS customer_id, CASE WHEN k % 3 = 2 THEN 'street ' || k ELSE 'UNKNOWN' END AS delivery_address FROM q""")
+SELECT event_id, CASE WHEN k % 13 > 2 THEN k % 3 + 1 END AS revision, CASE WHEN k % 13 > 2 THEN 'item-' || k END AS item, CASE WHEN k % 13 > 2 THEN k END AS pieces, CASE WHEN k % 13 > 2 THEN CASE WHEN k % 3 >= 1 THEN id ELSE 'anonymous' END END AS sender,
+CASE WHEN k % 13 > 2 THEN CASE WHEN k % 3 = 2 THEN 'route ' || k ELSE 'standard' END END AS route FROM q""")
 def event_upcast(spark, sf_dir):
-    """Payloads of three versions, each brought to the last."""
+    """Payloads of three versions, each brought to the last; what can't be read is null: broken JSON, no JSON object, a field of another type."""
     rows = log(spark, sf_dir)
-    v = F.col("k") % 3
-    data = F.to_json(F.struct((v + 1).alias("_version"), F.concat(F.lit("sku-"), F.col("k")).alias("product_sku"), F.col("k").alias("quantity"), F.when(v >= 1, F.col("aggregate_id")).alias("customer_id"), F.when(v == 2, F.concat(F.lit("street "), F.col("k"))).alias("delivery_address")))
-    return evolve.ORDER_PLACED.decode(rows.select(F.col("position").alias("event_id"), data.alias("data"))).select("event_id", F.col("payload._version").alias("version"), "payload.product_sku", "payload.quantity", "payload.customer_id", "payload.delivery_address")
+    v, bad = F.col("k") % 3, F.col("k") % 13
+    data = F.to_json(F.struct((v + 1).alias("revision"), F.concat(F.lit("item-"), F.col("k")).alias("item"), F.col("k").alias("pieces"), F.when(v >= 1, F.col("aggregate_id")).alias("sender"), F.when(v == 2, F.concat(F.lit("route "), F.col("k"))).alias("route")))
+    data = F.when(bad == 0, F.substring(data, 1, 12)).when(bad == 1, F.lit("[1]")).when(bad == 2, F.lit('{"revision":"two","item":"x","pieces":1}')).otherwise(data)
+    return evolve.PARCEL_SENT.decode(rows.select(F.col("position").alias("event_id"), data.alias("data"))).select("event_id", *[f"payload.{n}" for n in ("revision", "item", "pieces", "sender", "route")])
 
 
 @query("""WITH q AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT event_id, CASE k % 10 WHEN 0 THEN 'missing_field' WHEN 1 THEN 'bad_data' WHEN 2 THEN 'unknown_kind' ELSE 'ok' END AS outcome FROM q""")
+SELECT event_id, CASE k % 10 WHEN 0 THEN 'missing_field' WHEN 1 THEN 'bad_data' WHEN 2 THEN 'unknown_kind' WHEN 3 THEN 'bad_data' WHEN 4 THEN 'bad_data' ELSE 'ok' END AS outcome FROM q""")
 def decode_errors(spark, sf_dir):
-    """Events without a required field, with a field of the wrong type, and of an unknown kind."""
+    """Events without a required field, with a required or an optional field of the wrong type, that are no JSON, and of an unknown kind."""
     rows = log(spark, sf_dir)
     bad = F.col("k") % 10
-    data = F.when(bad == 0, F.lit('{"k":1}')).when(bad == 1, F.lit('{"amount_cents":"x","k":1}')).otherwise(F.to_json(F.struct(F.col("c").alias("amount_cents"), "k")))
-    kind = F.when(bad == 2, F.lit("never-registered")).otherwise(F.col("kind"))
-    return evolve.check(rows.select("position", kind.alias("kind"), data.alias("data")), evolve.USER_EVENTS).select(F.col("position").alias("event_id"), "outcome")
+    parcel = F.to_json(F.struct(F.lit("item").alias("item"), F.col("k").alias("pieces")))
+    data = F.when(bad == 0, F.lit('{"k":1}')).when(bad == 1, F.lit('{"amount_cents":"x","k":1}')).when(bad == 3, F.lit('{"item":"x","pieces":1,"revision":"one"}')).when(bad == 4, F.lit("not json")).when(bad == 5, parcel).otherwise(F.to_json(F.struct(F.col("c").alias("amount_cents"), "k")))
+    kind = F.when(bad == 2, F.lit("never-registered")).when(bad.isin(3, 5), F.lit("parcel-sent")).otherwise(F.col("kind"))
+    return evolve.check(rows.select("position", kind.alias("kind"), data.alias("data")), evolve.USER_EVENTS | {"parcel-sent": evolve.PARCEL_SENT}).select(F.col("position").alias("event_id"), "outcome")
 
 
 # --- reactions -----------------------------------------------------------------------------------------------------
@@ -450,9 +497,9 @@ def decode_errors(spark, sf_dir):
 def mirror_reactor(spark, sf_dir):
     """Each purchase copied to a mirror stream, at the positions after the log's head."""
     rows = log(spark, sf_dir)
-    head = rows.agg(F.max("position")).first()[0]
+    head = rows.agg(F.max("position")).scalar()
     copies = rows.where(is_("purchase")).select(F.lit("mirror").alias("aggregate_kind"), "aggregate_id", "c", F.col("position").alias("source"))
-    return dense_positions(copies, "source", [], start=(head if head is not None else -1) + 1)
+    return dense_positions(copies, "source", [], start=F.coalesce(head, F.lit(-1)) + 1)
 
 
 @query(f"""{LOG}, w AS (SELECT *, lag(kind) OVER (PARTITION BY aggregate_id ORDER BY position) AS before, min(position) OVER (PARTITION BY aggregate_id) AS origin FROM e)
