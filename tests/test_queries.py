@@ -5,7 +5,10 @@ import os
 
 import pytest
 
-from foldlog.plans.queries import QUERIES
+from foldlog.plans.log_queries import QUERIES as LOG_QUERIES
+from foldlog.plans.queries import QUERIES as TABLE_QUERIES
+
+QUERIES = TABLE_QUERIES | LOG_QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
