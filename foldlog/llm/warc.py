@@ -11,7 +11,7 @@ shuffle; digests are SHA-256, written sha256:<hex>.
 from __future__ import annotations
 
 import json
-from html.entities import html5
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +32,12 @@ SPACE_RULES = [
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
 ]
+#: Names that are looked up first, as the JVM looks through a map from its start.
+COMMON = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo"]
 #: What each named reference stands for, from the standard library's table.
-NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
-#: A reference at the start of a piece that follows an ampersand, and its digits.
-NAME, DECIMAL, HEX = r"^([a-zA-Z][a-zA-Z0-9]*);", r"^#([0-9]{1,7});", r"^#[xX]([0-9a-fA-F]{1,6});"
+NAMED = {name: html5[f"{name};"] for name in [*COMMON, *name2codepoint, *sorted(n[:-1] for n in html5 if n.endswith(";"))] if f"{name};" in html5}
+#: What a reference holds between ampersand and semicolon: a name, or # and a decimal or hexadecimal number.
+REFERENCE = r"^([a-zA-Z][a-zA-Z0-9]{0,40}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
 #: When a page was fetched, if the table doesn't say.
 FETCHED = "2026-01-01T00:00:00Z"
 LINK = r"(?i)<a\s[^>]*href"
@@ -70,22 +72,26 @@ def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
-def decoded(text: Column) -> Column:
-    """text with its character references resolved; what isn't one, or stands for no character, stays as it is."""
-    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
-    number = lambda digits: F.when((digits == 0) | (digits > 0x10FFFF) | digits.between(0xD800, 0xDFFF), None).otherwise(F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
+def _resolved(parts: Column) -> Column:
+    """Pieces that followed an ampersand each, with the references that they begin with resolved; what isn't one, or stands for no character, keeps its ampersand."""
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # folded to a constant
 
-    def piece(x: Column) -> Column:
-        name, ten, sixteen = (F.regexp_extract(x, p, 1) for p in (NAME, DECIMAL, HEX))
-        found = F.when(name != "", named[name]).when(ten != "", number(ten.cast("bigint"))).when(sixteen != "", number(F.conv(sixteen, 16, 10).cast("bigint")))
-        return F.when(found.isNotNull(), F.concat(found, F.regexp_replace(x, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), x))
+    def text_of(ref: Column) -> Column:
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8)).cast("bigint")
+        known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(~ref.startswith("#"), named[ref]).when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
-    parts = F.split(text, "&", -1)
-    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))).otherwise(text)
+    found = F.transform(parts, lambda x: F.struct(x.alias("piece"), F.regexp_extract(x, REFERENCE, 1).alias("ref")))
+    found = F.transform(found, lambda s: F.struct(s["piece"].alias("piece"), s["ref"].alias("ref"), F.when(s["ref"] != "", text_of(s["ref"])).alias("text")))
+    return F.transform(found, lambda s: F.when(s["text"].isNull(), F.concat(F.lit("&"), s["piece"])).otherwise(F.concat(s["text"], s["piece"].substr(F.char_length(s["ref"]) + 2, F.char_length(s["piece"])))))
 
 
-def plain_text(html: Column) -> Column:
-    return _replaced(decoded(_replaced(html, TEXT_RULES)), SPACE_RULES)
+def with_plain_text(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """rows with the plain text of the column html; each step is a column of its own, so that none is computed twice."""
+    rows = rows.withColumn(name, _replaced(F.col(html), TEXT_RULES)).withColumn("text_parts", F.split(name, "&", -1))
+    whole = F.concat(F.col("text_parts")[0], F.array_join(_resolved(F.slice("text_parts", 2, F.size("text_parts"))), ""))
+    rows = rows.withColumn(name, F.when(F.size("text_parts") > 1, whole).otherwise(F.col(name))).drop("text_parts")
+    return rows.withColumn(name, _replaced(F.col(name), SPACE_RULES))
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -102,7 +108,8 @@ def derive(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("head", F.substring_index("whole", "\r\n\r\n", 1))
     rows = rows.withColumn("payload", F.expr("substring(whole, char_length(head) + 5)"))
     rows = rows.withColumn("kind", F.regexp_extract("head", CONTENT_TYPE, 1)).withColumn("source_digest", digest(F.col("payload")))
-    rows = rows.withColumn("text", F.when(F.lower("kind").contains("html"), plain_text(F.col("payload"))).otherwise(F.col("payload")))
+    is_html = F.lower("kind").contains("html")
+    rows = with_plain_text(rows.withColumn("html", F.when(is_html, F.col("payload"))), "html", "text").withColumn("text", F.when(is_html, F.col("text")).otherwise(F.col("payload"))).drop("html")
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     title = F.trim(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"\s+", " "))
     links = (F.size(F.split("payload", LINK, -1)) - 1).cast("string")
@@ -139,12 +146,12 @@ def oracle() -> str:
         return text
 
     named = ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in NAMED.items())
-    extract = lambda p: f"regexp_extract(x, {_quoted(p)}, 1)"
-    number = lambda n: f"(CASE WHEN {n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343 THEN NULL ELSE chr({n}::INT) END)"
+    ref = f"regexp_extract(x, {_quoted(REFERENCE)}, 1)"
+    number = f"(CASE WHEN {ref} ~ '^#[xX].*' THEN ('0x' || substr({ref}, 3))::BIGINT ELSE substr({ref}, 2)::BIGINT END)"
+    found = f"CASE WHEN {ref} = '' THEN NULL WHEN {ref}[1] <> '#' THEN t[{ref}] WHEN {number} = 0 OR {number} > 1114111 OR {number} BETWEEN 55296 AND 57343 THEN NULL ELSE chr({number}::INT) END"
     crlf = "chr(13) || chr(10)"
     urn_of = lambda x: f"(SELECT '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' FROM (SELECT md5({x}) AS h))"
-    found = f"CASE WHEN {extract(NAME)} <> '' THEN t[{extract(NAME)}] WHEN {extract(DECIMAL)} <> '' THEN {number(f'{extract(DECIMAL)}::BIGINT')} WHEN {extract(HEX)} <> '' THEN {number(f"('0x' || {extract(HEX)})::BIGINT")} END"
-    piece = f"CASE WHEN ({found}) IS NOT NULL THEN ({found}) || regexp_replace(x, '^[^;]*;', '') ELSE '&' || x END"
+    piece = f"CASE WHEN ({found}) IS NOT NULL THEN ({found}) || substr(x, length({ref}) + 2) ELSE '&' || x END"
     fields = [("http-status", f"regexp_extract(head, {_quoted(STATUS)}, 1)"), ("source-block-digest", "source_block_digest"), ("source-payload-digest", "source_digest"), ("title", f"trim(regexp_replace(regexp_extract(payload, {_quoted(TITLE)}, 1), '\\s+', ' ', 'g'))"), ("language", f"regexp_extract(payload, {_quoted(LANG)}, 1)"), ("links", f"len(regexp_extract_all(payload, {_quoted(LINK)}))")]
     meta = " || ".join(f"'{n}: ' || {v} || {crlf}" for n, v in fields)
     meta += f" || array_to_string(list_transform(list_filter(string_split(head, {crlf})[2:], lambda x: x <> ''), lambda x: 'source-' || x || {crlf}), '')"
