@@ -24,6 +24,8 @@ from foldlog.operators.filters import EventFilter, Filters
 from foldlog.operators.snapshots import Offer, Policy, always, never
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog
 
+# A repository takes any log with the methods of foldlog.sources.memory.EventStore, and any snapshot store with those of Snapshots there.
+
 
 @dataclass
 class AggregateType:

@@ -17,6 +17,7 @@ from foldlog.operators.process import Process
 from foldlog.operators.repository import AggregateType, ProjectionType, Repository, Snapshot, SnapshotStore, aggregate, decide, event, projection
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog, Files, commit_name
 from foldlog.sources.datasource import register
+from foldlog.sources.memory import EventStore, MemoryLog, MemorySnapshots, NoSnapshots, Snapshots
 from foldlog.streaming.live import LiveModel, LiveProjection, Reactor, RetryPolicy, Subscription
 from foldlog.testing import Scenario, inject, inject_concurrent, seed
 
@@ -643,6 +644,30 @@ def test_errors_have_groups():
     assert issubclass(ConcurrencyConflict, CommitError) and issubclass(AggregateNotFound, LifecycleError) and issubclass(UnknownKind, EventDecodeError) and issubclass(CheckpointError, RunnerError) and issubclass(Fatal, ReactionError)
 
 
+def test_other_stores(spark):
+    """The same commands on a log in memory, with snapshots in memory and without any; both stores and the files offer the same methods."""
+    for store in (MemorySnapshots(snapshots.every(2)), NoSnapshots()):
+        log = MemoryLog(spark)
+        repo = Repository(log).with_snapshots(store)
+        assert isinstance(log, EventStore) and isinstance(store, Snapshots) and repo.consistency_token() is None
+        repo.create(Item, "pen", "list", 5)
+        repo.update(Item, "pen", "hold", {"order": "o", "n": 2})
+        repo.update(Item, "pen", "hold", {"order": "p", "n": 1})
+        with pytest.raises(Rejected):
+            repo.update(Item, "pen", "hold", {"order": "q", "n": 9})
+        with pytest.raises(ConcurrencyConflict):
+            log.append_if_version("item", "pen", 0, [Event("item-held", {"order": "r", "n": 1})])
+        assert repo.load(Item, "pen").held == {"o": 2, "p": 1} and log.stream_version("item", "pen") == 2 == log.latest_checkpoint()
+        assert log.frame().count() == 3 and [r.position for r in log.load_events([EventFilter("item-held").after_position(1)]).collect()] == [2]
+        assert log.current_checkpoint([EventFilter("item-listed")]) == 0 and log.checkpoint_for_position(3) is None
+        assert {r.aggregate_id for r in repo.load_many(Item, log.frame().select("aggregate_id")).collect()} == {"pen"}
+        if isinstance(store, MemorySnapshots):
+            assert store.load("item", "pen").position == 1 and not store.offer("item", "pen", 9, lambda: Snapshot(1, None))
+        else:
+            assert store.load("item", "pen") is None
+    assert isinstance(EventLog.__new__(EventLog), EventStore) and isinstance(SnapshotStore.__new__(SnapshotStore), Snapshots)
+
+
 def test_retry_delays():
     assert [RetryPolicy(10, 100).delay(i) for i in (0, 1, 2, 3, 4, 500)] == [10, 20, 40, 80, 100, 100]
     assert (RetryPolicy().initial, RetryPolicy().longest, RetryPolicy().retries) == (50, 5000, None)
