@@ -34,19 +34,17 @@ def codes_of(raw: str) -> list[int]:
     return [zlib.crc32(w.encode()) % CODES for w in _word.findall(raw)]
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk of logistic loss, by Adam over all rows."""
-    n = positive.shape[1]
+def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk of logistic loss, by Adam over all positive (p) and unlabelled rows, whose last column is 1."""
+    n = p.shape[1] - 1
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-    p = np.column_stack([positive, np.ones(len(positive))]).astype(np.float32)
-    u = np.column_stack([unlabelled, np.ones(len(unlabelled))]).astype(np.float32)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for i in range(1, steps + 1):
-        fp, fu = p @ w, u @ w
+        fp, fu = p @ w.astype(np.float32), u @ w.astype(np.float32)
         sp, su = sigmoid(fp), sigmoid(fu)
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gn = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        g = prior * (p.T @ (sp - 1)) / len(p) + gn if negative >= 0 else -gn
+        gn = su @ u / len(u) - prior * (sp @ p) / len(p)
+        g = prior * ((sp - 1) @ p) / len(p) + gn if negative >= 0 else -gn
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
@@ -86,15 +84,17 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 9) -> dict:
     z = F.abs(a - b) / F.sqrt(mean * (1 - mean) * (1 / size[0] + 1 / size[1]) + F.lit(1e-12))
     chosen = each.where((F.col("p") + F.col("u") >= 5) & (z > CLEAR)).orderBy(F.desc(z), "code").limit(FEATURES).select("code").collect()
     codes = np.array(sorted(r["code"] for r in chosen), np.int64)
-    narrowed = sample.select("positive", F.array_intersect("codes", F.array(*[F.lit(int(c)) for c in codes]).cast("array<long>")).alias("codes")).collect()  # as many rows as the sample, FEATURES codes each at most
+    narrowed = sample.select("positive", F.array_intersect("codes", F.array(*[F.lit(int(c)) for c in codes]).cast("array<long>")).alias("codes")).toArrow().combine_chunks()  # as many rows as the sample, FEATURES codes each at most
     drop(sample)
-    x = np.zeros((len(narrowed), len(codes)), np.float32)
-    for i, r in enumerate(narrowed):
-        x[i, np.searchsorted(codes, r["codes"])] = 1
-    y = np.array([r["positive"] for r in narrowed]) == 1
-    order = np.lexsort([*x.T[:8], ~y]) if len(codes) else np.arange(len(y))
-    x, y = x[order], y[order]
-    w, bias = nnpu(x[y], x[~y], prior)
+    lists = narrowed.column("codes").chunk(0)
+    at, flat = lists.offsets.to_numpy(), np.searchsorted(codes, lists.values.to_numpy())
+    positive = narrowed.column("positive").to_numpy() == 1
+    order = sorted(range(len(at) - 1), key=lambda i: (not positive[i], flat[at[i] : at[i + 1]].tobytes()))  # the same in every run
+    x = np.zeros((len(order), len(codes) + 1), np.float32)
+    x[:, -1] = 1
+    for row, i in enumerate(order):
+        x[row, flat[at[i] : at[i + 1]]] = 1
+    w, bias = nnpu(x[: positive.sum()], x[positive.sum() :], prior)
     return {"codes": codes, "weights": w, "bias": bias}
 
 
