@@ -24,6 +24,8 @@ from foldlog.llm import common
 from foldlog.llm.store import stored
 
 SAMPLES, SHINGLE = 64, 5
+#: Samples that are reduced on one row: the code for all of them at once would be too long for the JVM to compile well.
+ON_ROW = 8
 #: Bytes of text in a range of rows, about, counting ROW_BYTES for each row; sampled rows for each bound between ranges.
 RANGE_BYTES, ROW_BYTES, PER_BOUND = 8 << 20, 64, 8
 _MASK = (1 << 20) - 1
@@ -52,10 +54,15 @@ def _bits(h: Column, shift: int, n: int) -> Column:
     return (high if shift + n == 64 else high.bitwiseAND(F.lit((1 << n) - 1))).cast("double") + F.lit(0.5)
 
 
-def _sample(k: int) -> Column:
-    """The packed value of one term: the number to be minimal in the high 43 bits, 20 bits of term and t in the low ones."""
+def _hashes(k: int) -> list[Column]:
+    """128 bits of a term for sample k of a row's."""
     salts = [int(np.uint64(0x9E3779B97F4A7C15 * (2 * k + j + 1) & 0xFFFFFFFFFFFFFFFF).astype(np.int64)) for j in range(2)]
-    x, y = (F.xxhash64(F.col("term").bitwiseXOR(F.lit(s))) for s in salts)
+    return [F.xxhash64(F.col("term").bitwiseXOR(F.lit(s))) for s in salts]
+
+
+def _sample(k: int) -> Column:
+    """The packed value of one term for sample k of a row's: the number to be minimal in the high 43 bits, 20 bits of term and t in the low ones."""
+    x, y = F.col(f"x{k}"), F.col(f"y{k}")
     c = F.lit(64 * math.log(2)) - F.log(_bits(x, 32, 32) * _bits(x, 0, 32))
     v = _bits(y, 24, 40) * F.lit(2.0**-40)
     e1, e2 = -F.log(v), -F.log(_bits(y, 0, 24) * F.lit(2.0**-24))
@@ -68,13 +75,25 @@ def _sample(k: int) -> Column:
 
 
 def signatures(df: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """keys (together a row's identity), whole numbers carried, and samples (array of ints, empty without words), from rows with words."""
+    """keys (together a row's identity), whole numbers carried, and samples (array of ints, empty without words), from rows with words.
+
+    A term stands on a row for each block of ON_ROW samples; one more row of the text, without a term, has what is carried.
+    """
     rows = _terms(df).select(*keys, *carried, "weights", F.posexplode_outer("terms").alias("at", "term"))
-    rows = rows.select(*keys, *carried, "term", F.when(F.col("weights").isNull(), F.lit(0.0)).otherwise(F.log(F.get("weights", F.col("at")).cast("double"))).alias("ln_w"))
-    least = [F.min(_sample(k)).alias(f"s{k}") for k in range(SAMPLES)]
-    out = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *least)
-    codes = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(_MASK)).cast("int") for k in range(SAMPLES)])
-    return out.select(*keys, *carried, F.when(F.col("s0").isNull(), F.array().cast("array<int>")).otherwise(codes).alias("samples"))
+    ln_w = F.when(F.col("weights").isNull(), F.lit(0.0)).otherwise(F.log(F.get("weights", F.col("at")).cast("double")))
+    blocks = SAMPLES // ON_ROW
+    salts = [int(np.uint64(0xD6E8FEB86659FD93 * (i + 1) & 0xFFFFFFFFFFFFFFFF).astype(np.int64)) for i in range(blocks)]
+    salted = [F.col("term").bitwiseXOR(F.lit(s)) for s in salts]
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    each = F.posexplode(F.when(first, F.array(*salted, F.lit(None).cast("long"))).otherwise(F.array(*salted))).alias("block", "term")
+    rows = rows.select(*keys, *carried, ln_w.alias("ln_w"), each)
+    rows = rows.select("*", *[h.alias(f"{n}{k}") for k in range(ON_ROW) for n, h in zip("xy", _hashes(k), strict=True)])  # each hash is computed once, as several expressions use it
+    last = F.col("block") == blocks
+    least = rows.groupBy(*keys, "block").agg(*[F.max(F.when(last, F.col(c))).alias(c) for c in carried], *[F.min(_sample(k)).alias(f"s{k}") for k in range(ON_ROW)])
+    of = lambda block, k: F.max(F.when(F.col("block") == block, F.col(f"s{k}")))
+    codes = [of(i // ON_ROW, i % ON_ROW).bitwiseAND(F.lit(_MASK)).cast("int").alias(f"c{i}") for i in range(SAMPLES)]
+    out = least.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *codes)
+    return out.select(*keys, *carried, F.when(F.col("c0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*[F.col(f"c{i}") for i in range(SAMPLES)])).alias("samples"))
 
 
 def shown(samples: str) -> Column:
