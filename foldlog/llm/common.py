@@ -54,6 +54,7 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
             if held and size + batch.nbytes > most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()  # workers of a stage share an executor's memory
             held.append(batch)
             size += batch.nbytes
     if held:

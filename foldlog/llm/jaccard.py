@@ -49,7 +49,9 @@ CROWD = 16
 #: sets of a larger one are in each of its chunks, so that chunks are linked.
 POSTS, BITS, CHUNK, PIVOTS = 2_000_000, 2048, 2048, 16
 #: Posts that a task gathers before it sends them; counters of the frequencies of shingles, and how many of them are in a row.
-HELD, COUNTERS, COUNTED = 8_000_000, 1 << 18, 1 << 12
+HELD, COUNTERS, COUNTED = 4_000_000, 1 << 18, 1 << 12
+#: Bytes of text whose sets a worker holds at once.
+BLOCK = 4 << 20
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -187,7 +189,7 @@ def posts(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for block in common.blocks(batches):
+        for block in common.blocks(batches, BLOCK):
             values, at = shingles(common.raw_texts(block))
             nodes = set_hash(values, at).view(np.int64)
             _, first = np.unique(nodes, return_index=True)
@@ -274,7 +276,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(COUNTERS, np.int64)
-        for block in common.blocks(batches):
+        for block in common.blocks(batches, BLOCK):
             out += np.bincount(counter_of(shingles(common.raw_texts(block))[0]), minlength=COUNTERS)
         yield from told(out.reshape(-1, COUNTED), range(COUNTERS // COUNTED))
 
@@ -305,7 +307,7 @@ def rare(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches):
+        for block in common.blocks(batches, BLOCK):
             values, at = shingles(common.raw_texts(block))
             own = np.repeat(np.arange(len(at) - 1), np.diff(at))
             order = np.lexsort([values, shared.value[counter_of(values)], own])
@@ -335,7 +337,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(node, n, sketch) of texts (node, text): the size of the set, and which of BITS bits an odd number of its shingles toggles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches):
+        for block in common.blocks(batches, BLOCK):
             values, at = shingles(common.raw_texts(block))
             own = np.repeat(np.arange(len(at) - 1), np.diff(at))
             bit = (mix(values, 21) & np.uint64(BITS - 1)).astype(np.int64)
@@ -440,7 +442,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches):
+        for block in common.blocks(batches, BLOCK):
             ids, place = np.unique(np.concatenate([block.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
             own_text = dict(zip(place.tolist(), [t for c in ("text_a", "text_b") for t in common.raw_texts(block, c)], strict=True))
             values, at = shingles([own_text[i] for i in range(len(ids))])  # each text once
