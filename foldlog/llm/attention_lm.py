@@ -43,10 +43,10 @@ BATCH, RATE = 128, 0.08
 VISITS, EPOCHS, ROUNDS = 300_000, 8, 4
 #: Parts of the model of which few rows change at a time, and others; rows that are averaged together.
 SPARSE, DENSE, PIECE = ("e", "n"), ("q", "k", "v", "u", "d"), 256
-#: Windows that are worked on at once.
-AT_ONCE = 256
-#: Bytes of text in a block, and words that a worker knows at once.
-BLOCK, KNOWN = 4 << 20, 600_000
+#: Windows that are worked on at once; nodes of the tree, those that most decisions meet, whose products are taken as one matrix.
+AT_ONCE, TOP = 256, 128
+#: Bytes of text in a block; words that a worker knows at once, and their bytes.
+BLOCK, KNOWN, KNOWN_BYTES = 4 << 20, 600_000, 32 << 20
 #: Buckets of the hash space for each shuffle partition.
 SPREAD = 4
 #: Tokens for each task that adds up counts, about.
@@ -61,15 +61,19 @@ FINE = 2048
 
 
 class Tree:
-    """For each id the inner nodes on its path and the signs of the decisions there, flattened; the root is the last of each path."""
+    """For each id the inner nodes on its path and the signs of the decisions there, flattened; the root is the last of each path.
+
+    top are the nodes with the largest counts below them, and slot tells the place among them of each node on a path. A node's
+    count is above those of the nodes under it, so the first below[id] nodes of a path aren't in top, and all others are.
+    """
 
     def __init__(self, counts: np.ndarray, begins: np.ndarray):
         n = len(counts)
-        mass, kids, made = [0.0] * (n - 1), np.zeros((n - 1, 2), np.int64), 0
+        mass, whole, kids, made = [0.0] * (n - 1), np.zeros(n - 1), np.zeros((n - 1, 2), np.int64), 0
 
         def join(x: tuple[float, int], y: tuple[float, int]) -> tuple[float, int]:
             nonlocal made
-            mass[made], kids[made] = y[0] / (x[0] + y[0]), (x[1], y[1])
+            mass[made], whole[made], kids[made] = y[0] / (x[0] + y[0]), x[0] + y[0], (x[1], y[1])
             made += 1
             return x[0] + y[0], n + made - 1
 
@@ -95,18 +99,44 @@ class Tree:
                 at = n + parent[at]
             paths.append(p)
             signs.append(q)
-        self.length = np.array([len(p) for p in paths], np.int64)
-        self.start = common.offsets(self.length)[:-1]
-        self.node = np.concatenate([np.array(p, np.int64) for p in paths])
-        self.sign = np.concatenate([np.array(q, np.float32) for q in signs])
         m = np.array(mass)
-        self.bias = np.log(m / (1 - m)).astype(np.float32)
-
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in node and sign of the ids' paths, one after another; where each begins; and whose each is."""
-        n = self.length[ids]
+        bias = np.log(m / (1 - m)).astype(np.float32)
+        top = np.lexsort([-np.arange(n - 1), -whole])[:TOP]  # of equal counts the node that was made later, which may be above the other
+        self.__setstate__((np.array([len(p) for p in paths], np.int32), np.concatenate([np.array(p, np.int32) for p in paths]), np.concatenate([np.array(q, np.int8) for q in signs]), bias, top))
+
+    def __getstate__(self) -> tuple:
+        """What the rest follows from, narrow: a tree is sent to all executors with each round's model, and lies on their disks."""
+        return self.length.astype(np.int32), self.node.astype(np.int32), self.sign.astype(np.int8), self.bias, self.top
+
+    def __setstate__(self, state: tuple) -> None:
+        length, node, sign, self.bias, self.top = state
+        n = len(length)
+        self.length, self.node, self.sign = length.astype(np.int64), node.astype(np.int64), sign.astype(np.float32)
+        self.start = common.offsets(self.length)[:-1]
+        slot = np.full(n - 1, -1)
+        slot[self.top] = np.arange(len(self.top))
+        self.slot = slot[self.node]
+        self.below = np.add.reduceat(self.slot < 0, self.start, dtype=np.int64)
+        self.above = self.length - self.below
+        self.signs = np.zeros((n, len(self.top)), np.int8)  # of an id's decisions in top; 0 for what isn't on its path
+        path = np.flatnonzero(self.slot >= 0)
+        self.signs[np.repeat(np.arange(n), self.length)[path], self.slot[path]] = self.sign[path]
+
+    def paths(self, ids: np.ndarray, top: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in node and sign of what is in top of the ids' paths, or below, one after another; where each begins; and whose each is.
+
+        Of ids that have nothing below there is nothing, not even a beginning.
+        """
+        below = self.below[ids]
+        who = np.arange(len(ids)) if top else np.flatnonzero(below)
+        start = self.start[ids[who]] + (below if top else 0)
+        n = self.above[ids] if top else below[who]
         at = common.offsets(n)
-        return np.arange(at[-1]) + np.repeat(self.start[ids] - at[:-1], n), at, np.repeat(np.arange(len(ids)), n)
+        return np.arange(at[-1]) + np.repeat(start - at[:-1], n), at, np.repeat(who, n)
+
+    def met(self, times: np.ndarray) -> np.ndarray:
+        """How many decisions each node took, by how often each id was met."""
+        return np.bincount(self.node, np.repeat(times, self.length), len(self.bias))
 
 
 # --- windows -------------------------------------------------------------------------------------------------------
@@ -135,19 +165,26 @@ def new_model(counts: np.ndarray, begins: np.ndarray, seed: int = 3) -> dict:
 
 
 _later = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None]  # distance of each input from each query
+_ones = np.ones(2 * STEP, np.float32)  # sums of short rows are faster as products
 
 
 def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, d: np.ndarray, first: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masked attention of the last STEP inputs of windows on all of theirs: weights and results."""
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(1 / math.sqrt(WIDTH))
+    """Masked attention of the last STEP inputs of windows (q, by 1 / sqrt(WIDTH)) on all of theirs: weights and results."""
+    s = np.matmul(q, k.transpose(0, 2, 1))
     s += np.where(_later >= 0, d[np.maximum(_later, 0)], np.float32(-1e9))
-    s += np.where(first[:, None] + np.arange(2 * STEP) < start[:, None], np.float32(-1e9), np.float32(0))[:, None]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    before = np.flatnonzero(first < start)
+    s[before] += np.where(first[before, None] + np.arange(2 * STEP) < start[before, None], np.float32(-1e9), np.float32(0))[:, None]
+    np.exp(np.minimum(s, 60, out=s), out=s)  # scores are small: exp needs no shift
+    s /= (s.reshape(-1, 2 * STEP) @ _ones).reshape(len(s), STEP, 1)
     return s, np.matmul(s, v)
 
 
+def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each place, of n."""
+    width = rows.shape[1]
+    return np.bincount((place[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).astype(np.float32).reshape(n, width)
+
+
 class Trainer:
     """Adagrad over the windows of one block after another.
 
@@ -164,61 +201,91 @@ class Trainer:
         self.past[x] += g * g
         self.model[x] -= RATE * g / np.sqrt(self.past[x])
 
+    def _rows(self, x: str, rows: np.ndarray, g: np.ndarray) -> None:
+        past = self.past[x].take(rows, axis=0)
+        past += g * g
+        self.past[x][rows] = past
+        self.model[x][rows] = self.model[x].take(rows, axis=0) - RATE * g / np.sqrt(past)
+
     def _sparse(self, x: str, rows: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.uint16) if len(self.model[x]) <= 1 << 16 else rows, kind="stable")  # short numbers are sorted in linear time
-        rows, g = rows[order], np.take(g, order, axis=0)
-        cuts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        rows, g = rows[cuts], np.add.reduceat(g, cuts, axis=0)
-        self.visits[x][rows] += np.diff(np.append(cuts, len(order)))
-        self.past[x][rows] += g * g
-        self.model[x][rows] -= RATE * g / np.sqrt(self.past[x][rows])
+        met = np.zeros(len(self.model[x]), bool)
+        met[rows] = True
+        own = np.flatnonzero(met)
+        place = np.empty(len(met), np.int64)
+        place[own] = np.arange(len(own))
+        self._rows(x, own, summed(place[rows], g, len(own)))
 
     def visit(self, sequences: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> None:
         """Each window once, in random order."""
         model, tree, scale = self.model, self.tree, np.float32(1 / math.sqrt(WIDTH))
         for x in DENSE:
             self.visits[x] += len(first)
+        inputs, targets = (np.zeros(len(model["e"]), np.int64) for _ in range(2))
         for chosen in np.array_split(rng.permutation(len(first)), max(1, len(first) // BATCH)):
             f, s0, m = first[chosen], start[chosen], n[chosen]
             place = np.clip(f[:, None] + np.arange(2 * STEP), 0, len(sequences) - 1)
             ids = sequences[place]
-            x = model["e"][ids]
-            xq = x[:, STEP:]
-            q, k, v = xq @ model["q"], x @ model["k"], x @ model["v"]
+            x = model["e"].take(ids.ravel(), axis=0)
+            xq = x.reshape(-1, 2 * STEP, WIDTH)[:, STEP:].reshape(-1, WIDTH)
+            of_all, of_late = np.hstack([model["k"], model["v"]]), np.hstack([model["q"] * scale, model["u"]])
+            windows = lambda t, rows: t.reshape(-1, rows, t.shape[1])
+            kv, qu = windows(x @ of_all, 2 * STEP), windows(xq @ of_late, STEP)
+            k, v, q = kv[:, :, :WIDTH], kv[:, :, WIDTH:], qu[:, :, :WIDTH]
             a, out = attend(q, k, v, model["d"], f, s0)
-            h = xq @ model["u"] + out
-            live = np.arange(STEP) < m[:, None]
-            target = sequences[np.minimum(place[:, STEP:] + 1, len(sequences) - 1)][live]
+            live = np.flatnonzero(np.arange(STEP) < m[:, None])
+            target = sequences[np.minimum(place[:, STEP:] + 1, len(sequences) - 1).ravel()[live]]
             hidden = np.ones((len(target), WIDTH + 1), np.float32)
-            hidden[:, :WIDTH] = h[live]
-            path, at, own = tree.paths(target)
-            node, sign = tree.node[path], tree.sign[path]
-            w, seen = np.take(model["n"], node, axis=0), np.take(hidden, own, axis=0)
-            z = sign * np.einsum("ij,ij->i", w, seen)
-            e = np.exp(-np.abs(z))
-            self.loss += float((np.maximum(-z, 0) + np.log1p(e)).sum())
+            hidden[:, :WIDTH] = (qu[:, :, WIDTH:] + out).reshape(-1, WIDTH)[live]
+            top, signs = model["n"][tree.top], tree.signs.take(target, axis=0).astype(np.float32)
+            g = hidden @ top.T
+            g *= signs
+            np.minimum(g, 20, out=g)  # beyond, a decision has no gradient to speak of
+            self.loss -= float(g.sum())
+            np.exp(g, out=g)
+            g += 1
+            p = g  # products of a few logarithms' arguments stay in range
+            for _ in range(2):
+                half = p.shape[1] // 2
+                p = p[:, :half] * p[:, half:] if p.shape[1] % 2 == 0 else p
+            self.loss += float(np.log(p, out=p if p is not g else None).sum()) - math.log(2) * (g.size - int(tree.above[target].sum()))  # what is off the paths has 2
+            np.divide(signs, g, out=g)  # the gradient with its sign turned; 0 off the paths
+            gh, g_top = g @ top, g.T @ hidden
+            path, _, own = tree.paths(target, top=False)
+            if len(path):
+                node, sign = tree.node[path], tree.sign[path]
+                w, seen = model["n"].take(node, axis=0), hidden.take(own, axis=0)
+                z = np.exp(np.clip(sign * np.einsum("ij,ij->i", w, seen), -60, 60))
+                self.loss += float(np.log(1 + 1 / z).sum())
+                g = (sign / (1 + z))[:, None]
+                w *= g
+                seen *= g
+                gh += summed(own, w, len(gh))
+                self._sparse("n", node, -seen)
+            self._rows("n", tree.top, -g_top)
             self.total += len(target)
-            g = -sign * np.where(z >= 0, e, 1) / (1 + e)
-            w *= g[:, None]
-            seen *= g[:, None]
-            gh = np.add.reduceat(w, at[:-1], axis=0)[:, :WIDTH]
-            self._sparse("n", node, seen)
-            back = np.zeros_like(h)
-            back[live] = gh
-            gx = np.zeros_like(x)
-            gx[:, STEP:] += back @ model["u"].T
-            ga = np.matmul(back, v.transpose(0, 2, 1))
-            gv = np.matmul(a.transpose(0, 2, 1), back)
-            gs = a * (ga - (ga * a).sum(axis=2, keepdims=True))
-            gq, gk = np.matmul(gs, k) * scale, np.matmul(gs.transpose(0, 2, 1), q) * scale
-            gx += gk @ model["k"].T + gv @ model["v"].T
-            gx[:, STEP:] += gq @ model["q"].T
-            flat = lambda t: t.reshape(-1, WIDTH)
+            inputs += np.bincount(ids.ravel(), minlength=len(inputs))
+            targets += np.bincount(target, minlength=len(targets))
+            back = np.zeros((len(xq), 2 * WIDTH), np.float32)  # of q and of what comes out
+            back[live, WIDTH:] = -gh[:, :WIDTH]
+            gq, by = windows(back, STEP)[:, :, :WIDTH], windows(back, STEP)[:, :, WIDTH:]
+            gkv = np.empty_like(kv)
+            gs = np.matmul(by, v.transpose(0, 2, 1))
+            gs -= np.einsum("ijk,ijk->ij", by, out)[:, :, None]
+            gs *= a
+            np.matmul(gs, k, out=gq)
+            np.matmul(gs.transpose(0, 2, 1), q, out=gkv[:, :, :WIDTH])
+            np.matmul(a.transpose(0, 2, 1), by, out=gkv[:, :, WIDTH:])
+            gkv = gkv.reshape(-1, 2 * WIDTH)
+            gx = gkv @ of_all.T
+            gx.reshape(-1, 2 * STEP, WIDTH)[:, STEP:] += windows(back @ of_late.T, STEP)
             by_distance = np.bincount(np.maximum(_later, 0).ravel(), (gs.sum(axis=0) * (_later >= 0)).ravel(), 2 * STEP).astype(np.float32)
-            steps = {"u": flat(xq).T @ flat(back), "q": flat(xq).T @ flat(gq), "k": flat(x).T @ flat(gk), "v": flat(x).T @ flat(gv), "d": by_distance}
-            self._sparse("e", ids.ravel(), flat(gx))
+            all_steps, late_steps = x.T @ gkv, xq.T @ back
+            steps = {"u": late_steps[:, WIDTH:], "q": late_steps[:, :WIDTH] * scale, "k": all_steps[:, :WIDTH], "v": all_steps[:, WIDTH:], "d": by_distance}
+            self._sparse("e", ids.ravel(), gx)
             for name, step in steps.items():
                 self._dense(name, step)
+        self.visits["e"] += inputs
+        self.visits["n"] += tree.met(targets)
 
 
 class Scorer:
@@ -232,6 +299,13 @@ class Scorer:
         self.mask = np.where(_later >= 0, self.d[np.maximum(_later, 0)], np.float32(-1e9)).astype(np.float32)
         self.columns = np.arange(2 * STEP)
 
+    def _soft(self, z: np.ndarray, path: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of decisions from their products."""
+        z = z * -self.tree.sign[path]
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        z += 1
+        return np.negative(np.log(z, out=z), out=z)
+
     def tokens(self, sequence: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of each scored token, and of the root's decision alone, in order of windows."""
         out, roots = [], []
@@ -240,36 +314,27 @@ class Scorer:
             place = np.clip(f[:, None] + self.columns, 0, len(sequence) - 1)
             ids = sequence[place]
             late = ids[:, STEP:]
-            kv = self.kv[ids]
-            s = np.matmul(self.q[late], kv[:, :, :WIDTH].transpose(0, 2, 1))
+            kv = self.kv.take(ids, axis=0)
+            s = np.matmul(self.q.take(late, axis=0), kv[:, :, :WIDTH].transpose(0, 2, 1))
             s += self.mask
             if (f < s0).any():
                 s += np.where(f[:, None] + self.columns < s0[:, None], np.float32(-1e9), np.float32(0))[:, None]
             np.exp(np.minimum(s, 60, out=s), out=s)  # scores are small: exp needs no shift
-            h = np.empty((*late.shape, WIDTH + 1), np.float32)
-            h[:, :, WIDTH] = 1
-            np.matmul(s, kv[:, :, WIDTH:], out=h[:, :, :WIDTH])
-            h[:, :, :WIDTH] /= s.sum(axis=2, keepdims=True)
-            h[:, :, :WIDTH] += self.u[late]
-            live = np.arange(STEP) < m[:, None]
-            target = sequence[np.minimum(place[:, STEP:] + 1, len(sequence) - 1)][live]
-            depth = self.tree.length[target]
-            order = np.argsort(-depth, kind="stable")  # so that at each level of the tree the tokens that go on are the first
-            target, depth, h = target[order], depth[order], h[live][order]
-            at = self.tree.start[target] + depth - 1
-            total, top = np.zeros(len(target), np.float32), None
-            for level in range(int(depth[0])):
-                n_on = int(np.searchsorted(-depth, -level))
-                path = at[:n_on] - level
-                z = np.einsum("ij,ij->i", self.n[self.tree.node[path]], h[:n_on])
-                z *= self.tree.sign[path]
-                np.negative(z, out=z)
-                np.log1p(np.exp(np.minimum(z, 60, out=z), out=z), out=z)
-                total[:n_on] -= z
-                if top is None:
-                    top = -z
-            found, root = np.empty_like(total), np.empty_like(total)
-            found[order], root[order] = total, top
+            h = np.matmul(s, kv[:, :, WIDTH:])
+            h /= (s.reshape(-1, 2 * STEP) @ _ones).reshape(len(s), STEP, 1)
+            h += self.u.take(late, axis=0)
+            live = np.flatnonzero(np.arange(STEP) < m[:, None])
+            target = sequence[np.minimum(place[:, STEP:] + 1, len(sequence) - 1).ravel()[live]]
+            hidden = np.ones((len(target), WIDTH + 1), np.float32)
+            hidden[:, :WIDTH] = h.reshape(-1, WIDTH)[live]
+            path, at, own = self.tree.paths(target, top=True)
+            own *= len(self.tree.top)
+            own += self.tree.slot[path]
+            soft = self._soft((hidden @ self.n[self.tree.top].T).ravel().take(own), path)
+            found, root = np.add.reduceat(soft, at[:-1]), soft[at[1:] - 1]
+            path, _, own = self.tree.paths(target, top=False)
+            soft = self._soft(np.einsum("ij,ij->i", self.n.take(self.tree.node[path], axis=0), hidden.take(own, axis=0)), path)
+            found += np.bincount(own, soft, len(found)).astype(np.float32)
             out.append(found)
             roots.append(root)
         return np.concatenate(out) if out else np.zeros(0), np.concatenate(roots) if roots else np.zeros(0)
@@ -292,6 +357,27 @@ class Scorer:
 # --- words and subwords --------------------------------------------------------------------------------------------
 
 
+class Spelled(dict):
+    """Bytes of the ids of words, found at first sight."""
+
+    def __init__(self, subwords: Subwords):
+        self.subwords, self.bytes = subwords, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self[word] = np.array(self.subwords.ids(word), np.int32).tobytes()
+        self.bytes += len(word) + len(out)
+        return out
+
+    def sequence(self, lists: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each after an end and closing with one, and the offsets of texts without the first."""
+        if len(self) > KNOWN or self.bytes > KNOWN_BYTES:
+            self.clear()
+            self.bytes = 0
+        mark = np.int32(end).tobytes()
+        texts = [b"".join([mark, *map(self.__getitem__, x), mark]) for x in lists]
+        return np.frombuffer(b"".join(texts), np.int32), common.offsets([len(t) // 4 - 1 for t in texts])
+
+
 class Subwords:
     """For distinct words: their ids (with a space before) and 64-bit hashes."""
 
@@ -299,11 +385,15 @@ class Subwords:
         import tiktoken
 
         self.engine = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.spelled = Spelled(self)
         self.held = common.Growing(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64))
         self.words = common.Words(self._learn, self.held.clear, KNOWN)
 
+    def ids(self, word: bytes) -> list[int]:
+        return self.engine.encode_ordinary(" " + word.decode())
+
     def _learn(self, words: list[bytes]) -> None:
-        ids = [self.engine.encode_ordinary(" " + w.decode()) for w in words]
+        ids = [self.ids(w) for w in words]
         self.held.extend([x for i in ids for x in i], [len(i) for i in ids], [xxhash.xxh3_64_intdigest(w) for w in words])
 
     def of(self, lists: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -345,8 +435,7 @@ def _sequences(batches: Iterable[pa.RecordBatch], ranks: dict[bytes, int], patte
     """For each block of texts: their ids, with the end before each text and after the last, and the texts' offsets."""
     subwords, end = _subwords(ranks, pattern), max(ranks.values()) + 1
     for block in common.blocks(batches, BLOCK):
-        ids, at, *_ = subwords.of(_words(block), end)
-        yield np.insert(ids, at[:-1], end), at
+        yield subwords.spelled.sequence(_words(block), end)
 
 
 def _subword_counts(docs: DataFrame, shared: Broadcast, v: int) -> tuple[np.ndarray, int]:
@@ -436,7 +525,7 @@ def _round(docs: DataFrame, model: dict, words: Broadcast, number: int, seed: in
         model[x][rows] = new[:, :k].reshape(n, *model[x].shape[1:])
         model["past"][x][rows] = new[:, k:].reshape(n, *model[x].shape[1:])
     told = np.array([np.frombuffer(blob, "<f8") for piece, _, blob in out if piece == -1]).reshape(-1, 2).sum(axis=0)
-    shared.unpersist()
+    shared.destroy()
     return model | {"loss": float(told[0] / max(told[1], 1)), "visited": model.get("visited", 0) + int(told[1])}
 
 

@@ -292,6 +292,39 @@ def test_language_model_scores_by_a_plain_pass(spark, monkeypatch):
         assert r.score == pytest.approx(mix(i, best, 0) / math.log(10), abs=0.001 * r.n_tokens)
 
 
+def test_language_model_step_by_plain_decisions():
+    """One step of training against a loop over all decisions: those of the tree's top, taken as a matrix, are most of them."""
+    rng = np.random.default_rng(23)
+    v = 2000
+    counts = np.floor(1e5 / np.arange(1, v + 1))
+    model = attention_lm.new_model(counts, rng.random(v) < 0.5)
+    model["n"][:, :-1] = rng.normal(0, 0.3, (v - 1, attention_lm.WIDTH))
+    model["past"] = {x: np.full_like(model[x], 1e-3) for x in (*attention_lm.SPARSE, *attention_lm.DENSE)}
+    tree, width = model["tree"], attention_lm.WIDTH
+    assert 4 * (tree.below * counts).sum() < (tree.length * counts).sum()
+    ids = rng.choice(v, 11, p=counts / counts.sum())
+    ids[:2] = v - 1, v - 2  # rare ones have decisions below
+    sequence, at = np.append(v - 1, ids), np.array([0, len(ids)])
+    trainer = attention_lm.Trainer(model)
+    trainer.visit(sequence, *attention_lm.window_places(at), np.random.default_rng(1))
+    step, loss = np.zeros((v - 1, width + 1)), 0.0
+    met = np.zeros(v - 1)
+    for i, target in enumerate(ids):
+        e = model["e"][sequence[: i + 1]].astype(np.float64)
+        s = (e @ model["k"]) @ (e[-1] @ model["q"]) / math.sqrt(width) + model["d"][np.arange(i, -1, -1)]
+        a = np.exp(s - s.max())
+        h = np.append(e[-1] @ model["u"] + (a / a.sum()) @ (e @ model["v"]), 1.0)
+        for p in range(tree.start[target], tree.start[target] + tree.length[target]):
+            z = tree.sign[p] * (model["n"][tree.node[p]] @ h)
+            step[tree.node[p]] -= tree.sign[p] / (1 + math.exp(z)) * h
+            loss += math.log1p(math.exp(-z))
+            met[tree.node[p]] += 1
+    assert trainer.loss == pytest.approx(loss, rel=1e-4) and (trainer.visits["n"] == met).all()
+    past = 1e-3 + step**2
+    assert np.abs(trainer.past["n"] - past).max() < 1e-4
+    assert np.abs(trainer.model["n"] - (model["n"] - attention_lm.RATE * step / np.sqrt(past))).max() < 1e-4
+
+
 def test_packed_probabilities():
     rng = np.random.default_rng(17)
     for n in (0, 1, 5, 300):
