@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.llm import common
-from foldlog.llm.store import stored
+from foldlog.llm.store import stored, swept
 from foldlog.llm.substrings import windows, word_hashes
 
 SHINGLE = 5
@@ -324,13 +324,13 @@ def late_candidates(crowded: DataFrame, texts: DataFrame, labels: DataFrame, kno
     """Pairs (a, b) of sets of crowded parts (node) that meet by a rare shingle, may link by size and sketch, and are in different components so far."""
     own = stored(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
     met = rare(own, frequencies(own)).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    met = stored(met, own)
+    met = swept(stored(met, own))
     apart = stored(met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("crowd")).where("x < y").select("key", "crowd"))
-    members = stored(met.join(apart, "key"), met, apart)
+    members = swept(stored(met.join(apart, "key"), met, apart))
     few = members.where(F.col("crowd") <= CROWD)
     side = lambda x: few.select("key", F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     pairs = side("a").join(side("b"), "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-    return stored(narrowed(pairs, known).union(compared(members.where(F.col("crowd") > CROWD), known, across=True)).select("a", "b").distinct(), members)
+    return swept(stored(narrowed(pairs, known).union(compared(members.where(F.col("crowd") > CROWD), known, across=True)).select("a", "b").distinct(), members))
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -496,27 +496,28 @@ def join(docs: DataFrame) -> DataFrame:
     rows = stored(sets_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"]))
     first = stored(rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = stored(meet(docs.where(F.col("doc_id").isNotNull()), total))
+    met = swept(stored(meet(docs.where(F.col("doc_id").isNotNull()), total)))
     pairs = met.where("crowd = 0").select("a", "b").distinct()
     members = stored(met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct())
     crowded = members.join(members.groupBy("key").agg(F.count("*").alias("crowd")), "key")
     used = met.select(F.col("a").alias("node")).union(met.where("crowd = 0").select(F.col("b").alias("node"))).distinct()
     wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), F.col("node").alias("own")))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already
-    texts = stored(sets_of(own, ["text", "own"]).where("node = own").select("node", "text"))
+    texts = swept(stored(sets_of(own, ["text", "own"]).where("node = own").select("node", "text"), wanted))
     known = stored(sketches(texts))
 
-    near = stored(narrowed(pairs, known).union(compared(crowded, known, across=False)).distinct())
+    near = swept(stored(narrowed(pairs, known).union(compared(crowded, known, across=False)).distinct(), met))
     closest = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair")
     sides = near.select("*", F.explode(F.array("a", "b")).alias("side"))
     nearest = stored(sides.groupBy("side").agg(closest).select("pair.*").distinct())
-    found = stored(verified(nearest, texts))
+    found = swept(stored(verified(nearest, texts)))
     labels = components(found)
     rest = stored(between(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels))
-    found = stored(found.union(verified(rest, texts)))
+    found = swept(stored(found.union(verified(rest, texts))))
     labels = stored(components(found))
     late = late_candidates(members, texts, labels, known).join(nearest.union(rest), ["a", "b"], "left_anti")
-    labels = components(found.union(verified(late, texts)))
+    found = swept(stored(found.union(verified(late, texts)), texts, known, members, near, nearest, rest))
+    labels = components(found)
 
     reach = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     reach = stored(reach)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import DataFrame
@@ -47,6 +48,17 @@ def drop(*tables: DataFrame) -> None:
         _remove(table.__dict__.get("stored_at"))
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """df, a result of stored(), after shuffle files have gone that only finished queries have read.
+
+    Executors keep them until the driver collects the plans that made them, and a driver with memory to spare may do so
+    only when a large table's shuffles have filled the disks.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def _remove(path: str | None) -> None:
     spark = _written.pop(path, None)
     if spark is not None:

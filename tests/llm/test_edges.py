@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldlog.llm import attention_lm, bpe, common, cws, jaccard, langid, packing, quality, substrings, toxicity, warc
-from foldlog.llm.store import _written, drop, stored
+from foldlog.llm.store import _written, drop, stored, swept
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -70,6 +71,30 @@ def test_tables_go_when_they_are_read(spark):
     assert b.stored_at not in _written
 
 
+def test_shuffles_of_the_jaccard_join_go_step_by_step(spark, monkeypatch):
+    """When texts are moved to be verified, the shuffles of all steps before are gone: those of posts are larger than the input."""
+    rng = random.Random(31)
+    texts = [some(rng, rng.randrange(30, 60), 60) for _ in range(60)]
+    texts += [t + " tail" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    left, verified = [], jaccard.verified
+
+    def looked(*args):
+        for _ in range(30):  # files go a little after the plans
+            if not known.size():
+                break
+            time.sleep(0.1)
+        left.append(known.size())
+        return verified(*args)
+
+    swept(df)  # what other tests have left
+    monkeypatch.setattr(jaccard, "verified", looked)
+    out = {r.doc_id: r.component_id for r in jaccard.join(df).collect()}
+    assert len(left) == 3 and max(left) <= 3
+    assert sum(out[i + 60] == i for i in range(60)) > 50
+
+
 def test_every_operator_keeps_odd_rows(spark):
     """A result row for each row (of op10: one at least), the same for repeated rows, and no error from nulls or clashing names."""
     df = nulls(spark)
