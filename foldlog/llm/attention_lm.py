@@ -63,8 +63,9 @@ FINE = 2048
 class Tree:
     """For each id the inner nodes on its path and the signs of the decisions there, flattened; the root is the last of each path.
 
-    top are the nodes with the largest counts below them, and slot tells the place among them of each node on a path. A node's
-    count is above those of the nodes under it, so the first below[id] nodes of a path aren't in top, and all others are.
+    top are the nodes with the largest counts below them. A node's count is above those of the nodes under it, so the first
+    below[id] nodes of a path aren't in top, and all others are. Of those, slots has the places in top for each id, the root's
+    first, and turns the signs; rows are filled up with the place after top, that of a decision which is certain (over()).
     """
 
     def __init__(self, counts: np.ndarray, begins: np.ndarray):
@@ -115,24 +116,31 @@ class Tree:
         self.start = common.offsets(self.length)[:-1]
         slot = np.full(n - 1, -1)
         slot[self.top] = np.arange(len(self.top))
-        self.slot = slot[self.node]
-        self.below = np.add.reduceat(self.slot < 0, self.start, dtype=np.int64)
+        slot = slot[self.node]
+        self.below = np.add.reduceat(slot < 0, self.start, dtype=np.int64)
         self.above = self.length - self.below
-        self.signs = np.zeros((n, len(self.top)), np.int8)  # of an id's decisions in top; 0 for what isn't on its path
-        path = np.flatnonzero(self.slot >= 0)
-        self.signs[np.repeat(np.arange(n), self.length)[path], self.slot[path]] = self.sign[path]
-
-    def paths(self, ids: np.ndarray, top: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in node and sign of what is in top of the ids' paths, or below, one after another; where each begins; and whose each is.
-
-        Of ids that have nothing below there is nothing, not even a beginning.
-        """
+        most = int(self.above.max())
+        self.slots, self.turns = np.full((n, most), len(self.top), np.int32), np.ones((n, most), np.float32)
+        path = np.flatnonzero(slot >= 0)
+        who = np.repeat(np.arange(n), self.length)[path]
+        at = self.start[who] + self.length[who] - 1 - path
+        self.slots[who, at], self.turns[who, at] = slot[path], self.sign[path]
+
+    def over(self, nodes: np.ndarray) -> np.ndarray:
+        """The rows of top among those of nodes (weights, and the bias last), and one of a decision that is certain."""
+        return np.vstack([nodes[self.top], np.append(np.zeros(nodes.shape[1] - 1), 30)[None]]).astype(np.float32)
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the products of the decisions of each id in top stand in a flat matrix of those of all in over(), and their signs."""
+        return self.slots.take(ids, axis=0) + (np.arange(len(ids)) * (len(self.top) + 1))[:, None], self.turns.take(ids, axis=0)
+
+    def under(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in node and sign of what is below top on the ids' paths, one after another; which ids have any; and where each of these begins."""
         below = self.below[ids]
-        who = np.arange(len(ids)) if top else np.flatnonzero(below)
-        start = self.start[ids[who]] + (below if top else 0)
-        n = self.above[ids] if top else below[who]
+        who = np.flatnonzero(below)
+        n = below[who]
         at = common.offsets(n)
-        return np.arange(at[-1]) + np.repeat(start - at[:-1], n), at, np.repeat(who, n)
+        return np.arange(at[-1]) + np.repeat(self.start[ids[who]] - at[:-1], n), who, at
 
     def met(self, times: np.ndarray) -> np.ndarray:
         """How many decisions each node took, by how often each id was met."""
@@ -179,10 +187,12 @@ def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, d: np.ndarray, first: np
     return s, np.matmul(s, v)
 
 
-def summed(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each place, of n."""
-    width = rows.shape[1]
-    return np.bincount((place[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).astype(np.float32).reshape(n, width)
+def summed(place: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, ascending, and the sums of their rows."""
+    key = np.sort(place.astype(np.int64) << 32 | np.arange(len(place)))  # faster than an order of the places
+    own = key >> 32
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    return own[first], np.add.reduceat(rows.take(key & 0xFFFFFFFF, axis=0), first, axis=0)
 
 
 class Trainer:
@@ -208,19 +218,25 @@ class Trainer:
         self.model[x][rows] = self.model[x].take(rows, axis=0) - RATE * g / np.sqrt(past)
 
     def _sparse(self, x: str, rows: np.ndarray, g: np.ndarray) -> None:
-        met = np.zeros(len(self.model[x]), bool)
-        met[rows] = True
-        own = np.flatnonzero(met)
-        place = np.empty(len(met), np.int64)
-        place[own] = np.arange(len(own))
-        self._rows(x, own, summed(place[rows], g, len(own)))
+        self._rows(x, *summed(rows, g))
+
+    def _met(self, sequences: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        """Counts what the windows meet."""
+        inputs, targets = (np.zeros(len(self.model["e"]), np.int64) for _ in range(2))
+        for i in range(0, len(first), 1 << 13):
+            f = first[i : i + (1 << 13), None]
+            inputs += np.bincount(sequences[np.clip(f + np.arange(2 * STEP), 0, len(sequences) - 1)].ravel(), minlength=len(inputs))
+            target = (f + STEP + 1 + np.arange(STEP))[np.arange(STEP) < n[i : i + (1 << 13), None]]
+            targets += np.bincount(sequences[target], minlength=len(targets))
+        self.visits["e"] += inputs
+        self.visits["n"] += self.tree.met(targets)
+        for x in DENSE:
+            self.visits[x] += len(first)
 
     def visit(self, sequences: np.ndarray, first: np.ndarray, start: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> None:
         """Each window once, in random order."""
         model, tree, scale = self.model, self.tree, np.float32(1 / math.sqrt(WIDTH))
-        for x in DENSE:
-            self.visits[x] += len(first)
-        inputs, targets = (np.zeros(len(model["e"]), np.int64) for _ in range(2))
+        self._met(sequences, first, n)
         for chosen in np.array_split(rng.permutation(len(first)), max(1, len(first) // BATCH)):
             f, s0, m = first[chosen], start[chosen], n[chosen]
             place = np.clip(f[:, None] + np.arange(2 * STEP), 0, len(sequences) - 1)
@@ -236,35 +252,30 @@ class Trainer:
             target = sequences[np.minimum(place[:, STEP:] + 1, len(sequences) - 1).ravel()[live]]
             hidden = np.ones((len(target), WIDTH + 1), np.float32)
             hidden[:, :WIDTH] = (qu[:, :, WIDTH:] + out).reshape(-1, WIDTH)[live]
-            top, signs = model["n"][tree.top], tree.signs.take(target, axis=0).astype(np.float32)
+            top = tree.over(model["n"])
             g = hidden @ top.T
-            g *= signs
-            np.minimum(g, 20, out=g)  # beyond, a decision has no gradient to speak of
-            self.loss -= float(g.sum())
-            np.exp(g, out=g)
-            g += 1
-            p = g  # products of a few logarithms' arguments stay in range
-            for _ in range(2):
-                half = p.shape[1] // 2
-                p = p[:, :half] * p[:, half:] if p.shape[1] % 2 == 0 else p
-            self.loss += float(np.log(p, out=p if p is not g else None).sum()) - math.log(2) * (g.size - int(tree.above[target].sum()))  # what is off the paths has 2
-            np.divide(signs, g, out=g)  # the gradient with its sign turned; 0 off the paths
+            at, turn = tree.places(target)
+            z = g.take(at)
+            z *= turn
+            odds = np.exp(np.minimum(z, 60, out=z))  # beyond, a decision has no gradient to speak of
+            odds += 1
+            self.loss += float(np.log(odds).sum()) - float(z.sum())
+            g[:] = 0
+            g.reshape(-1)[at] = np.divide(turn, odds, out=turn)  # the gradient with its sign turned
             gh, g_top = g @ top, g.T @ hidden
-            path, _, own = tree.paths(target, top=False)
+            path, who, at = tree.under(target)
             if len(path):
                 node, sign = tree.node[path], tree.sign[path]
-                w, seen = model["n"].take(node, axis=0), hidden.take(own, axis=0)
+                w, seen = model["n"].take(node, axis=0), hidden.take(np.repeat(who, np.diff(at)), axis=0)
                 z = np.exp(np.clip(sign * np.einsum("ij,ij->i", w, seen), -60, 60))
                 self.loss += float(np.log(1 + 1 / z).sum())
                 g = (sign / (1 + z))[:, None]
                 w *= g
                 seen *= g
-                gh += summed(own, w, len(gh))
+                gh[who] += np.add.reduceat(w, at[:-1], axis=0)
                 self._sparse("n", node, -seen)
-            self._rows("n", tree.top, -g_top)
+            self._rows("n", tree.top, -g_top[:-1])
             self.total += len(target)
-            inputs += np.bincount(ids.ravel(), minlength=len(inputs))
-            targets += np.bincount(target, minlength=len(targets))
             back = np.zeros((len(xq), 2 * WIDTH), np.float32)  # of q and of what comes out
             back[live, WIDTH:] = -gh[:, :WIDTH]
             gq, by = windows(back, STEP)[:, :, :WIDTH], windows(back, STEP)[:, :, WIDTH:]
@@ -278,14 +289,12 @@ class Trainer:
             gkv = gkv.reshape(-1, 2 * WIDTH)
             gx = gkv @ of_all.T
             gx.reshape(-1, 2 * STEP, WIDTH)[:, STEP:] += windows(back @ of_late.T, STEP)
-            by_distance = np.bincount(np.maximum(_later, 0).ravel(), (gs.sum(axis=0) * (_later >= 0)).ravel(), 2 * STEP).astype(np.float32)
+            by_distance = np.bincount(np.maximum(_later, 0).ravel(), (np.ones(len(gs), np.float32) @ gs.reshape(len(gs), -1)) * (_later >= 0).ravel(), 2 * STEP).astype(np.float32)
             all_steps, late_steps = x.T @ gkv, xq.T @ back
             steps = {"u": late_steps[:, WIDTH:], "q": late_steps[:, :WIDTH] * scale, "k": all_steps[:, :WIDTH], "v": all_steps[:, WIDTH:], "d": by_distance}
             self._sparse("e", ids.ravel(), gx)
             for name, step in steps.items():
                 self._dense(name, step)
-        self.visits["e"] += inputs
-        self.visits["n"] += tree.met(targets)
 
 
 class Scorer:
@@ -296,12 +305,14 @@ class Scorer:
         self.q, self.u = e @ model["q"] * np.float32(1 / math.sqrt(WIDTH)), e @ model["u"]
         self.kv = np.concatenate([e @ model["k"], e @ model["v"]], axis=1)
         self.n, self.d = model["n"].astype(np.float32), model["d"]
+        self.top = self.tree.over(self.n).T.copy()
         self.mask = np.where(_later >= 0, self.d[np.maximum(_later, 0)], np.float32(-1e9)).astype(np.float32)
         self.columns = np.arange(2 * STEP)
 
-    def _soft(self, z: np.ndarray, path: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _soft(z: np.ndarray, sign: np.ndarray) -> np.ndarray:
         """Natural log probabilities of decisions from their products."""
-        z = z * -self.tree.sign[path]
+        z *= -sign
         np.exp(np.minimum(z, 60, out=z), out=z)
         z += 1
         return np.negative(np.log(z, out=z), out=z)
@@ -327,14 +338,13 @@ class Scorer:
             target = sequence[np.minimum(place[:, STEP:] + 1, len(sequence) - 1).ravel()[live]]
             hidden = np.ones((len(target), WIDTH + 1), np.float32)
             hidden[:, :WIDTH] = h.reshape(-1, WIDTH)[live]
-            path, at, own = self.tree.paths(target, top=True)
-            own *= len(self.tree.top)
-            own += self.tree.slot[path]
-            soft = self._soft((hidden @ self.n[self.tree.top].T).ravel().take(own), path)
-            found, root = np.add.reduceat(soft, at[:-1]), soft[at[1:] - 1]
-            path, _, own = self.tree.paths(target, top=False)
-            soft = self._soft(np.einsum("ij,ij->i", self.n.take(self.tree.node[path], axis=0), hidden.take(own, axis=0)), path)
-            found += np.bincount(own, soft, len(found)).astype(np.float32)
+            at, turn = self.tree.places(target)
+            soft = self._soft((hidden @ self.top).take(at), turn)
+            found, root = soft @ np.ones(soft.shape[1], np.float32), soft[:, 0].copy()
+            path, who, at = self.tree.under(target)
+            if len(path):
+                seen = hidden.take(np.repeat(who, np.diff(at)), axis=0)
+                found[who] += np.add.reduceat(self._soft(np.einsum("ij,ij->i", self.n.take(self.tree.node[path], axis=0), seen), self.tree.sign[path]), at[:-1])
             out.append(found)
             roots.append(root)
         return np.concatenate(out) if out else np.zeros(0), np.concatenate(roots) if roots else np.zeros(0)

@@ -325,6 +325,30 @@ def test_language_model_step_by_plain_decisions():
     assert np.abs(trainer.model["n"] - (model["n"] - attention_lm.RATE * step / np.sqrt(past))).max() < 1e-4
 
 
+def test_language_model_works_on_the_decisions_of_paths(monkeypatch):
+    """Training takes an exponential for each decision on a token's path and each input it attends to, about, not for all of the tree's top; places and signs are those of the paths."""
+    rng = np.random.default_rng(29)
+    v = 2000
+    counts = np.floor(1e5 / np.arange(1, v + 1))
+    model = attention_lm.new_model(counts, rng.random(v) < 0.5)
+    model["past"] = {x: np.full_like(model[x], 1e-3) for x in (*attention_lm.SPARSE, *attention_lm.DENSE)}
+    tree, n = model["tree"], 40 * attention_lm.STEP
+    sequence, at = np.append(v - 1, rng.choice(v, n, p=counts / counts.sum())), np.array([0, n])
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **b: (taken.append(np.size(x)), exp(x, *a, **b))[1])
+    trainer = attention_lm.Trainer(model)
+    trainer.visit(sequence, *attention_lm.window_places(at), rng)
+    most = tree.above.max() + tree.below[sequence[1:]].mean() + 2 * attention_lm.STEP
+    assert trainer.total == n and sum(taken) <= n * most
+    ids = np.arange(v)
+    places, signs = tree.places(ids)
+    for i in ids.tolist():
+        path = slice(tree.start[i] + tree.below[i], tree.start[i] + tree.length[i])
+        node, sign = tree.node[path][::-1], tree.sign[path][::-1]
+        own = places[i] - i * (len(tree.top) + 1)
+        assert (tree.top[own[: len(node)]] == node).all() and (signs[i, : len(node)] == sign).all() and (own[len(node) :] == len(tree.top)).all()
+
+
 def test_packed_probabilities():
     rng = np.random.default_rng(17)
     for n in (0, 1, 5, 300):
