@@ -162,7 +162,7 @@ def per_document(docs: DataFrame, keep: list[str], fields: list[tuple[str, pa.Da
     needed = list(dict.fromkeys([*keep, "text"]))
     source = docs.select(*[F.col(f"`{n}`") for n in needed])
     kept = [f for f in source.schema.fields if f.name in keep]
-    kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int"}
+    kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int", pa.binary(): "binary"}
     new = [] if mask else fields
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {kinds[t]}" for n, t in new])
     names = [f.name for f in kept]

@@ -5,7 +5,8 @@ two sketches is never more than the symmetric difference of the sets. Pairs with
 more differ in at most d shingles, where d follows from the sizes; the (sparse) sketch of a size band is cut into m > d
 parts, so at least m - d parts of such a pair are equal (pigeonhole). Sets meet by fingerprints of their parts, the XOR
 of codes of the set bits. Pairs that met are narrowed by sizes and by the distance of a dense sketch of BITS bits, and
-what is left is verified on the texts.
+what is left is verified on the texts. Dense sketches are made when the sets are read first, so that only texts of sets
+with a near candidate, or of a crowded part, are moved: the larger a table, the more of its sets meet others by chance.
 
 Nothing is left out for skew:
 
@@ -50,8 +51,8 @@ CROWD = 16
 POSTS, BITS, CHUNK, PIVOTS = 2_000_000, 2048, 2048, 16
 #: Posts that a task gathers before it sends them; counters of the frequencies of shingles, and how many of them are in a row.
 HELD, COUNTERS, COUNTED = 4_000_000, 1 << 18, 1 << 12
-#: Bytes of text whose sets a worker holds at once.
-BLOCK = 4 << 20
+#: Bytes of text whose sets a worker holds at once; sets whose dense sketches it makes at once.
+BLOCK, SKETCHED = 4 << 20, 512
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -124,14 +125,16 @@ def set_hash(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(out + np.diff(at).astype(np.uint64), 4)
 
 
-def sets_of(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns keep, n_shingles and node (hash of the set; null for an empty set) for each of docs."""
+def sets_of(docs: DataFrame, keep: list[str], sketch: bool = False) -> DataFrame:
+    """Columns keep, n_shingles, node (hash of the set; null for an empty set) and, if asked for, the sketch for each of docs."""
 
     def work(block: pa.Table) -> list:
         values, at = shingles(common.raw_texts(block))
-        return [np.diff(at), pa.array(set_hash(values, at).view(np.int64), mask=np.diff(at) == 0)]
+        out = [np.diff(at), pa.array(set_hash(values, at).view(np.int64), mask=np.diff(at) == 0)]
+        return [*out, sketches(values, at)] if sketch else out
 
-    return common.per_document(docs, keep, [("n_shingles", pa.int64()), ("node", pa.int64())], work)
+    fields = [("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())]
+    return common.per_document(docs, keep, fields if sketch else fields[:2], work)
 
 
 def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -333,19 +336,16 @@ def late_candidates(crowded: DataFrame, texts: DataFrame, labels: DataFrame, kno
     return swept(stored(narrowed(pairs, known).union(compared(members.where(F.col("crowd") > CROWD), known, across=True)).select("a", "b").distinct(), members))
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(node, n, sketch) of texts (node, text): the size of the set, and which of BITS bits an odd number of its shingles toggles."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, BLOCK):
-            values, at = shingles(common.raw_texts(block))
-            own = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            bit = (mix(values, 21) & np.uint64(BITS - 1)).astype(np.int64)
-            odd = (np.bincount(own * BITS + bit, minlength=(len(at) - 1) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
-            packed = np.packbits(odd, axis=1)
-            yield pa.RecordBatch.from_arrays([block.column("node").combine_chunks(), pa.array(np.diff(at)), pa.array([x.tobytes() for x in packed], pa.binary())], ["node", "n", "sketch"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, sketch binary")
+def sketches(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set, which of BITS bits an odd number of its shingles toggles."""
+    out = []
+    for i in range(0, len(at) - 1, SKETCHED):
+        ends = at[i : i + SKETCHED + 1]
+        own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        bit = (mix(values[ends[0] : ends[-1]], 21) & np.uint64(BITS - 1)).astype(np.int64)
+        odd = (np.bincount(own * BITS + bit, minlength=(len(ends) - 1) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
+        out += [x.tobytes() for x in np.packbits(odd, axis=1)]
+    return out
 
 
 def _bits(column) -> np.ndarray:
@@ -493,7 +493,7 @@ def join(docs: DataFrame) -> DataFrame:
     component is its own doc_id. A null doc_id has a null component and links with nothing; repeated rows link with
     each other; other columns are ignored. An empty table gives no rows. Sets are told apart by 64-bit hashes.
     """
-    rows = stored(sets_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"]))
+    rows = stored(sets_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"], sketch=True))
     first = stored(rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = swept(stored(meet(docs.where(F.col("doc_id").isNotNull()), total)))
@@ -501,12 +501,15 @@ def join(docs: DataFrame) -> DataFrame:
     members = stored(met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct())
     crowded = members.join(members.groupBy("key").agg(F.count("*").alias("crowd")), "key")
     used = met.select(F.col("a").alias("node")).union(met.where("crowd = 0").select(F.col("b").alias("node"))).distinct()
-    wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), F.col("node").alias("own")))
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already
-    texts = swept(stored(sets_of(own, ["text", "own"]).where("node = own").select("node", "text"), wanted))
-    known = stored(sketches(texts))
+    wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), "node"))
+    sizes = rows.select("doc_id", "node", F.col("n_shingles").alias("n"), "sketch").join(wanted.hint("merge"), ["doc_id", "node"])
+    known = swept(stored(sizes.dropDuplicates(["doc_id", "node"]).select("node", "n", "sketch")))
 
     near = swept(stored(narrowed(pairs, known).union(compared(crowded, known, across=False)).distinct(), met))
+    moved = near.select(F.col("a").alias("node")).union(near.select("b")).union(members.select("node")).distinct()
+    wanted = stored(wanted.join(moved, "node").select("doc_id", F.col("node").alias("own")), wanted)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already
+    texts = swept(stored(sets_of(own, ["text", "own"]).where("node = own").select("node", "text"), wanted))
     closest = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair")
     sides = near.select("*", F.explode(F.array("a", "b")).alias("side"))
     nearest = stored(sides.groupBy("side").agg(closest).select("pair.*").distinct())

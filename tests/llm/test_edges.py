@@ -95,6 +95,21 @@ def test_shuffles_of_the_jaccard_join_go_step_by_step(spark, monkeypatch):
     assert sum(out[i + 60] == i for i in range(60)) > 50
 
 
+def test_jaccard_join_moves_the_texts_of_near_sets_only(spark, monkeypatch):
+    """Sets that share half of their shingles meet by chance; what their sketches tell apart is known before their texts are moved."""
+    rng = random.Random(37)
+    part = some(rng, 25, 5000)
+    texts = [f"{part} {some(rng, 25, 5000)}" for _ in range(60)]
+    near = [some(rng, 60, 5000) for _ in range(4)]
+    texts += [x for t in near for x in (t, t + " tail")]
+    met, moved, narrowed, verified = [], [], jaccard.narrowed, jaccard.verified
+    monkeypatch.setattr(jaccard, "narrowed", lambda pairs, known: met.append(pairs.count()) or narrowed(pairs, known))
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, texts: moved.append(sorted(r.text for r in texts.collect())) or verified(pairs, texts))
+    out = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert met[0] > 20 and moved[0] == sorted(texts[60:])
+    assert out == {i: i if i < 60 else i - i % 2 for i in range(68)}
+
+
 def test_every_operator_keeps_odd_rows(spark):
     """A result row for each row (of op10: one at least), the same for repeated rows, and no error from nulls or clashing names."""
     df = nulls(spark)
