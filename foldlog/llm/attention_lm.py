@@ -14,9 +14,9 @@ A text is scored as its words (A-Z lower-cased), each with one space before it,
 tokenizer, looked up once for each distinct word of a worker.
 
 Base scores need the count of every word in all training texts. Blocks of texts send their distinct words (64-bit
-hashes) with counts to buckets of the hash space; buckets add the counts up and send them back to the blocks, which
-meet them with the words and attention scores that each text kept. Frequent words are summed in their block before anything
-is sent, so no bucket and no block is larger for them. Counts, tokens, scores and training cover
+hashes) with counts to buckets of the hash space; buckets add the counts up and send them back to the blocks in the
+order in which they came, which meet them with the words and attention scores that each block kept. Frequent words are
+summed in their block before anything is sent, so no bucket and no block is larger for them. Counts, tokens, scores and training cover
 everything: the trees come from the subwords of all training texts, and every window of them is learned from, by one
 trainer for each core, whose models are averaged in rounds. Scores depend a little on how texts fall to the trainers.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.llm import common
-from foldlog.llm.store import stored
+from foldlog.llm.store import stored, swept
 
 WIDTH, STEP = 16, 16
 BATCH, RATE = 128, 0.08
@@ -564,44 +564,68 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, seed: int = 3) -
 # --- base counts ---------------------------------------------------------------------------------------------------
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: alike bytes stand together and take little once compressed."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(blob: bytes, kind: str, n: int, at: int = 0) -> np.ndarray:
+    """n numbers from planes() that begin at a place of blob."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n).T).view(kind).ravel()
+
+
+def squeezed(blob: bytes) -> bytes:
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def loosened(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
 def packed(place: np.ndarray, found: np.ndarray) -> bytes:
-    """Places of a text's words and the log10 probabilities of its words and end: by bytes, in steps of 1 / FINE, then those below the range whole."""
+    """Places of texts' words and the log10 probabilities of their words and ends: by bytes, in steps of 1 / FINE, then those below the range whole."""
     steps = np.rint(found * -FINE)
     far = np.flatnonzero((steps > 65534) | (steps < 0))
     steps[far] = 65535
-    planes = lambda x, width: x.view(np.uint8).reshape(-1, width).T.tobytes()
-    return planes(place.astype("<u4"), 4) + planes(steps.astype("<u2"), 2) + far.astype("<u4").tobytes() + found[far].astype("<f4").tobytes()
+    return planes(place.astype("<u4")) + planes(steps.astype("<u2")) + far.astype("<u4").tobytes() + found[far].astype("<f4").tobytes()
 
 
-def unpacked(blob: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    own = lambda width, n, at: np.ascontiguousarray(np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n).T).view(f"<u{width}").ravel()
-    place, found = own(4, words, 0), own(2, words + 1, 4 * words) / -float(FINE)
-    at = 6 * words + 2
+def unpacked(blob: bytes, words: int, texts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    place, found = unplaned(blob, "<u4", words), unplaned(blob, "<u2", words + texts, 4 * words) / -float(FINE)
+    at = 6 * words + 2 * texts
     n = (len(blob) - at) // 8
     found[np.frombuffer(blob, "<u4", n, at)] = np.frombuffer(blob, "<f4", n, at + 4 * n)
     return place, found
 
 
-def mixtures(share: np.ndarray, attention: np.ndarray) -> list[float]:
-    """Sums of the logarithms of both probabilities' mixtures, by MIXED; attention is given as natural logarithms."""
-    p = np.exp(attention)
+def mixtures(share: np.ndarray, attention: np.ndarray, p: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Sums, for each text, of the logarithms of both probabilities' mixtures, by MIXED; attention is given as natural logarithms, and p as it is.
+
+    at are the offsets of texts, each of which has a token at least.
+    """
     small = np.flatnonzero(p < 1e-290)  # for these the sum is built from logarithms
     out = []
     for w in MIXED:
-        mixed = w * share + (1 - w) * p
-        mixed[small] = 1
-        total = float(np.log(mixed).sum())
-        if len(small):
-            with np.errstate(divide="ignore"):
-                total += float(np.logaddexp(np.log(w * share[small]), math.log1p(-w) + attention[small]).sum())
-        out.append(total)
+        if w:
+            logs = w * share
+            logs += (1 - w) * p
+            logs[small] = 1
+            np.log(logs, out=logs)
+            if len(small):
+                with np.errstate(divide="ignore"):
+                    logs[small] = np.logaddexp(np.log(w * share[small]), math.log1p(-w) + attention[small])
+        else:
+            logs = attention
+        out.append(np.add.reduceat(logs, at[:-1]))
     return out
 
 
 def scored(docs: DataFrame, model: dict, ranks: dict[bytes, int], pattern: str, training: str, buckets: int) -> DataFrame:
-    """Rows of two kinds. For each of docs: block, doc_id, training, n_tokens, and blob: packed() places of its words among the block's
-    (frequent ones first), and log10 probabilities by attention. For each block and bucket: block, bucket and blob: hashes,
-    training counts and places of words.
+    """Rows of two kinds. For each block of docs: block; doc_id, training and n_tokens of its texts; learned_tokens and learned_texts, sums over
+    those that are training; blob: squeezed() and packed() places of all words among the block's (frequent ones first), and log10
+    probabilities by attention; dealt: the block's words' buckets, squeezed() as well. For each block and bucket: block, bucket and
+    part: hashes and training counts of those words, in order of their places, which dealt tells: so places aren't sent.
 
     training names a boolean column of docs.
     """
@@ -609,7 +633,11 @@ def scored(docs: DataFrame, model: dict, ranks: dict[bytes, int], pattern: str,
     common.arrow(spark)
     shared = spark.sparkContext.broadcast((ranks, pattern, model))  # as large as the vocabulary
     held: list[Scorer] = []
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("blob", pa.binary())])
+    kinds = [("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64()))]
+    schema = pa.schema([*kinds, ("learned_tokens", pa.int64()), ("learned_texts", pa.int64()), ("blob", pa.binary()), ("dealt", pa.binary()), ("part", pa.binary())])
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pattern, model = shared.value
@@ -620,50 +648,66 @@ def scored(docs: DataFrame, model: dict, ranks: dict[bytes, int], pattern: str,
             lists = _words(block)
             ids, at, begin, which, hashes = subwords.of(lists, end)
             found = held[0].words(ids, at, begin, end) / math.log(10)
-            numbers, place, times = np.unique(which, return_inverse=True, return_counts=True)
             lengths = np.array([len(x) for x in lists], np.int64)
             learn = block.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-            order = np.argsort(-times, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            hashes = hashes[numbers[order]]
-            trained = np.bincount(place, np.repeat(learn, lengths), len(order))[order].astype("<u4")
-            key, size, bound = part << 32 | number, len(lists), common.offsets(lengths).tolist()
-            blobs = [packed(rank[place[a:b]], found[a + i : b + i + 1]) for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * size, pa.int64()), pa.nulls(size, pa.int32()), block.column("doc_id").cast(pa.int64()).combine_chunks(), pa.array(learn), pa.array(lengths + 1), pa.array(blobs, pa.binary())], schema=schema)
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable").astype("<u4")
+            times = np.bincount(which, minlength=len(hashes))
+            numbers = np.flatnonzero(times)
+            numbers = numbers[np.argsort(-times[numbers], kind="stable")]
+            rank = np.empty(len(hashes), np.int64)
+            rank[numbers] = np.arange(len(numbers))
+            place, hashes = rank[which], hashes[numbers]
+            trained = np.bincount(place, np.repeat(learn, lengths), len(numbers)).astype("<u4")
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("<u4")
+            key, one = pa.array([part << 32 | number], pa.int64()), lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield rows(
+                1,
+                block=key,
+                doc_id=one(block.column("doc_id").cast(pa.int64()).combine_chunks()),
+                training=one(pa.array(learn)),
+                n_tokens=one(pa.array(lengths + 1)),
+                learned_tokens=pa.array([int((lengths[learn] + 1).sum())], pa.int64()),
+                learned_texts=pa.array([int(learn.sum())], pa.int64()),
+                blob=pa.array([squeezed(packed(place, found))], pa.binary()),
+                dealt=pa.array([squeezed(planes(bucket))], pa.binary()),
+            )
+            order = np.argsort(bucket, kind="stable")
             hashes, trained = hashes[order], trained[order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
             some = [(b, x, y) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
             n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([b for b, *_ in some], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array([hashes[x:y].astype("<u8").tobytes() + trained[x:y].tobytes() + order[x:y].tobytes() for _, x, y in some], pa.binary())], schema=schema)
+            yield rows(
+                n,
+                block=pa.array(key.to_pylist() * n, pa.int64()),
+                bucket=pa.array([b for b, *_ in some], pa.int32()),
+                part=pa.array([hashes[x:y].astype("<u8").tobytes() + planes(trained[x:y]) for _, x, y in some], pa.binary()),
+            )
 
-    return docs.select("doc_id", "text", F.col(training).alias("learn")).mapInArrow(run, "block long, bucket int, doc_id long, training boolean, n_tokens long, blob binary")
+    own = "block long, bucket int, doc_id array<long>, training array<boolean>, n_tokens array<long>, learned_tokens long, learned_texts long, blob binary, dealt binary, part binary"
+    return docs.select("doc_id", "text", F.col(training).alias("learn")).mapInArrow(run, own)
 
 
 def totals(parts: DataFrame, tasks: int) -> DataFrame:
-    """From the blocks' parts of buckets: block, bucket, blob (counts of its words over all blocks, and their places in the block), and n_distinct in a row without block for each bucket."""
+    """From the blocks' parts of buckets: block, bucket, blob (counts of its words over all blocks, in their order), and n_distinct in a row without block for each bucket."""
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n_distinct", pa.int64()), ("blob", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple[int, bytes]]] = {}
         for b in batches:
-            for bucket, block, blob in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            for bucket, block, blob in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), b.column("part").to_pylist(), strict=True):
                 by.setdefault(bucket, []).append((block, blob))
         for bucket in sorted(by):
             own = by.pop(bucket)
-            sizes = [len(x) // 16 for _, x in own]
+            sizes = [len(x) // 12 for _, x in own]
             hashes = np.concatenate([np.frombuffer(x, "<u8", n) for (_, x), n in zip(own, sizes, strict=True)])
-            trained = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for (_, x), n in zip(own, sizes, strict=True)])
+            trained = np.concatenate([unplaned(x, "<u4", n, 8 * n) for (_, x), n in zip(own, sizes, strict=True)])
             _, place = np.unique(hashes, return_inverse=True)
             count = np.bincount(place, trained).astype("<i8")
             each, at = count[place], common.offsets(sizes).tolist()
-            rows = [(block, bucket, None, each[a:b].tobytes() + x[12 * (b - a) :]) for (block, x), a, b in zip(own, at[:-1], at[1:], strict=True)]
+            rows = [(block, bucket, None, planes(each[a:b])) for (block, _), a, b in zip(own, at[:-1], at[1:], strict=True)]
             rows.append((None, bucket, int((count > 0).sum()), None))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return parts.select("bucket", "block", "blob").repartition(tasks, "bucket").mapInArrow(run, "block long, bucket int, n_distinct long, blob binary")
+    return parts.select("bucket", "block", "part").repartition(tasks, "bucket").mapInArrow(run, "block long, bucket int, n_distinct long, blob binary")
 
 
 def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int) -> DataFrame:
@@ -676,25 +720,32 @@ def base_scores(rows: DataFrame, counts: DataFrame, n: int, v: int, n_texts: int
     below = math.log10(n + v + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        blobs = right.column("blob").to_pylist()
-        places = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(b, "<u4", len(b) // 12, len(b) // 12 * 8) for b in blobs)])
-        count = np.zeros(len(places), np.int64)
-        count[places] = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(b, "<i8", len(b) // 12) for b in blobs)])
-        logs, known = np.log10(count + 1.0), count > 0
-        share, less = (x / max(n, 1) for x in (count, np.maximum(count - 1, 0)))
-        of_end = [n_texts / max(n, 1), max(n_texts - 1, 0) / max(n, 1)]
-        out = []
-        for doc_id, learn, size, blob in zip(*(left.column(c).to_pylist() for c in ("doc_id", "training", "n_tokens", "blob")), strict=True):
-            place, attention = unpacked(blob, size - 1)
-            attention *= math.log(10)
-            found = [np.append(x[place], e) for x, e in zip((share, less) if learn else (share,), of_end, strict=False)]
-            mixed = [y / math.log(10) for x in found for y in mixtures(x, attention)]
-            mixed += [0.0] * (len(both) - len(mixed))
-            base = float(logs[place].sum()) + math.log10(n_texts + 1) - size * below
-            out.append((doc_id, not learn, size, int(known[place].sum()) + (n_texts > 0), n, base, *mixed))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
-
-    left = rows.where(F.col("bucket").isNull()).select("block", "doc_id", "training", "n_tokens", "blob")
+        doc_id, learn, sizes = (left.column(c).combine_chunks().flatten() for c in ("doc_id", "training", "n_tokens"))
+        learn, sizes = learn.to_numpy(zero_copy_only=False).astype(bool), sizes.to_numpy()
+        at, words = common.offsets(sizes), common.offsets(sizes - 1)
+        place, attention = unpacked(loosened(left.column("blob")[0].as_py()), int(words[-1]), len(sizes))
+        attention *= math.log(10)
+        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True))
+        dealt = loosened(left.column("dealt")[0].as_py())
+        count = np.zeros(len(dealt) // 4, np.int64)
+        count[np.argsort(unplaned(dealt, "<u4", len(count)), kind="stable")] = np.concatenate([np.zeros(0, "<i8"), *(unplaned(b, "<i8", len(b) // 8) for _, b in parts)])
+        known = common.sums((count > 0)[place].astype(np.int64), words).astype(np.int64) + (n_texts > 0)
+        base = common.sums(np.log10(count + 1.0)[place], words) + math.log10(n_texts + 1) - sizes * below
+        whole = lambda x, of_end: np.insert((x / max(n, 1))[place], words[1:], of_end / max(n, 1))
+        p = np.exp(attention)
+        mixed = mixtures(whole(count, n_texts), attention, p, at)
+        less = whole(np.maximum(count - 1, 0), max(n_texts - 1, 0))
+        if learn.all():
+            mixed += mixtures(less, attention, p, at)
+        else:
+            own = np.repeat(learn, sizes)
+            for x in mixtures(less[own], attention[own], p[own], common.offsets(sizes[learn])):
+                mixed.append(np.zeros(len(sizes)))
+                mixed[-1][learn] = x
+        columns = [doc_id, ~learn, sizes, known, np.full(len(sizes), n), base, *(x / math.log(10) for x in mixed)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    left = rows.where(F.col("bucket").isNull()).select("block", "doc_id", "training", "n_tokens", "blob", "dealt")
     right = counts.where(F.col("block").isNotNull()).select("block", "bucket", "blob")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, " + ", ".join(f"{x} double" for x in both))
 
@@ -712,9 +763,9 @@ def score(docs: DataFrame, training, ranks: dict[bytes, int], pattern: str) -> D
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model["tokens"] // TOKENS)
     rows = stored(scored(docs, model, ranks, pattern, "learn", tasks * SPREAD))
     counts = stored(totals(rows.where(F.col("bucket").isNotNull()), tasks))
-    n, n_texts = rows.where("training").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    n, n_texts = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("learned_tokens", "learned_texts")]).first()
     v = counts.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0] + (n_texts > 0)
-    scores = stored(base_scores(rows, counts, n, v, n_texts), rows, counts)
+    scores = stored(base_scores(rows, swept(counts), n, v, n_texts), rows, counts)
     fits = scores.agg(*[F.sum(f"fit_{i}") for i in range(len(MIXED))]).first()
     best = max(range(len(MIXED)), key=lambda i: fits[i] or 0.0)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col(f"score_{best}").alias("score"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import time
 
@@ -95,6 +96,43 @@ def test_shuffles_of_the_jaccard_join_go_step_by_step(spark, monkeypatch):
     assert sum(out[i + 60] == i for i in range(60)) > 50
 
 
+def test_language_model_leaves_little_on_disk(spark, monkeypatch):
+    """Bytes of the tables that blocks and buckets keep, by word and by distinct word of a block; the shuffle of what buckets were sent is gone when texts meet their counts."""
+    rng = random.Random(41)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.3)) % 10**6}" for _ in range(500)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    model = attention_lm.new_model(np.ones(max(ranks.values()) + 2), attention_lm.begins_word(ranks)) | {"tokens": 0}
+    model["n"][:, :-1] = np.random.default_rng(41).normal(0, 0.3, model["n"][:, :-1].shape)
+    monkeypatch.setattr(attention_lm, "fit", lambda *a: model)
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    sizes, left, base_scores = [], [], attention_lm.base_scores
+
+    def kept(table, *done):
+        out = stored(table, *done)
+        sizes.append(sum(x.stat().st_size for x in pathlib.Path(out.stored_at.removeprefix("file:")).glob("*.parquet")))
+        return out
+
+    def looked(*args):
+        for _ in range(30):  # files go a little after the plans
+            if not known.size():
+                break
+            time.sleep(0.1)
+        left.append(known.size())
+        return base_scores(*args)
+
+    swept(df)  # what other tests have left
+    monkeypatch.setattr(attention_lm, "stored", kept)
+    monkeypatch.setattr(attention_lm, "base_scores", looked)
+    out = attention_lm.score(df, F.col("doc_id") % 5 != 0, ranks, P.PATTERN).collect()
+    lists = [t.split() for t in texts]
+    counts = collections.Counter(w for i, x in enumerate(lists) if i % 5 for w in x)
+    assert len(out) == 200 and all(r.n_known == sum(w in counts for w in lists[r.doc_id]) + 1 for r in out)
+    n, distinct = sum(map(len, lists)), len({w for x in lists for w in x})
+    assert sizes[0] < 4 * n + 12 * distinct and sizes[1] < 4 * distinct
+    assert left[0] <= 2  # those of two sums
+
+
 def test_jaccard_join_moves_the_texts_of_near_sets_only(spark, monkeypatch):
     """Sets that share half of their shingles meet by chance; what their sketches tell apart is known before their texts are moved."""
     rng = random.Random(37)
