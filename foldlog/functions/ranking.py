@@ -1,4 +1,4 @@
-"""Dense positions in a global order, without sorting in one task."""
+"""Dense positions in a global order, without sorting in one task; and rows of a key kept in one task, in order."""
 
 from __future__ import annotations
 
@@ -36,3 +36,13 @@ def dense_positions(df: DataFrame, key: str, order: list, name: str = "position"
     start = F.lit(start) if isinstance(start, int) else start
     out = numbered.join(F.broadcast(offsets), "__range")  # as many rows as ranges
     return out.withColumn(name, (F.col("__row") - 1 + F.col("__before") + start).cast("long")).drop("__row", "__range", "__before")
+
+
+def together(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df sorted by (key, order) within partitions, of which one has all rows of a key: for Python code that goes through them.
+
+    Rows are dealt by a hash of the key. Dealt by the key itself, this step would be left out where a join or an aggregate
+    has dealt rows so before, and adaptive execution, which sees no need for that in what Python reads, may cut its
+    partitions: a join that becomes a broadcast reads by mapper, a skewed one by parts.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)

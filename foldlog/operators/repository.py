@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foldlog.errors import AggregateAlreadyExists, AggregateNotFound, CheckpointError, ConcurrencyConflict, DecodeError, Rejected, SnapshotError, UnknownKind
 from foldlog.functions.columns import json_key, kebab_case, upper_camel
+from foldlog.functions.ranking import together
 from foldlog.operators.filters import EventFilter, Filters
 from foldlog.operators.snapshots import Offer, Policy, always, never
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog
@@ -466,7 +467,7 @@ def fold_streams(events: DataFrame, kind: AggregateType) -> DataFrame:
         if stream is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((stream, version, _state(state)), out, strict=True)], schema=out)
 
-    rows = events.select("aggregate_id", "position", "kind", "data").repartition("aggregate_id").sortWithinPartitions("aggregate_id", "position")
+    rows = together(events.select("aggregate_id", "position", "kind", "data"), "aggregate_id", "position")
     return rows.mapInArrow(run, "aggregate_id string, version long, state string")
 
 
@@ -510,5 +511,5 @@ def decide(events: DataFrame, commands: DataFrame, kind: AggregateType) -> DataF
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    rows = own.unionByName(asked).repartition("aggregate_id").sortWithinPartitions("aggregate_id", "phase", "seq")
+    rows = together(own.unionByName(asked), "aggregate_id", "phase", "seq")
     return rows.mapInArrow(run, "aggregate_id string, seq long, ordinal long, kind string, data string, outcome string")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldlog.functions import columns as C
-from foldlog.functions.ranking import dense_positions
+from foldlog.functions.ranking import dense_positions, together
 from foldlog.operators import commands, evolve, folds, snapshots
 from foldlog.operators.filters import EventFilter, Filters, field_of, scan
 from foldlog.sources import envelope as E
@@ -454,7 +454,7 @@ def reserve_decisions(spark, sf_dir):
             request, left, outcomes = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(request, pa.int64()), b.column(1), b.column(2), pa.array(left, pa.int64()), pa.array(outcomes)], names)
 
-    rows = rows.repartition("part_key").sortWithinPartitions("part_key", "order_key", *order[1:])
+    rows = together(rows, "part_key", "order_key", *order[1:])
     return rows.select("part_key", "order_key", "quantity").mapInArrow(decide, "part_key long, request long, order_key long, quantity long, available long, outcome string")
 
 

@@ -628,6 +628,22 @@ def test_many_streams_at_once(spark, log):
     assert got == {("c1", 1): ("ok", '{"points":5}'), ("c1", 2): ("rejected", "over the limit"), ("c1", 3): ("unchanged", None), ("c1", 4): ("unknown_command", "no"), ("new", 1): ("ok", '{"points":4}'), ("new", 2): ("ok", '{"points":3}'), ("other", 1): ("not_found", "limit")}
 
 
+def test_streams_stay_whole_when_a_join_turns_into_a_broadcast(spark, log):
+    """The join with the ids is planned as one of two shuffles and becomes a broadcast when it runs, which then reads by mapper."""
+    columns = ["id", "'counter' AS aggregate_kind", "concat('c', id % 40) AS aggregate_id", "'points-added' AS kind", "'{\"points\":1}' AS data", "CAST(NULL AS STRING) AS metadata"]
+    for i in range(3):
+        log.load_frame(spark.range(1000 * i, 1000 * i + 1000).selectExpr(*columns), "id", [])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.adaptive.autoBroadcastJoinThreshold": 10 << 20, "spark.sql.adaptive.coalescePartitions.enabled": False}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        got = Repository(log).load_many(COUNTER, log.frame().select("aggregate_id").distinct()).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sorted((r.aggregate_id, r.version, r.state) for r in got) == sorted((f"c{i}", 2960 + i, "75") for i in range(40))
+
+
 def _reject():
     raise Rejected("over the limit")
 
