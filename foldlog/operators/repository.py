@@ -102,10 +102,36 @@ class ProjectionType:
 
 
 def decoded(event: dict) -> dict:
+    return _decoded(event["kind"], event["position"], event["data"])
+
+
+def _decoded(kind: str, position: int, text: str) -> Any:
     try:
-        return json.loads(event["data"])
+        try:
+            value, end = _scan(text, 0)  # json.loads() without its checks, which cost more than a short payload
+            if end == len(text):
+                return value
+        except (StopIteration, TypeError, ValueError):
+            pass
+        return json.loads(text)
     except ValueError as e:
-        raise DecodeError(f"{event['kind']} at {event['position']}: {e}") from e
+        raise DecodeError(f"{kind} at {position}: {e}") from e
+
+
+def _encoder(sort_keys: bool) -> Callable[[Any], Iterable[str]]:
+    """Parts of what json.dumps() gives without spaces; the encoder is made once and not for each value."""
+    plain = json.JSONEncoder(separators=(",", ":"), sort_keys=sort_keys)
+    if json.encoder.c_make_encoder is None:
+        return lambda value: [plain.encode(value)]
+    parts = json.encoder.c_make_encoder({}, plain.default, json.encoder.encode_basestring_ascii, None, ":", ",", sort_keys, False, True)
+    return lambda value: parts(value, 0)
+
+
+_scan, _parts, _sorted_parts = json.JSONDecoder().scan_once, _encoder(False), _encoder(True)
+
+
+def compact(value: Any, sort_keys: bool = False) -> str:
+    return "".join(_sorted_parts(value) if sort_keys else _parts(value))
 
 
 # --- typed registration ----------------------------------------------------------------------------------------------
@@ -442,7 +468,16 @@ class Repository:
 
 
 def _state(value: Any) -> str:
-    return json.dumps(asdict(value) if is_dataclass(value) and not isinstance(value, type) else value, separators=(",", ":"), sort_keys=True)
+    return compact(asdict(value) if is_dataclass(value) and not isinstance(value, type) else value, sort_keys=True)
+
+
+def _lists(batch: pa.RecordBatch) -> list[list]:
+    """The columns (strings and whole numbers) as Python values: to_pylist() makes a scalar of each first."""
+    return [c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(c.type) or not c.null_count else c.to_pylist() for c in batch.columns]
+
+
+def _arrays(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def fold_streams(events: DataFrame, kind: AggregateType) -> DataFrame:
@@ -452,8 +487,8 @@ def fold_streams(events: DataFrame, kind: AggregateType) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, state, version, done = None, None, None, []
         for b in batches:
-            for key, position, event_kind, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                payload = decoded({"kind": event_kind, "position": position, "data": data})
+            for key, position, event_kind, data in zip(*_lists(b), strict=True):
+                payload = _decoded(event_kind, position, data)
                 if key != stream:
                     if stream is not None:
                         done.append((stream, version, _state(state)))
@@ -462,54 +497,60 @@ def fold_streams(events: DataFrame, kind: AggregateType) -> DataFrame:
                     state = kind.step(state, event_kind, payload)
                 version = position
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), out, strict=True)], schema=out)
+                yield _arrays(done, out)
                 done = []
         if stream is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((stream, version, _state(state)), out, strict=True)], schema=out)
+            yield _arrays([(stream, version, _state(state))], out)
 
     rows = together(events.select("aggregate_id", "position", "kind", "data"), "aggregate_id", "position")
     return rows.mapInArrow(run, "aggregate_id string, version long, state string")
 
 
-def decide(events: DataFrame, commands: DataFrame, kind: AggregateType) -> DataFrame:
+def decide(events: DataFrame, commands: DataFrame, kind: AggregateType, states: bool = False) -> DataFrame:
     """What commands (aggregate_id, seq, name, command as JSON) on many streams of one kind lead to, each stream's in the order of seq.
 
     A row for each new event: aggregate_id, seq, ordinal (place among the command's events), kind, data, outcome ok; a
     command that is rejected (Rejected), has no handler or finds its stream missing gives one row with its outcome and
     the reason in data, one that changes nothing a row with outcome unchanged. Each command sees the stream's events
-    and those of the commands before it; a task holds the state of one stream.
+    and those of the commands before it; a task holds the state of one stream. With states, a last column state is the
+    state (JSON) after the whole command, null where there is no stream.
     """
     own = events.where(F.col("kind").isin(kind.kinds)).select("aggregate_id", F.lit(0).alias("phase"), F.col("position").alias("seq"), "kind", "data")
     asked = commands.select("aggregate_id", F.lit(1).alias("phase"), "seq", F.col("name").alias("kind"), F.col("command").alias("data"))
-    out = pa.schema([("aggregate_id", pa.string()), ("seq", pa.int64()), ("ordinal", pa.int64()), ("kind", pa.string()), ("data", pa.string()), ("outcome", pa.string())])
+    return decide_rows(own.unionByName(asked), kind, states)
+
+
+def decide_rows(rows: DataFrame, kind: AggregateType, states: bool = False) -> DataFrame:
+    """decide() for events and commands that come from one table: aggregate_id, phase (int; 0 for events, 1 for commands), seq, kind or name, data or command."""
+    out = pa.schema([("aggregate_id", pa.string()), ("seq", pa.int64()), ("ordinal", pa.int64()), ("kind", pa.string()), ("data", pa.string()), ("outcome", pa.string()), ("state", pa.string())][: 6 + states])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, state, begun = None, None, False
+        stream, state, begun, text = None, None, False, None
         for b in batches:
-            rows: list[tuple] = []
-            for key, phase, seq, name, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            told: list[tuple] = []
+            for key, phase, seq, name, data in zip(*_lists(b), strict=True):
                 if key != stream:
-                    stream, state, begun = key, None, False
-                payload = decoded({"kind": name, "position": seq, "data": data})
+                    stream, state, begun, text = key, None, False, None
+                payload = _decoded(name, seq, data)
                 if phase == 0:
-                    state, begun = (kind.step(state, name, payload) if begun else kind.first(name, payload)), True
+                    state, begun, text = (kind.step(state, name, payload) if begun else kind.first(name, payload)), True, None
                     continue
                 handlers = kind.handle if begun else kind.handle_create
                 if name not in handlers:
-                    rows.append((key, seq, 0, None, name, "not_found" if not begun and name in kind.handle else "unknown_command"))
-                    continue
-                try:
-                    new = [as_event(e) for e in (handlers[name](state, payload) if begun else handlers[name](payload))]
-                except Rejected as e:
-                    rows.append((key, seq, 0, None, str(e), "rejected"))
-                    continue
-                for i, e in enumerate(new):
-                    state, begun = (kind.step(state, e.kind, e.data) if begun else kind.first(e.kind, e.data)), True
-                    rows.append((key, seq, i, e.kind, json.dumps(e.data, separators=(",", ":")), "ok"))
-                if not new:
-                    rows.append((key, seq, 0, None, None, "unchanged"))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-
-    rows = together(own.unionByName(asked), "aggregate_id", "phase", "seq")
-    return rows.mapInArrow(run, "aggregate_id string, seq long, ordinal long, kind string, data string, outcome string")
+                    found = [(None, name, "not_found" if not begun and name in kind.handle else "unknown_command")]
+                else:
+                    try:
+                        new = [as_event(e) for e in (handlers[name](state, payload) if begun else handlers[name](payload))]
+                        found = [(e.kind, compact(e.data), "ok") for e in new] if new else [(None, None, "unchanged")]
+                    except Rejected as e:
+                        new, found = [], [(None, str(e), "rejected")]
+                    for e in new:
+                        state, begun, text = (kind.step(state, e.kind, e.data) if begun else kind.first(e.kind, e.data)), True, None
+                if states and begun and text is None:  # what no event has changed is as it was told before
+                    text = _state(state)
+                for i, x in enumerate(found):
+                    told.append((key, seq, i, *x, text) if states else (key, seq, i, *x))
+            if told:
+                yield _arrays(told, out)
+
+    return together(rows, "aggregate_id", "phase", "seq").mapInArrow(run, "aggregate_id string, seq long, ordinal long, kind string, data string, outcome string" + ", state string" * states)

@@ -16,7 +16,7 @@ from foldlog.errors import AggregateAlreadyExists, AggregateNotFound, Concurrenc
 from foldlog.operators import snapshots
 from foldlog.operators.filters import EventFilter, Filters
 from foldlog.operators.process import Process
-from foldlog.operators.repository import AggregateType, ProjectionType, Repository, SnapshotStore, aggregate, as_event, decide, event, projection
+from foldlog.operators.repository import AggregateType, ProjectionType, Repository, SnapshotStore, aggregate, as_event, decide_rows, event, projection
 from foldlog.sources import envelope as E
 from foldlog.sources.commitlog import Event, EventLog, scratch
 from foldlog.sources.datasource import register
@@ -119,17 +119,14 @@ SELECT id AS invoice, seq AS payment, outcome, open, settled FROM r WHERE seq >
 def settle_invoices(spark, sf_dir):
     """An invoice for each order over its first two lines, and each line's price as a payment: one that equals what is open settles it, one above it or after that is rejected."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")
-    lines = E.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("aggregate_id"), E.cents(F.col("l_extendedprice")).alias("amount"), seq.alias("seq"))
-    issued = lines.groupBy("aggregate_id").agg(F.sum(F.when(F.col("seq") <= 2, F.col("amount")).otherwise(0)).alias("due")).select("aggregate_id", F.lit(0).cast("long").alias("position"), F.lit("invoice-issued").alias("kind"), F.to_json(F.struct("due")).alias("data"))
-    paid = lines.select("aggregate_id", "seq", F.lit("pay").alias("name"), F.col("amount").cast("string").alias("command"))
-    out = decide(issued, paid, invoice())
-    open_now = F.get_json_object("data", "$.open").cast("long")
-    per = out.groupBy("aggregate_id", "seq").agg(F.max("outcome").alias("outcome"), F.max(open_now).alias("open"), F.max((F.col("kind") == "invoice-settled").cast("int")).alias("now"))
-    w = Window.partitionBy("aggregate_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    due = issued.select("aggregate_id", F.get_json_object("data", "$.due").cast("long").alias("due"))
-    per = per.withColumn("last", F.last("open", ignorenulls=True).over(w)).withColumn("settled", F.coalesce(F.max("now").over(w), F.lit(0)) == 1).join(due, "aggregate_id")
-    return per.select(F.col("aggregate_id").cast("long").alias("invoice"), F.col("seq").alias("payment"), "outcome", F.coalesce("last", "due").alias("open"), "settled")
+    w = Window.partitionBy("l_orderkey")
+    rows = E.table(spark, sf_dir, "lineitem").where(F.col("l_orderkey").isNotNull()).select("l_orderkey", E.cents(F.col("l_extendedprice")).alias("amount"), F.row_number().over(w.orderBy(*order)).cast("long").alias("seq"))
+    lines = rows.select(F.col("l_orderkey").cast("string").alias("aggregate_id"), "seq", "amount", F.sum(F.when(F.col("seq") <= 2, F.col("amount")).otherwise(0)).over(w).alias("due"))
+    row = lambda phase, seq, kind, data: F.struct(F.lit(phase).alias("phase"), seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), data.alias("data"))
+    issued, paid = row(0, F.lit(0), "invoice-issued", F.to_json(F.struct("due"))), row(1, F.col("seq"), "pay", F.col("amount").cast("string"))
+    both = lines.select("aggregate_id", F.explode(F.when(F.col("seq") == 1, F.array(issued, paid)).otherwise(F.array(paid))).alias("row")).select("aggregate_id", "row.*")
+    out = decide_rows(both, invoice(), states=True).where("ordinal = 0").withColumn("state", F.from_json("state", "open long, settled boolean"))
+    return out.select(F.col("aggregate_id").cast("long").alias("invoice"), F.col("seq").alias("payment"), "outcome", "state.open", "state.settled")
 
 
 def invoice() -> AggregateType:

@@ -15,6 +15,7 @@ from foldlog.operators import evolve, snapshots
 from foldlog.operators.filters import EventFilter, Filters
 from foldlog.operators.process import Process
 from foldlog.operators.repository import AggregateType, ProjectionType, Repository, Snapshot, SnapshotStore, aggregate, decide, event, projection
+from foldlog.plans.log_queries import settle_invoices
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog, Files, commit_name
 from foldlog.sources.datasource import register
 from foldlog.sources.memory import EventStore, MemoryLog, MemorySnapshots, NoSnapshots, Snapshots
@@ -644,6 +645,27 @@ def test_streams_stay_whole_when_a_join_turns_into_a_broadcast(spark, log):
     assert sorted((r.aggregate_id, r.version, r.state) for r in got) == sorted((f"c{i}", 2960 + i, "75") for i in range(40))
 
 
+def test_states_after_commands(spark, log):
+    """With states, a row has the state after the whole command; none without a stream."""
+    log.append("counter", "a", [add(1), add(2)])
+    twice = dataclasses.replace(COUNTER, handle={"twice": lambda s, n: [add(n), add(n)], "limit": lambda s, n: _reject()})
+    asked = spark.createDataFrame([("a", 1, "twice", "5"), ("a", 2, "limit", "9"), ("b", 1, "twice", "1"), ("c", 1, "add", "0"), ("c", 2, "add", " 4 ")], "aggregate_id string, seq long, name string, command string")
+    plain, got = decide(log.frame(), asked, twice), decide(log.frame(), asked, twice, states=True)
+    assert sorted((r.aggregate_id, r.seq, r.ordinal, r.state) for r in got.collect()) == [("a", 1, 0, "13"), ("a", 1, 1, "13"), ("a", 2, 0, "13"), ("b", 1, 0, None), ("c", 1, 0, None), ("c", 2, 0, "4")]
+    assert sorted(map(str, got.drop("state").collect())) == sorted(map(str, plain.collect()))
+
+
+def test_invoices_are_shuffled_twice(spark, tmp_path):
+    """Lines to their orders, then orders to the handlers: what comes of it needs no further shuffle, join or aggregate."""
+    lines = [(1, 1, 1, 1, 1.0, 10.0), (1, 1, 1, 2, 1.0, 20.0), (1, 1, 1, 3, 1.0, 30.0), (2, 1, 1, 1, 1.0, 5.0), (None, 1, 1, 1, 1.0, 5.0)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = settle_invoices(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "ok", 2000, False), (1, 2, "ok", 0, True), (1, 3, "rejected", 0, True), (2, 1, "ok", 0, True)]
+
+
 def _reject():
     raise Rejected("over the limit")
 
