@@ -66,8 +66,8 @@ class Event:
     data: dict
 
 
-#: Commits whose events a log keeps in memory.
-PARSED = 4096
+#: Commits whose events a log keeps in memory; events of a segment's file at most, which is what one task of a stream reads.
+PARSED, FILE = 4096, 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -301,7 +301,7 @@ class EventLog:
             self._advance()
             first, version, path = self._next, self._version, f"segments/{uuid.uuid4().hex}"
             rows = dense_positions(events, key, order, start=first).select(*SCHEMA.names)
-            self._clustered(rows).write.parquet(f"{self.root}/{path}")
+            self._clustered(rows).write.option("maxRecordsPerFile", FILE).parquet(f"{self.root}/{path}")
             n = self.spark.read.parquet(f"{self.root}/{path}").count()
             if n and self.files.publish(f"commits/{commit_name(version)}", json.dumps({"segment": path, "first": first, "last": first + n - 1}) + "\n"):
                 self._advance()
@@ -326,7 +326,7 @@ class EventLog:
         old = [] if everything else self._segments
         rows = self._stored() if everything else self.spark.read.schema(SCHEMA).json([f"{self.root}/commits/{commit_name(v)}" for v in self._inline])
         path = f"segments/{uuid.uuid4().hex}"
-        self._clustered(rows).write.parquet(f"{self.root}/{path}")
+        self._clustered(rows).write.option("maxRecordsPerFile", FILE).parquet(f"{self.root}/{path}")
         low, high = self.spark.read.parquet(f"{self.root}/{path}").agg(F.min("position"), F.max("position")).first()
         segments = sorted([*old, Segment(path, low, high)], key=lambda s: s.last)
         text = json.dumps({"version": self._version, "next": self._next, "segments": [asdict(s) for s in segments]})

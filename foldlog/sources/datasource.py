@@ -20,8 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from foldlog.sources.commitlog import commit_name
 from foldlog.sources.envelope import SCHEMA
 
-#: Commits of a partition, and of a micro-batch.
-COMMITS, MOST = 256, 4096
+#: Commits of a partition, and of a micro-batch; events of a partition of a segment, about.
+COMMITS, MOST, EVENTS = 256, 4096, 1_000_000
+#: How a commit that names a segment begins, and one of events doesn't.
+_NAMES = '{"segment"'
 _ARROW = pa.schema([pa.field(f.name, pa.int64() if f.name == "position" else pa.string(), f.nullable) for f in SCHEMA.fields])
 
 
@@ -33,10 +35,10 @@ class Range(InputPartition):
 
 
 class File(InputPartition):
-    """A Parquet file of a segment."""
+    """Row groups of a Parquet file of a segment."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, groups: list[int]):
+        self.path, self.groups = path, groups
 
 
 def published(root: str, start: int = 0, most: int | None = None) -> int:
@@ -46,12 +48,36 @@ def published(root: str, start: int = 0, most: int | None = None) -> int:
     return start
 
 
-def ranges(start: int, end: int) -> list[Range]:
-    return [Range(i, min(i + COMMITS, end)) for i in range(start, end, COMMITS)]
-
-
-def _files(root: str, segment: str) -> list[str]:
-    return sorted(glob.glob(f"{root}/{segment}/*.parquet"))
+def ranges(root: str, start: int, end: int) -> list[InputPartition]:
+    """Commits from start to end as partitions; those that name a segment, which may hold any number of events, by its files."""
+    out: list[InputPartition] = []
+    for version in range(start, end):
+        with open(f"{root}/commits/{commit_name(version)}", encoding="utf-8") as f:
+            line = f.readline() if f.read(len(_NAMES)) == _NAMES else None
+        if line is not None:
+            out += _files(root, json.loads(_NAMES + line)["segment"])
+        elif out and isinstance(out[-1], Range) and out[-1].end == version and version - out[-1].start < COMMITS:
+            out[-1].end += 1
+        else:
+            out.append(Range(version, version + 1))
+    return out
+
+
+def _files(root: str, segment: str) -> list[File]:
+    """A segment's files, cut between row groups into parts of EVENTS events, about."""
+    import pyarrow.parquet as pq
+
+    out = []
+    for path in sorted(glob.glob(f"{root}/{segment}/*.parquet")):
+        meta = pq.read_metadata(path)
+        n = EVENTS
+        for group in range(meta.num_row_groups):
+            if n >= EVENTS:
+                out.append(File(path, []))
+                n = 0
+            out[-1].groups.append(group)
+            n += meta.row_group(group).num_rows
+    return out
 
 
 class Wanted:
@@ -83,24 +109,22 @@ class Wanted:
     def read(self, root: str, part: InputPartition) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
 
-        files = [part.path] if isinstance(part, File) else []
+        if isinstance(part, File):
+            (whole,) = ds.dataset(part.path, format="parquet").get_fragments()
+            for b in whole.subset(row_group_ids=part.groups).to_batches(columns=_ARROW.names, filter=self.expression(), batch_size=4096):
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, _ARROW, strict=True)], schema=_ARROW)
+            return
         rows: dict[str, list] = {n: [] for n in _ARROW.names}
-        for version in range(part.start, part.end) if isinstance(part, Range) else ():
+        for version in range(part.start, part.end):
             with open(f"{root}/commits/{commit_name(version)}", encoding="utf-8") as f:
                 events = [json.loads(line) for line in f]
-            if "segment" in events[0]:
-                files += _files(root, events[0]["segment"])
-                continue
             for event in events:
                 if event["position"] > self.after and all(event[n] in v for n, v in self.values.items()):
                     for n, column in rows.items():
                         column.append(event[n])
         if rows["position"]:
             yield from pa.Table.from_pydict(rows, _ARROW).to_batches(max_chunksize=4096)
-        for path in files:
-            for b in ds.dataset(path, format="parquet").to_batches(columns=_ARROW.names, filter=self.expression(), batch_size=4096):
-                if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, _ARROW, strict=True)], schema=_ARROW)
 
 
 class BatchReader(DataSourceReader):
@@ -117,8 +141,8 @@ class BatchReader(DataSourceReader):
             with open(f"{self.root}/compacted/{lists[-1]}", encoding="utf-8") as f:
                 found = json.load(f)
             start = found["version"]
-            files = [File(p) for s in found["segments"] if s["last"] > self.wanted.after for p in _files(self.root, s["path"])]
-        return [*files, *ranges(start, published(self.root, start))] or [Range(0, 0)]
+            files = [p for s in found["segments"] if s["last"] > self.wanted.after for p in _files(self.root, s["path"])]
+        return [*files, *ranges(self.root, start, published(self.root, start))] or [Range(0, 0)]
 
     def read(self, partition):
         return self.wanted.read(self.root, partition)
@@ -136,7 +160,7 @@ class StreamReader(DataSourceStreamReader):
         return {"commits": self.known}
 
     def partitions(self, start, end):
-        return ranges(start["commits"], end["commits"])
+        return ranges(self.root, start["commits"], end["commits"])
 
     def read(self, partition):
         return Wanted().read(self.root, partition)

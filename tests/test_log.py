@@ -6,6 +6,8 @@ import multiprocessing
 import os
 import sys
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from foldlog.operators.filters import EventFilter, Filters
 from foldlog.operators.process import Process
 from foldlog.operators.repository import AggregateType, ProjectionType, Repository, Snapshot, SnapshotStore, aggregate, decide, event, projection
 from foldlog.plans.log_queries import settle_invoices
+from foldlog.sources import commitlog, datasource
 from foldlog.sources.commitlog import ConsistencyToken, Event, EventLog, Files, commit_name
 from foldlog.sources.datasource import register
 from foldlog.sources.memory import EventStore, MemoryLog, MemorySnapshots, NoSnapshots, Snapshots
@@ -293,6 +296,28 @@ def test_data_source(spark, log):
     assert sorted(r.position for r in read().collect()) == [0, 1, 2]
 
 
+def test_a_segment_is_read_in_parts(spark, log, monkeypatch):
+    """A commit that names a segment may hold any number of events: its files are partitions, cut between row groups; commits around it stay in order."""
+    monkeypatch.setattr(commitlog, "FILE", 100)
+    columns = ["id", "'counter' AS aggregate_kind", "concat('c', id % 7) AS aggregate_id", "'points-added' AS kind", "'{\"points\":1}' AS data", "CAST(NULL AS STRING) AS metadata"]
+    log.append("counter", "a", [add(1)])
+    log.append("counter", "a", [add(1)])
+    log.load_frame(spark.range(1000).selectExpr(*columns), "id", [])
+    log.append("counter", "a", [add(1)])
+    parts = datasource.StreamReader(log.root, 0).partitions({"commits": 0}, {"commits": 4})
+    found = [[p for b in datasource.Wanted().read(log.root, part) for p in b.column(3).to_pylist()] for part in parts]
+    assert found[0] == [0, 1] and found[-1] == [1002] and len(found) >= 12 and max(map(len, found)) <= 100
+    assert sorted(p for f in found for p in f) == list(range(1003))
+    pq.write_table(pa.table({"x": list(range(1000))}), f"{log.root}/segments/one.parquet", row_group_size=50)
+    monkeypatch.setattr(datasource, "EVENTS", 200)
+    assert [p.groups for p in datasource._files(log.root, "segments")] == [[i, i + 1, i + 2, i + 3] for i in range(0, 20, 4)]
+    register(spark)
+    assert sorted(r.position for r in spark.read.format("foldlog").load(log.root).where("position > 500").collect()) == list(range(501, 1003))
+    live = Subscription(log, totals()).start()
+    live.stop()
+    assert state_of(live.current()) == state_of(totals().of(log.frame()))
+
+
 def totals():
     return LiveModel("totals", Filters().event(ADDED), ("aggregate_id",), {"total": F.sum(F.get_json_object("data", "$.points").cast("long")), "n": F.count("*")}, {"total": F.sum, "n": F.sum})
 
