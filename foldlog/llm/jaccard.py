@@ -4,8 +4,8 @@ A document's set is that of its 5-word shingles. Each shingle toggles one bit of
 two sketches is never more than the symmetric difference of the sets. Pairs with a Jaccard similarity of SIMILAR or
 more differ in at most d shingles, where d follows from the sizes; the (sparse) sketch of a size band is cut into m > d
 parts, so at least m - d parts of such a pair are equal (pigeonhole). Sets meet by fingerprints of their parts, the XOR
-of codes of the set bits. Pairs that met are narrowed by sizes and by the distance of a dense sketch of BITS bits, and
-what is left is verified on the texts. Dense sketches are made when the sets are read first, so that only texts of sets
+of codes of the set bits. Pairs that met are sifted by how often they met, which takes neither sketches nor texts, then
+narrowed by sizes and by the distance of a dense sketch of BITS bits, and what is left is verified on the texts. Dense sketches are made when the sets are read first, so that only texts of sets
 with a near candidate, or of a crowded part, are moved: the larger a table, the more of its sets meet others by chance.
 
 Nothing is left out for skew:
@@ -17,7 +17,7 @@ Nothing is left out for skew:
   chunks of CHUNK, each of which gives the edges of a shortest spanning forest. A task that finds a part crowded among
   its own texts sends on CROWD + 1 posts of it and spreads the others over all tasks: no task gets a part that many
   sets share as a whole.
-- Sets of crowded parts also meet by their rarest shingles (a prefix filter): two sets that link have one in common
+- Sets that are in as many crowded parts as they need to share also meet by their rarest shingles (a prefix filter): two sets that link have one in common
   among as many of each as may be missing from the other, and what crowds a part is frequent, so not among them. Only
   shingles that sets of different components share make pairs; of the few that are crowded too, the sets of different
   components are compared in chunks.
@@ -137,8 +137,8 @@ def sets_of(docs: DataFrame, keep: list[str], sketch: bool = False) -> DataFrame
     return common.per_document(docs, keep, fields if sketch else fields[:2], work)
 
 
-def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For the sets who: (set, keys of its posts), once for each group of sizes."""
+def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """For the sets who: (set, keys of its posts, how many of them it shares with any set that it links with), once for each group of sizes, and once for the prefix of a set with few bits."""
     for i in who:
         own = values[at[i] : at[i + 1]]
         n = len(own)
@@ -152,10 +152,10 @@ def posts_of(values: np.ndarray, at: np.ndarray, who: list[int]) -> Iterator[tup
             prints = np.zeros(m, np.uint64)
             np.bitwise_xor.at(prints, part.astype(np.int64), mix(bit & np.uint64(0x3FFFFFFF), 7))  # bit: one of 2^30 of its part
             filled = np.flatnonzero(prints)
-            yield i, mix(prints[filled] + filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), group + 1000)
+            yield i, mix(prints[filled] + filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), group + 1000), max(len(filled) - d, 1)
             if len(filled) <= d:
                 prefix = np.sort(mix(own, 9))[: prefix_length(n)]
-                yield i, mix(prefix, group + 5000)
+                yield i, mix(prefix, group + 5000), 1
 
 
 _POSTED = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
@@ -186,8 +186,15 @@ def _sent(keys: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[i : i + 64]], f.type) for j, f in enumerate(_POSTED)], schema=_POSTED)
 
 
+def _told(node: np.ndarray, shared: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row (any bucket, -1, blob): nodes and how many posts each shares with a set that it links with, as posts_of() says."""
+    blob = node.astype("<i8").tobytes() + shared.astype("<i8").tobytes()
+    row = (int(mix(node[:1].view(np.uint64))[0] % np.uint64(buckets)), -1, blob)
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _POSTED, strict=True)], schema=_POSTED)
+
+
 def posts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, key, blob) rows of _sent(), for all sets of a task's texts (HELD posts at a time)."""
+    """(bucket, key, blob) rows of _sent() and _told(), for all sets of a task's texts (HELD posts at a time)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -199,7 +206,9 @@ def posts(docs: DataFrame, buckets: int) -> DataFrame:
             found = list(posts_of(values, at, [i for i in first.tolist() if at[i + 1] > at[i]]))
             if not found:
                 continue
-            held.append((np.concatenate([k for _, k in found]), nodes[np.repeat([i for i, _ in found], [len(k) for _, k in found])]))
+            own = np.array([i for i, *_ in found])
+            yield _told(nodes[own], np.array([n for *_, n in found], np.int64), buckets)
+            held.append((np.concatenate([k for _, k, _ in found]), nodes[np.repeat(own, [len(k) for _, k, _ in found])]))
             size += len(held[-1][0])
             if size > HELD:
                 yield from _sent(*(np.concatenate([h[i] for h in held]) for i in (0, 1)), buckets)
@@ -223,8 +232,8 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys.view("<u8").ravel(), np.frombuffer(blob, "<u8", n, 6 * n).view(np.int64)
 
 
-def meetings(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one bucket, as arrays (a, b, crowd): pairs a < b that met (0), and sets a in crowded parts b (1)."""
+def meetings(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one bucket, as arrays (a, b, crowd, n): pairs a < b that met (0) and how often, and sets a in crowded parts b (1)."""
     parts = [unpack(b) for b in blobs]
     keys, node = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     order = np.lexsort([node, keys])
@@ -239,18 +248,18 @@ def meetings(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         if len(own):
             i, j = np.triu_indices(k, 1)
             found.append(np.stack([node[(own[:, None] + i).ravel()], node[(own[:, None] + j).ravel()]]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)  # nodes ascend within a key
-    yield pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64)
+    pairs, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)  # nodes ascend within a key
+    yield pairs[0], pairs[1], np.zeros(len(n), np.int64), n
     crowded = np.repeat(sizes > CROWD, sizes)
     if crowded.any():
-        yield node[crowded], crowd_of(keys[crowded]), np.ones(int(crowded.sum()), np.int64)
+        yield node[crowded], crowd_of(keys[crowded]), *np.ones((2, int(crowded.sum())), np.int64)
 
 
 def meet(docs: DataFrame, total: int) -> DataFrame:
-    """(a, b, crowd) rows of meetings(), over all buckets."""
+    """(a, b, crowd, n) rows of meetings(), over all buckets; and those of _told() with crowd 2."""
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // POSTS))
-    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "crowd")])
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "crowd", "n")])
 
     def sent(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(columns[0]), 1 << 16):
@@ -262,14 +271,34 @@ def meet(docs: DataFrame, total: int) -> DataFrame:
             for bucket, key, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if key is None:
                     by.setdefault(bucket, []).append(blob)
+                elif key < 0:
+                    nodes, shared = np.frombuffer(blob, "<i8").reshape(2, -1)
+                    yield from sent((nodes, shared, np.full(len(nodes), 2), np.ones(len(nodes), np.int64)))
                 else:
                     nodes = np.frombuffer(blob, "<i8")
-                    yield from sent((nodes, np.repeat(crowd_of(np.array([key], np.uint64)), len(nodes)), np.ones(len(nodes), np.int64)))
+                    yield from sent((nodes, np.repeat(crowd_of(np.array([key], np.uint64)), len(nodes)), *np.ones((2, len(nodes)), np.int64)))
         for bucket in sorted(by):
             for columns in meetings(by.pop(bucket)):
                 yield from sent(columns)
 
-    return posts(docs, tasks).repartition(tasks, "bucket").mapInArrow(run, "a long, b long, crowd long")
+    return posts(docs, tasks).repartition(tasks, "bucket").mapInArrow(run, "a long, b long, crowd long, n long")
+
+
+def sifted(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of met (a table of meet()): its pairs (a, b, often: whether they met as often as sets that link), and sets of crowded parts (node, key) that may link with others of them without having met.
+
+    Sets that link share as many posts as each of both tells. Of these, those in crowded parts make no meeting, and are no
+    more than the crowded parts of either. What doesn't meet that often doesn't link, unless each of both is in as many
+    crowded parts as the posts that it tells: then both are members, which also meet by rare shingles.
+    """
+    members = met.where("crowd = 1").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct()
+    crowds = members.groupBy("node").agg(F.count("*").alias("crowds"))
+    told = met.where("crowd = 2").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("shared"))
+    of = stored(told.join(crowds, "node", "left").select("node", "shared", F.coalesce("crowds", F.lit(0)).alias("crowds")))
+    side = lambda x: of.select(F.col("node").alias(x), F.col("shared").alias(f"shared_{x}"), F.col("crowds").alias(f"crowds_{x}"))
+    pairs = met.where("crowd = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).join(side("a"), "a").join(side("b"), "b")
+    often = F.col("n") >= F.greatest("shared_a", "shared_b") - F.least("crowds_a", "crowds_b")
+    return stored(pairs.select("a", "b", often.alias("often"))), stored(members.join(of.where("crowds >= shared").select("node"), "node").select("node", "key"), of)
 
 
 def frequencies(texts: DataFrame) -> np.ndarray:
@@ -358,7 +387,8 @@ def most_apart(n_a, n_b):
 
 
 def narrowed(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, apart): those of pairs (a, b) whose sizes and sketches allow a link, with the sketches' distance."""
+    """(a, b, apart): those of pairs (a, b[, often: leave it out if false]) whose sizes and sketches allow a link, with the sketches' distance."""
+    pairs = pairs.where("often") if "often" in pairs.columns else pairs
     x = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
     x = x.join(known.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
     schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "apart")])
@@ -497,15 +527,16 @@ def join(docs: DataFrame) -> DataFrame:
     first = stored(rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")))
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = swept(stored(meet(docs.where(F.col("doc_id").isNotNull()), total)))
-    pairs = met.where("crowd = 0").select("a", "b").distinct()
-    members = stored(met.where("crowd > 0").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct())
+    pairs, members = sifted(met)
+    swept(met)
     crowded = members.join(members.groupBy("key").agg(F.count("*").alias("crowd")), "key")
-    used = met.select(F.col("a").alias("node")).union(met.where("crowd = 0").select(F.col("b").alias("node"))).distinct()
+    may = pairs.where("often")
+    used = may.select(F.col("a").alias("node")).union(may.select("b")).union(members.select("node")).distinct()
     wanted = stored(used.join(first, "node").select(F.col("first").alias("doc_id"), "node"))
     sizes = rows.select("doc_id", "node", F.col("n_shingles").alias("n"), "sketch").join(wanted.hint("merge"), ["doc_id", "node"])
     known = swept(stored(sizes.dropDuplicates(["doc_id", "node"]).select("node", "n", "sketch")))
 
-    near = swept(stored(narrowed(pairs, known).union(compared(crowded, known, across=False)).distinct(), met))
+    near = swept(stored(narrowed(pairs, known).union(compared(crowded, known, across=False)).distinct(), met, pairs))
     moved = near.select(F.col("a").alias("node")).union(near.select("b")).union(members.select("node")).distinct()
     wanted = stored(wanted.join(moved, "node").select("doc_id", F.col("node").alias("own")), wanted)
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text_hash"])  # dealt by doc_id already

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 _written: dict[str, object] = {}
+#: With this setting Spark removes a query's shuffle files when it ends, not when the driver collects its plan.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark) -> str:
@@ -32,7 +34,12 @@ def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     if not _written:
         atexit.register(clear)
     _written[path] = spark

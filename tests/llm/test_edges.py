@@ -72,6 +72,26 @@ def test_tables_go_when_they_are_read(spark):
     assert b.stored_at not in _written
 
 
+def test_chance_meetings_of_the_jaccard_join_are_sifted(spark):
+    """Sets that share half of their shingles meet in some parts, and don't link; those that link stay, or are members of crowded parts."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        common_part = some(rng, 60, 5000)
+        family = [common_part + " " + some(rng, 50, 5000) for _ in range(6)]
+        texts += family + [family[0] + " tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    values, at = jaccard.shingles([t.encode() for t in texts])
+    nodes, sets = jaccard.set_hash(values, at).view(np.int64).tolist(), [set(values[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    linked = {tuple(sorted((nodes[i], nodes[j]))) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    met = stored(jaccard.meet(df, int(at[-1])))
+    before = {(r.a, r.b) for r in met.where("crowd = 0").collect()}
+    pairs, members = jaccard.sifted(met)
+    after, members = {(r.a, r.b) for r in pairs.where("often").collect()}, {r.node for r in members.collect()}
+    assert len(linked) == 12 and all(p in after or members.issuperset(p) for p in linked)
+    assert after <= before and len(before) > 100 and len(after) < len(before) / 2
+
+
 def test_shuffles_of_the_jaccard_join_go_step_by_step(spark, monkeypatch):
     """When texts are moved to be verified, the shuffles of all steps before are gone: those of posts are larger than the input."""
     rng = random.Random(31)
